@@ -90,7 +90,8 @@ def bayesian_quality(average_rating: Column, rating_number: Column,
     votes = F.coalesce(rating_number.cast("double"), F.lit(0.0))
     rating = F.when(average_rating > 0, average_rating.cast("double")).otherwise(mean)
     weighted = votes / (votes + m) * rating + F.lit(m) / (votes + m) * mean
-    return F.round(F.when(votes > 0, weighted).otherwise(mean), 4)
+    # the inner rounding settles ties on decimal digits, not on binary noise
+    return F.round(F.round(F.when(votes > 0, weighted).otherwise(mean), 10), 4)
 
 
 def slot_confidence(title: Column, features: Column, description: Column) -> Column:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import rules as R
 from .exprs import (all_matches, any_word, contains_any, first_match, matches, strings, strip,
                     unicode_regex, word_rules)
 
-PARSE_SCHEMA = T.StructType.fromDDL(
+PARSE_SCHEMA = (
     "is_fashion_query BOOLEAN, normalized_query_en STRING, language STRING, gender STRING, "
     "age_group STRING, min_price DOUBLE, max_price DOUBLE, brand STRING, colors ARRAY<STRING>, "
     "slots ARRAY<STRING>, season STRING, occasion STRING, warnings ARRAY<STRING>, "

@@ -16,9 +16,9 @@ def flag_first(df: DataFrame, keys: list[str], order: list[str], unique: list[st
     pool = df.filter(where) if where else df
     names = list(dict.fromkeys(order + unique))
     firsts = pool.groupBy(*keys).agg(F.min(F.struct(*names)).alias("_w"))
-    winners = firsts.select(*[F.col(f"_w.{c}").alias(c) for c in unique]).withColumn("_f", F.lit(True))
+    winners = firsts.select(*[F.col(f"_w.{c}").alias(c) for c in unique]).withColumn("_won", F.lit(True))
     joined = df.join(winners, unique, "left")
-    return joined.withColumn(flag, F.coalesce("_f", F.lit(False))).drop("_f")
+    return joined.withColumn(flag, F.coalesce("_won", F.lit(False))).drop("_won")
 
 
 def dup_id(df: DataFrame, item: str = "item_id", seq: str = "seq") -> DataFrame:

@@ -308,20 +308,26 @@ def score_pools(cands: DataFrame, bounds: DataFrame, *, as_served: bool = False,
     return rerank(boosted, keys=keys, fused="pool_score" if as_served else "fused", rank=False)
 
 
-def progressive_widening(scored: DataFrame, top_k: int = 10) -> DataFrame:
-    """Survivors of the shallowest pool that fills top_k after collapse, else of the deepest.
-
-    Adds the counts of the chosen pool: pool_size, excluded, collapsed.
-    """
+def pool_counts(scored: DataFrame, top_k: int = 10, kept: DataFrame | None = None) -> DataFrame:
+    """The pool that answers each query, with its counts: the shallowest that fills top_k after
+    collapse, else the deepest.  (query_id, level, pool_size, excluded, kept, collapsed)"""
+    kept = collapse_duplicates(scored.filter("passes")) if kept is None else kept
     pools = scored.groupBy("query_id", "level").agg(
         F.count(F.lit(1)).alias("pool_size"), F.count_if(~F.col("passes")).alias("excluded"))
-    kept = collapse_duplicates(scored.filter("passes"))
     sizes = kept.groupBy("query_id", "level").agg(F.count(F.lit(1)).alias("kept"))
-    pools = pools.join(sizes, ["query_id", "level"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-    enough = F.min(F.when(F.col("kept") >= top_k, F.col("level")))
-    chosen = pools.groupBy("query_id").agg(F.coalesce(enough, F.max("level")).alias("level"))
-    pools = pools.join(chosen, ["query_id", "level"]).withColumn(
+    per = pools.join(sizes, ["query_id", "level"], "left").withColumn("kept", F.coalesce("kept", F.lit(0))).withColumn(
         "collapsed", F.col("pool_size") - F.col("excluded") - F.col("kept"))
+    fills = F.col("kept") >= top_k
+    # false sorts before true: pools that fill top_k first, shallowest of those, else the deepest
+    best = F.min_by(F.struct("level", "pool_size", "excluded", "kept", "collapsed"),
+                    F.struct(~fills, F.when(fills, F.col("level")).otherwise(-F.col("level"))))
+    return per.groupBy("query_id").agg(best.alias("_p")).select("query_id", "_p.*")
+
+
+def progressive_widening(scored: DataFrame, top_k: int = 10) -> DataFrame:
+    """Survivors of the answering pool in rank order, with that pool's counts."""
+    kept = collapse_duplicates(scored.filter("passes"))
+    pools = pool_counts(scored, top_k, kept)
     return ranked(kept.join(pools, ["query_id", "level"]), ("query_id",))
 
 

@@ -163,12 +163,11 @@ def _scan_against(q: DataFrame, k: int):
     small = q.toPandas()  # size checked by the caller
     shared = q.sparkSession.sparkContext.broadcast((
         small["query_id"].to_numpy(),
-        np.stack([np.asarray(x, dtype=np.float32) for x in small["vec"]]) if len(small)
-        else np.zeros((0, 1), dtype=np.float32)))
+        np.stack([np.asarray(x, dtype=np.float64) for x in small["vec"]]) if len(small)
+        else np.zeros((0, 1))))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, qmat = shared.value
-        qmat = qmat.astype(np.float64)
         best: pd.DataFrame | None = None
         for pdf in batches:
             if not len(pdf) or not len(qids):
@@ -242,19 +241,24 @@ def rrf(ranked: DataFrame, k: int = R.RRF_K, query: str = "query_id",
 
 def fuse_levels(ranked: DataFrame, levels: list[int] = R.POOL_LEVELS, k: int = R.RRF_K,
                 query: str = "query_id", item: str = "item_id") -> DataFrame:
-    """(query, level, item, fused) for every pool depth from one retrieval at the deepest.
+    """(query, level, item, fused, sim) for every pool depth from one retrieval at the deepest.
 
     A list cut at depth L is a prefix of the deeper list, so the fused score at L is the sum
-    over ranks <= L: one aggregation serves all depths.
+    over ranks <= L, and the known similarity the best score among those ranks: one aggregation
+    serves all depths.
     """
-    per_level = F.array(*[
-        F.struct(F.lit(level).alias("level"), F.round(F.sum(
-            F.when(F.col("rank") <= level, 1.0 / (F.lit(k) + F.col("rank")))), 9).alias("fused"))
-        for level in levels])
-    wide = ranked.groupBy(query, item).agg(per_level.alias("_levels"))
+    scored = "score" in ranked.columns
+
+    def at(level: int) -> Column:
+        here = F.col("rank") <= level
+        best = F.max(F.when(here, F.col("score"))) if scored else F.lit(None).cast("double")
+        return F.struct(F.lit(level).alias("level"), F.round(F.sum(
+            F.when(here, 1.0 / (F.lit(k) + F.col("rank")))), 9).alias("fused"), best.alias("sim"))
+
+    wide = ranked.groupBy(query, item).agg(F.array(*[at(level) for level in levels]).alias("_levels"))
     return (
         wide.select(query, item, F.explode("_levels").alias("_l"))
-        .select(query, F.col("_l.level").alias("level"), item, F.col("_l.fused").alias("fused"))
+        .select(query, F.col("_l.level").alias("level"), item, F.col("_l.fused").alias("fused"), F.col("_l.sim").alias("sim"))
         .filter("fused is not null")
     )
 
@@ -279,9 +283,7 @@ def hybrid_candidates(queries: DataFrame, items: DataFrame, levels: list[int] =
         F.col("query_id").cast("string"), F.lit("keyword").alias("source"), "item_id", "rank",
         F.lit(None).cast("double").alias("score"))
     ranked = dense.unionByName(sparse)
-    fused = fuse_levels(ranked, levels)
-    known = multi_variant_sim(ranked.filter("score is not null"))
-    pool = fused.join(known, ["query_id", "item_id"], "left")
+    pool = fuse_levels(ranked, levels)
     missing = pool.filter("sim is null").select("query_id", "item_id").distinct()
     q_vec = query_vectors.select(F.col("query_id").cast("string"), "vec")
     filled = pair_similarity(missing, q_vec, vectors).groupBy("query_id", "item_id").agg(

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-RAW_SCHEMA = T.StructType.fromDDL(
+RAW_SCHEMA = (
     "main_category STRING, title STRING, average_rating DOUBLE, rating_number BIGINT, "
     "features ARRAY<STRING>, description STRING, price STRING, "
     "images ARRAY<STRUCT<thumb: STRING, large: STRING, variant: STRING, hi_res: STRING>>, "
     "videos ARRAY<STRING>, store STRING, categories ARRAY<STRING>, details MAP<STRING, STRING>, "
     "parent_asin STRING, asin STRING, bought_together STRING")
-REVIEW_SCHEMA = T.StructType.fromDDL("parent_asin STRING, text STRING, rating DOUBLE, helpful_vote BIGINT")
+REVIEW_SCHEMA = "parent_asin STRING, text STRING, rating DOUBLE, helpful_vote BIGINT"
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +20,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are read as text first, so blank and broken lines stay countable; nothing is dropped.
     """
-    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
+    schema = RAW_SCHEMA + ", _corrupt_record STRING"
     lines = spark.read.text(path).withColumn("value", F.trim("value"))
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     state = (F.when(F.col("value") == "", "blank")
