@@ -74,3 +74,8 @@ def strings(values: list[str]) -> Column:
 
 def clamp(col: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col))
+
+
+def tidy(col: Column, digits: int) -> Column:
+    """Round so that a tie in the decimal value is a tie here too, whatever its binary form."""
+    return F.round(F.round(col, 10), digits)

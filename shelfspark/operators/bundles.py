@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.exprs import contains_any, matches, strings
+from ..functions.exprs import contains_any, matches, strings, tidy
 from ..functions.text import explain_item
 from . import ranking as K
 from .retrieval import dot
@@ -38,7 +38,7 @@ def slot_pools(cands: DataFrame, bounds: DataFrame, *, as_served: bool = False,
                size: int = R.BUNDLE_POOL) -> DataFrame:
     """Best `size` items per (query, level, slot): strict match, floors, accessory rule, rerank,
     collapse.  Adds pool_slot and pool_rank."""
-    forced = K.normalize_fused(cands).filter(F.col("slot").isin(R.BUNDLE_SLOTS)).withColumns({
+    forced = K.with_pool_maximum(cands).filter(F.col("slot").isin(R.BUNDLE_SLOTS)).withColumns({
         "pool_slot": F.lower("slot"), "q_slots": F.array(F.lower("slot")),
     })
     # the forced slot counts as explicit unless the parse said otherwise
@@ -172,9 +172,9 @@ def bundle_score(combos: DataFrame) -> DataFrame:
     """compat = cohesion + agreement - conflict (4 decimals); score = mean item score + 0.15 compat."""
     mean = F.aggregate(F.transform("items", lambda i: i["score"]), F.lit(0.0), lambda a, v: a + v) / F.size("items")
     return (
-        combos.withColumn("cohesion", F.round(pair_cohesion(), 6))
-        .withColumn("compat", F.round(F.col("cohesion") + style_agreement() - style_conflict(), 4))
-        .withColumn("bundle_score", F.round(mean + R.COMPAT_WEIGHT * F.col("compat"), 6))
+        combos.withColumn("cohesion", tidy(pair_cohesion(), 6))
+        .withColumn("compat", tidy(F.col("cohesion") + style_agreement() - style_conflict(), 4))
+        .withColumn("bundle_score", tidy(mean + R.COMPAT_WEIGHT * F.col("compat"), 6))
     )
 
 

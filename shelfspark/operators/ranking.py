@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import attributes as A
 from ..functions import intent as I
 from ..functions import rules as R
-from ..functions.exprs import (any_word, clamp, contains_any, contains_word, matches, strings, strip)
+from ..functions.exprs import (any_word, clamp, contains_any, contains_word, matches, strings, strip, tidy)
 from ..functions.text import dedup_key, explain_item
 
 QUERY_COLUMNS = ["query", "normalized_query_en", "language", "gender", "age_group", "min_price",
@@ -99,6 +99,11 @@ def normalize_fused(cands: DataFrame, keys: tuple[str, ...] = ("query_id", "leve
     return cands.withColumn("max_fused", safe).withColumn("norm_fused", F.col("fused") / F.col("max_fused"))
 
 
+def with_pool_maximum(cands: DataFrame, keys: tuple[str, ...] = ("query_id", "level")) -> DataFrame:
+    """Keep a pool maximum taken before items were joined; take it here otherwise."""
+    return cands if "max_fused" in cands.columns else normalize_fused(cands, keys)
+
+
 def soft_boost(quality_norm: Column | float = 0.0, quality_weight: Column | float = R.BOOST["quality"]) -> Column:
     """Additive boost: quality, season, occasion, colour, brand."""
     qn = quality_norm if isinstance(quality_norm, Column) else F.lit(float(quality_norm))
@@ -260,7 +265,7 @@ def rerank(cands: DataFrame, *, keys: tuple[str, ...] = ("query_id", "level"), f
         s = sum((F.col(f"f_{n}") * w for n, w in zip(R.FEATURES, weights, strict=True)), F.lit(0.0))
         hit = F.col("archetype") == name
         total = F.when(hit, s) if total is None else total.when(hit, s)
-    out = out.withColumn("score", F.round(clamp(total - F.col("f_costume")), 6))
+    out = out.withColumn("score", tidy(clamp(total - F.col("f_costume")), 6))
     return ranked(out, keys) if rank else out
 
 
@@ -276,7 +281,7 @@ def blend_scores(scored: DataFrame, external: str = "external", top_n: int = R.B
     w = Window.partitionBy(*keys)
     low, high = (f(F.when(head, F.col(external))).over(w) for f in (F.min, F.max))
     scaled = (F.col(external) - low) / F.greatest(high - low, F.lit(1e-6))
-    return scored.withColumn("blended", F.round(
+    return scored.withColumn("blended", tidy(
         F.when(head, (1 - weight) * F.col("score") + weight * scaled).otherwise(F.col("score")), 6))
 
 
@@ -291,7 +296,7 @@ def collapse_duplicates(cands: DataFrame, keys: tuple[str, ...] = ("query_id", "
 def batch_filter_rank(cands: DataFrame, include_unknown: bool = False) -> DataFrame:
     """Simple ranking without reranking: hard filters, fused share plus boost."""
     flagged = normalize_fused(strict_filters(cands, include_unknown))
-    kept = flagged.filter("passes").withColumn("score", F.round(F.col("norm_fused") + soft_boost(), 6))
+    kept = flagged.filter("passes").withColumn("score", tidy(F.col("norm_fused") + soft_boost(), 6))
     return ranked(kept, ("query_id", "level"))
 
 
@@ -301,7 +306,7 @@ def score_pools(cands: DataFrame, bounds: DataFrame, *, as_served: bool = False,
                 keys: tuple[str, ...] = ("query_id", "level")) -> DataFrame:
     """Flag every candidate and score it: passes, pool_score (fused share + boost), score."""
     lo, hi = bounds.select("min_q").scalar(), bounds.select("max_q").scalar()
-    flagged = strict_filters(normalize_fused(cands, keys), flag="_strict").withColumn(
+    flagged = strict_filters(with_pool_maximum(cands, keys), flag="_strict").withColumn(
         "passes", F.col("_strict") & innerwear_ok() & eligible()).drop("_strict")
     q_norm = (F.col("quality_bayes") - lo) / F.greatest(hi - lo, F.lit(1e-6))
     boosted = flagged.withColumn("pool_score", F.col("norm_fused") + soft_boost(q_norm, quality_weight))

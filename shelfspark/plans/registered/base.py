@@ -160,6 +160,10 @@ def sql_bayes(rating: str, votes: str, mean: str = "4.2") -> str:
     return f"CAST(round(CAST({value} AS DECIMAL(18, 10)), 4) AS DOUBLE)"
 
 
+def tidy(expr: str, digits: int) -> str:
+    return f"CAST(round(CAST(({expr})::DOUBLE AS DECIMAL(18, 10)), {digits}) AS DOUBLE)"
+
+
 def sql_acc(title: str) -> str:
     return f"CASE WHEN coalesce({title}, '') <> '' THEN {case_first(title, R.ACCESSORY_RULES, lit('other'))} END"
 
@@ -176,6 +180,13 @@ def cte(name: str, sql: str, *needs: str) -> None:
     CTES[name] = (sql, list(needs))
 
 
+class Text(str):
+    """A checking SQL text that remembers its parts, so a checker can build shared tables once."""
+
+    final: str
+    order: list[str]
+
+
 def sql(final: str, *needs: str) -> str:
     """final SELECT with the common tables it needs, in dependency order."""
     order: list[str] = []
@@ -190,7 +201,9 @@ def sql(final: str, *needs: str) -> str:
         visit(n)
     if not order:
         return final
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][0]})" for n in order) + "\n" + final
+    out = Text("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][0]})" for n in order) + "\n" + final)
+    out.final, out.order = final, order
+    return out
 
 
 def plain(portable: str) -> str:

@@ -1 +1,76 @@
+"""Catalog change: upsert, delete, triage, integrity."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators import evolution as V
+from ...sources import tables as T
+from ...streaming import metrics as M
+from ...streaming.ingest import first_per_id
+from .base import cte, query, sql
+from .catalog import triaged
+
+cte("upd", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS r FROM batch WHERE item_id <> '') WHERE r = 1""", "batch")
+
+
+def catalog(spark, sf):
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return T.feed(spark, sf).select("item_id", "title", "price", "version", stamp.alias("created_at"), stamp.alias("updated_at"), "is_deleted")
+
+
+def first_updates(spark, sf):
+    return first_per_id(T.update_batch(spark, sf).filter("item_id <> ''"))
+
+
+@query("upsert_catalog", sql("""SELECT item_id, CASE WHEN u.seq IS NOT NULL THEN u.title ELSE f.title END AS title, CASE WHEN u.seq IS NOT NULL THEN u.price ELSE f.price END AS price,
+  CASE WHEN u.seq IS NOT NULL THEN coalesce(f.version + 1, 1) ELSE f.version END AS version, f.item_id IS NULL AS is_new, CASE WHEN u.seq IS NOT NULL THEN false ELSE f.is_deleted END AS is_deleted
+  FROM (SELECT item_id, title, price, version, is_deleted FROM feed) f FULL OUTER JOIN upd u USING (item_id)""", "feed", "upd"))
+def upsert_catalog(spark, sf):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    out = V.upsert_catalog(catalog(spark, sf), first_updates(spark, sf).select("item_id", "title", "price"), now)
+    return out.select("item_id", "title", "price", "version", (F.col("created_at") == now).alias("is_new"), "is_deleted")
+
+
+def delete_list(spark, sf):
+    return T.table(spark, sf, "customer").select(F.concat(F.lit("P"), F.lpad((F.col("c_custkey") * 3).cast("string"), 8, "0")).alias("item_id"))
+
+
+cte("dels", "SELECT DISTINCT printf('P%08d', c_custkey * 3) AS item_id FROM customer")
+
+
+@query("soft_delete", sql("""SELECT d.item_id, CASE WHEN f.item_id IS NULL THEN 'not_found' WHEN f.is_deleted THEN 'already_deleted' ELSE 'deleted' END AS status
+  FROM dels d LEFT JOIN feed f USING (item_id)""", "dels", "feed"))
+def soft_delete(spark, sf):
+    return V.delete_statuses(catalog(spark, sf), delete_list(spark, sf))
+
+
+@query("soft_delete_rows", sql("SELECT item_id, is_deleted OR item_id IN (SELECT item_id FROM dels) AS is_deleted FROM feed", "dels", "feed"))
+def soft_delete_rows(spark, sf):
+    return V.soft_delete(catalog(spark, sf), delete_list(spark, sf)).select("item_id", "is_deleted")
+
+
+@query("apply_triage", sql("""SELECT f.item_id, CASE WHEN t.status = 'accepted' THEN t.clean_title ELSE f.title END AS title, CASE WHEN t.status = 'accepted' THEN t.tslot ELSE f.slot END AS slot,
+  CASE WHEN t.status = 'accepted' THEN t.acc ELSE f.accessory_type END AS accessory_type, CASE WHEN t.status = 'accepted' THEN t.tq ELSE 0.0 END::DOUBLE AS quality_qc, t.status <> 'accepted' AS is_deleted
+  FROM items f JOIN triaged t USING (item_id)""", "items", "triaged"))
+def apply_triage(spark, sf):
+    stored = T.items(spark, sf).select("item_id", "title", "slot", "accessory_type", F.lit(0.0).alias("quality_qc"), "is_deleted")
+    return V.apply_triage(stored, triaged(spark, sf))
+
+
+@query("index_integrity", sql("""SELECT count(a) AS n_active, count(b) AS n_indexed, count(*) FILTER (b IS NULL) AS missing_in_index, count(*) FILTER (a IS NULL) AS orphans_in_index,
+  count(*) FILTER (a IS NULL OR b IS NULL) = 0 AS consistent FROM (SELECT item_id, 1 AS a FROM feed WHERE NOT is_deleted) FULL OUTER JOIN
+  (SELECT DISTINCT item_id, 1 AS b FROM revs WHERE item_id IN (SELECT item_id FROM feed)) USING (item_id)""", "feed", "revs"))
+def index_integrity(spark, sf):
+    indexed = T.reviews(spark, sf).select("item_id").join(T.feed(spark, sf).select("item_id"), "item_id", "left_semi")
+    return V.index_integrity(catalog(spark, sf).filter("not is_deleted"), indexed)
+
+
+@query("ingest_rejects", sql("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN item_id IS NULL THEN 'no_parent_asin' WHEN rn > 1 THEN 'duplicate_in_batch'
+  WHEN title IS NULL THEN 'no_title' WHEN length(title) < 15 THEN 'short_title' WHEN regexp_matches(title, '\\b(?:plush|toys?)\\b', 'i') THEN 'non_fashion_keyword'
+  WHEN price IS NULL THEN 'no_price' WHEN price <= 0 THEN 'invalid_price' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS rn FROM
+  (SELECT seq, nullif(item_id, '') AS item_id, title, price FROM batch))) WHERE reason IS NOT NULL GROUP BY reason""", "batch"))
+def ingest_rejects(spark, sf):
+    from ...operators.validate import validate_batch
+
+    return M.ingest_rejects(validate_batch(T.update_batch(spark, sf), T.feed(spark, sf).select("item_id", "version")))

@@ -10,7 +10,8 @@ from ...functions.text import explain_item as explain
 from ...operators import bundles as B
 from ...operators import ranking as K
 from ...sources import tables as T
-from .base import cte, has_any, lit, query, rx, sql, words_rx
+from ...functions.exprs import tidy as exprs_tidy
+from .base import cte, has_any, lit, query, rx, sql, tidy, words_rx
 from .intent import SQL_ARCHETYPE, guard
 from .retrieval import candidates
 from .text import sql_dedup
@@ -71,7 +72,7 @@ _flag("innerwear_policy", _I, K.innerwear_ok)
 _flag("eligibility_guard", _E, K.eligible)
 
 
-@query("strict_filters", sql(f"SELECT query_id, level, count_if({_P} AND {_G} AND {_A} AND {_S}) AS survivors, count_if(NOT ({_P} AND {_G} AND {_A} AND {_S})) AS excluded FROM cj GROUP BY ALL", "cj"))
+@query("strict_filters", sql(f"SELECT query_id, level, count_if({_P} AND {_G} AND {_A} AND {_S}) ::BIGINT AS survivors, count_if(NOT ({_P} AND {_G} AND {_A} AND {_S}))::BIGINT AS excluded FROM cj GROUP BY ALL", "cj"))
 def strict_filters(spark, sf):
     return K.strict_filters(cands_frame(spark, sf)).groupBy("query_id", "level").agg(
         F.count_if("passes").alias("survivors"), F.count_if(~F.col("passes")).alias("excluded"))
@@ -149,15 +150,15 @@ SQL_FEATURES = {
 for _n, _fn in [("semantic", K.feat_semantic), ("lexical", K.feat_lexical), ("phrase", K.feat_phrase), ("slot", K.feat_slot), ("color", K.feat_color),
                 ("demographic", K.feat_demographic), ("occasion", K.feat_occasion), ("quality", K.feat_quality), ("price", K.feat_price), ("costume", K.feat_costume)]:
     def _make(name=_n, fn=_fn):
-        @query("feat_" + name, sql(f"SELECT query_id, level, item_id, round(({SQL_FEATURES[name]})::DOUBLE, 6) AS f FROM cj JOIN qphrase USING (query_id)", "cj", "qphrase"))
+        @query("feat_" + name, sql(f"SELECT query_id, level, item_id, {tidy(SQL_FEATURES[name], 6)} AS f FROM cj JOIN qphrase USING (query_id)", "cj", "qphrase"))
         def run(spark, sf):
-            return cands_frame(spark, sf).select("query_id", "level", "item_id", F.round(fn(), 6).alias("f"))
+            return cands_frame(spark, sf).select("query_id", "level", "item_id", exprs_tidy(fn(), 6).alias("f"))
     _make()
 
 
 def sql_score(lexical: str, feats: dict[str, str]) -> str:
     by = {n: "(" + " + ".join(f"{w}::DOUBLE * ({lexical if f == 'lexical' else feats[f]})::DOUBLE" for f, w in zip(R.FEATURES, ws, strict=True)) + ")" for n, ws in R.ARCHETYPE_WEIGHTS.items()}
-    return "round(greatest(0, least(1, (CASE archetype " + " ".join(f"WHEN '{n}' THEN {e}" for n, e in by.items()) + f" END) - ({feats['costume']}))), 6)"
+    return tidy("greatest(0, least(1, (CASE archetype " + " ".join(f"WHEN '{n}' THEN {e}" for n, e in by.items()) + f" END) - ({feats['costume']})))", 6)
 
 
 cte("qarch", f"SELECT query_id, {SQL_ARCHETYPE} AS archetype FROM parsed", "parsed")
@@ -204,15 +205,15 @@ def collapse_duplicates(spark, sf):
 cte("external", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORD}) AS rank, (length(title) % 7 + 0.5 * price)::DOUBLE AS ext FROM kept1 WHERE level = 200 AND price IS NOT NULL", "kept1")
 
 
-@query("blend_scores", sql("""SELECT query_id, item_id, round(CASE WHEN rank <= 20 THEN 0.65 * score + 0.35 * (ext - lo) / greatest(hi - lo, 1e-6) ELSE score END, 6) AS blended
-  FROM (SELECT *, min(CASE WHEN rank <= 20 THEN ext END) OVER (PARTITION BY query_id) AS lo, max(CASE WHEN rank <= 20 THEN ext END) OVER (PARTITION BY query_id) AS hi FROM external)""", "external"))
+@query("blend_scores", sql("""SELECT query_id, item_id, CAST(round(CAST(CASE WHEN rank <= 20 THEN 0.65 * score + 0.35 * (ext - xlo) / greatest(xhi - xlo, 1e-6) ELSE score END AS DECIMAL(18, 10)), 6) AS DOUBLE) AS blended
+  FROM (SELECT *, min(CASE WHEN rank <= 20 THEN ext END) OVER (PARTITION BY query_id) AS xlo, max(CASE WHEN rank <= 20 THEN ext END) OVER (PARTITION BY query_id) AS xhi FROM external)""", "external"))
 def blend_scores(spark, sf):
     rows = K.collapse_duplicates(scored(spark, sf).filter("passes")).filter("level = 200 and price is not null")
     ext = rows.withColumn("external", F.length("title") % 7 + 0.5 * F.col("price"))
     return K.blend_scores(K.ranked(ext, ("query_id",))).select("query_id", "item_id", "blended")
 
 
-cte("pools", "SELECT query_id, level, count(*) AS pool_size, count_if(NOT passes) AS excluded FROM scored GROUP BY ALL", "scored")
+cte("pools", "SELECT query_id, level, count(*) AS pool_size, count_if(NOT passes)::BIGINT AS excluded FROM scored GROUP BY ALL", "scored")
 cte("psize", "SELECT query_id, level, count(*) AS kept FROM kept1 GROUP BY ALL", "kept1")
 cte("chosen", """SELECT query_id, coalesce(min(CASE WHEN kept >= 10 THEN level END), max(level)) AS level FROM pools LEFT JOIN psize USING (query_id, level) GROUP BY query_id""", "pools", "psize")
 cte("wide", f"""SELECT k.*, p.pool_size, p.excluded, p.pool_size - p.excluded - s.kept AS collapsed, row_number() OVER (PARTITION BY query_id ORDER BY {_ORD}) AS rank
@@ -261,7 +262,7 @@ def low_confidence(spark, sf):
 @query("search_meta", sql(f"""SELECT p.query_id, coalesce(w.excluded, c.excluded, 0)::BIGINT AS excluded, coalesce(w.pool_size, c.pool_size, 0)::BIGINT AS pool_size,
   coalesce(w.n_results, 0) AS n_results, g2.skip_keyword OR coalesce(best_sim < 0.6191, false) AS low_confidence,
   CASE WHEN coalesce(w.n_results, 0) = 0 AND coalesce(c.excluded, 0) = 0 THEN 'no_good_match' END AS message
-  FROM parsed p LEFT JOIN (SELECT query_id, any_value(excluded) AS excluded, any_value(pool_size) AS pool_size, count_if(rank <= 10) AS n_results,
+  FROM parsed p LEFT JOIN (SELECT query_id, any_value(excluded) AS excluded, any_value(pool_size) AS pool_size, count_if(rank <= 10)::BIGINT AS n_results,
     max(CASE WHEN rank <= 10 THEN sim END) AS best_sim FROM wide GROUP BY query_id) w USING (query_id)
   LEFT JOIN (SELECT * FROM pools JOIN chosen USING (query_id, level)) c USING (query_id) JOIN guard_raw g2 USING (query_id)""", "parsed", "wide", "pools", "chosen", "guard_raw"))
 def search_meta(spark, sf):
@@ -288,7 +289,7 @@ def result_sort(spark, sf):
 
 
 @query("batch_filter_rank", sql(f"""SELECT query_id, level, item_id, score, row_number() OVER (PARTITION BY query_id, level ORDER BY {_ORD}) AS rank FROM (
-  SELECT query_id, level, item_id, fused, round(fused / mf + {sql_boost('0.0')}, 6) AS score FROM (SELECT *, max(fused) OVER (PARTITION BY query_id, level) AS mf FROM cj)
+  SELECT query_id, level, item_id, fused, {tidy(f"fused / mf + {sql_boost('0.0')}", 6)} AS score FROM (SELECT *, max(fused) OVER (PARTITION BY query_id, level) AS mf FROM cj)
   WHERE {_P} AND {_G} AND {_A} AND {_S})""", "cj"))
 def batch_filter_rank(spark, sf):
     return K.batch_filter_rank(cands_frame(spark, sf)).select("query_id", "level", "item_id", "score", F.col("rank").cast("bigint").alias("rank"))
@@ -398,11 +399,11 @@ def _sq_has(cues: list[str], tag: str | None) -> str:
 
 
 _formal, _ath, _nov = _sq_has(R.FORMAL_CUES, "formal"), _sq_has(R.ATHLETIC_CUES, "workout"), _sq_has(R.NOVELTY_CUES, None)
-cte("cs0", f"""SELECT *, round(coh, 6) AS cohesion, (0.25 * {_sq_shared('occ')} + 0.15 * {_sq_shared('sea')})::DOUBLE AS agree,
+cte("cs0", f"""SELECT *, {tidy('coh', 6)} AS cohesion, (0.25 * {_sq_shared('occ')} + 0.15 * {_sq_shared('sea')})::DOUBLE AS agree,
   (CASE WHEN {_formal} AND {_ath} THEN 0.5 ELSE 0 END + CASE WHEN {_formal} AND {_nov} THEN 0.7 ELSE 0 END)::DOUBLE AS conflict,
   list_sum(list_transform(items, lambda i: i.score)) / n_items AS mean FROM combos""", "combos")
-cte("cs1", "SELECT *, round(cohesion + agree - conflict, 4) AS compat FROM cs0", "cs0")
-cte("cscore", "SELECT *, round(mean + 0.15 * compat, 6) AS bscore, list_transform(items, lambda i: i.pr) AS prs, array_to_string(list_transform(items, lambda i: i.id), '+') AS ids FROM cs1", "cs1")
+cte("cs1", f"SELECT *, {tidy('cohesion + agree - conflict', 4)} AS compat FROM cs0", "cs0")
+cte("cscore", f"SELECT *, {tidy('mean + 0.15 * compat', 6)} AS bscore, list_transform(items, lambda i: i.pr) AS prs, array_to_string(list_transform(items, lambda i: i.id), '+') AS ids FROM cs1", "cs1")
 cte("tbest", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, level, template_rank ORDER BY subset_rank, bscore DESC, prs) AS r FROM cscore) WHERE r = 1""", "cscore")
 cte("bchosen", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_items DESC, bscore DESC, level, template_rank) AS r2 FROM tbest
   LEFT JOIN (SELECT query_id, min(level) AS stop FROM tbest WHERE subset_rank = 1 GROUP BY query_id) USING (query_id) WHERE stop IS NULL OR level <= stop) WHERE r2 = 1""", "tbest")

@@ -26,13 +26,26 @@ SAME = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "st
         "FLOAT": "float", "TIMESTAMP": "timestamp_ntz", "DATE": "date"}
 
 
+def shared(con, text: str) -> str:
+    """Build the common tables of a text once per connection and return its final SELECT."""
+    if not hasattr(text, "order"):
+        return text
+    from shelfspark.plans.registered.base import CTES
+
+    have = {r[0] for r in con.execute("SELECT table_name FROM duckdb_tables()").fetchall()}
+    for name in text.order:
+        if name not in have:
+            con.execute(f"CREATE TEMP TABLE {name} AS {CTES[name][0]}")
+    return text.final
+
+
 def canon(row):
     return tuple("NaN" if isinstance(v, float) and math.isnan(v) else v for v in row)
 
 
 def compare(df, con, text: str) -> str:
     """Empty when rows, names, types and values agree."""
-    rel = con.execute(text)
+    rel = con.execute(shared(con, text))
     names = [d[0] for d in rel.description]
     types = {d[0]: str(d[1]) for d in rel.description}
     want = rel.fetchall()
