@@ -65,18 +65,19 @@ def count_at_least(probes: DataFrame, pool: DataFrame, score: str, out: str = "n
     edges = counted.agg(F.array_distinct(F.percentile_approx("_s", marks, 4 * CELLS)).alias("e")).select("e").scalar()
     edges = F.coalesce(edges, F.array().cast("array<double>"))
 
-    def cell(s: str):
-        return F.size(F.filter(edges, lambda e: e < F.col(s)))
+    def with_cell(df: DataFrame) -> DataFrame:
+        return df.withColumn("_e", edges).withColumn(
+            "_cell", F.size(F.filter("_e", lambda e: e < F.col("_s")))).drop("_e")
 
-    placed = counted.withColumn("_cell", cell("_s"))
+    placed = with_cell(counted)
     totals = placed.groupBy("_cell").agg(F.sum("_c").alias("_m"))  # at most CELLS rows
     slots = probes.sparkSession.range(CELLS + 1).select(F.col("id").cast("int").alias("_cell"))
     above = Window.orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
     higher = slots.join(totals, "_cell", "left").select(
         "_cell", F.coalesce(F.sum(F.coalesce("_m", F.lit(0))).over(above), F.lit(0)).alias("_higher"))
     events = placed.select("_cell", "_s", "_c", F.lit(None).cast("bigint").alias("_k")).unionByName(
-        probes.select(F.col(score).alias("_s")).distinct().select(
-            cell("_s").alias("_cell"), "_s", F.lit(0).cast("bigint").alias("_c"), F.lit(1).cast("bigint").alias("_k")))
+        with_cell(probes.select(F.col(score).alias("_s")).distinct()).select(
+            "_cell", "_s", F.lit(0).cast("bigint").alias("_c"), F.lit(1).cast("bigint").alias("_k")))
     w = Window.partitionBy("_cell").orderBy(F.col("_s").desc())  # range frame: ties count
     running = events.withColumn("_in", F.sum("_c").over(w)).filter("_k = 1")
     answer = running.join(F.broadcast(higher), "_cell").select(

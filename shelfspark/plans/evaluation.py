@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import strings, unicode_regex
+from ..functions.exprs import strings, tidy, unicode_regex
 from ..operators.quantiles import exact_percentiles
 from ..operators.ranking import low_confidence, ranked
 from .reports import pct
@@ -105,7 +105,7 @@ def rate_summary(rates: DataFrame) -> DataFrame:
 
 def latency_percentiles(log: DataFrame, by: str = "endpoint", value: str = "latency_ms", digits: int = 2) -> DataFrame:
     out = exact_percentiles(log, [by], value, {"p50": 0.50, "p95": 0.95, "p99": 0.99})
-    return out.select(by, "n", *[F.round(c, digits).alias(c) for c in ("p50", "p95", "p99")])
+    return out.select(by, "n", *[tidy(F.col(c), digits).alias(c) for c in ("p50", "p95", "p99")])
 
 
 def language_success(rows: DataFrame, ok: Column, by: str = "language") -> DataFrame:
@@ -169,8 +169,8 @@ def similarity_calibration(scores: DataFrame, group: str = "grp", score: str = "
     flat = rows.agg(F.max(F.when(rel, F.col("p5"))).alias("t"), F.max(F.when(rel, F.col("lo"))).alias("rl"),
                     F.max(F.when(~rel, F.col("hi"))).alias("ih"))
     return rows.select(
-        group, "n", *[F.round(c, 6).alias(a) for c, a in (("lo", "min_sim"), ("p5", "p5"), ("median", "median"), ("hi", "max_sim"))],
-        F.round(flat.select("t").scalar(), 4).alias("threshold"),
+        group, "n", *[tidy(F.col(c), 6).alias(a) for c, a in (("lo", "min_sim"), ("p5", "p5"), ("median", "median"), ("hi", "max_sim"))],
+        tidy(flat.select("t").scalar(), 4).alias("threshold"),
         F.coalesce(flat.select(F.col("rl") > F.col("ih")).scalar(), F.lit(False)).alias("separable"))
 
 

@@ -141,15 +141,15 @@ def calibration(spark, sf):
         F.round(F.max("sim") - 0.2 * F.avg("sim") + F.first(tail), 6).alias("best_sim"))
 
 
-@query("similarity_calibration", sql("""SELECT grp, count(*) AS n, round(min(best_sim), 6) AS min_sim, round(quantile_cont(best_sim, 0.05), 6) AS p5, round(quantile_cont(best_sim, 0.5), 6) AS median, round(max(best_sim), 6) AS max_sim,
-  (SELECT round(quantile_cont(best_sim, 0.05), 4) FROM calib WHERE grp = 'relevant') AS threshold,
+@query("similarity_calibration", sql("""SELECT grp, count(*) AS n, round(min(best_sim), 6) AS min_sim, CAST(round(CAST(quantile_cont(best_sim, 0.05) AS DECIMAL(18, 10)), 6) AS DOUBLE) AS p5, CAST(round(CAST(quantile_cont(best_sim, 0.5) AS DECIMAL(18, 10)), 6) AS DOUBLE) AS median, round(max(best_sim), 6) AS max_sim,
+  (SELECT CAST(round(CAST(quantile_cont(best_sim, 0.05) AS DECIMAL(18, 10)), 4) AS DOUBLE) FROM calib WHERE grp = 'relevant') AS threshold,
   coalesce((SELECT min(best_sim) FROM calib WHERE grp = 'relevant') > (SELECT max(best_sim) FROM calib WHERE grp = 'irrelevant'), false) AS separable FROM calib GROUP BY grp""", "calib"))
 def similarity_calibration(spark, sf):
     return E.similarity_calibration(calibration(spark, sf))
 
 
 @query("unflagged_share", sql(f"""SELECT count(*) AS n, count(*) FILTER (best_sim >= t) AS unflagged, {pct('count(*) FILTER (best_sim >= t)', 'count(*)')} AS unflagged_pct
-  FROM calib, (SELECT round(quantile_cont(best_sim, 0.05), 4) AS t FROM calib WHERE grp = 'relevant') WHERE grp = 'irrelevant'""", "calib"))
+  FROM calib, (SELECT CAST(round(CAST(quantile_cont(best_sim, 0.05) AS DECIMAL(18, 10)), 4) AS DOUBLE) AS t FROM calib WHERE grp = 'relevant') WHERE grp = 'irrelevant'""", "calib"))
 def unflagged_share(spark, sf):
     c = calibration(spark, sf)
     t = E.similarity_calibration(c).agg(F.max("threshold")).scalar()

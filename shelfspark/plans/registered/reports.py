@@ -162,14 +162,14 @@ def field_accuracy(spark, sf):
 
 
 # ----------------------------------------------------------------- request log
-@query("latency_percentiles", """SELECT event_type AS endpoint, count(*) AS n, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.95), 2) AS p95,
-  round(quantile_cont(value, 0.99), 2) AS p99 FROM events GROUP BY ALL""")
+@query("latency_percentiles", """SELECT event_type AS endpoint, count(*) AS n, CAST(round(CAST(quantile_cont(value, 0.5) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p50, CAST(round(CAST(quantile_cont(value, 0.95) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p95,
+  CAST(round(CAST(quantile_cont(value, 0.99) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p99 FROM events GROUP BY ALL""")
 def latency_percentiles(spark, sf):
     return E.latency_percentiles(T.request_log(spark, sf))
 
 
-@query("rolling_metrics", sql("""SELECT endpoint, count(*) AS n, round(quantile_cont(latency_ms, 0.5), 2) AS p50, round(quantile_cont(latency_ms, 0.95), 2) AS p95,
-  round(quantile_cont(latency_ms, 0.99), 2) AS p99, round(avg(latency_ms), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY ts DESC, request_id DESC) AS r FROM log)
+@query("rolling_metrics", sql("""SELECT endpoint, count(*) AS n, CAST(round(CAST(quantile_cont(latency_ms, 0.5) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p50, CAST(round(CAST(quantile_cont(latency_ms, 0.95) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p95,
+  CAST(round(CAST(quantile_cont(latency_ms, 0.99) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p99, round(avg(latency_ms), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY ts DESC, request_id DESC) AS r FROM log)
   WHERE r <= 1000 GROUP BY endpoint""", "log"))
 def rolling_metrics(spark, sf):
     return M.rolling_metrics(T.request_log(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.exprs import tidy
 from ..plans.reports import pct
 
 
@@ -20,7 +21,7 @@ def rolling_metrics(log: DataFrame, *, endpoint: str = "endpoint", at: str = "ts
     recent = log.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= window)
     return recent.groupBy(endpoint).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.round(F.percentile(latency, F.lit(p)), 2).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))],
+        *[tidy(F.percentile(latency, F.lit(p)), 2).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))],
         F.round(F.avg(latency), 6).alias("mean"))
 
 
@@ -30,7 +31,7 @@ def rolling_metrics_stream(log: DataFrame, *, endpoint: str = "endpoint", at: st
     timed = log.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     return timed.groupBy(F.window(at, length, slide), endpoint).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.round(F.percentile(latency, F.lit(p)), 2).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+        *[tidy(F.percentile(latency, F.lit(p)), 2).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
 
 
 def ops_counters(log: DataFrame, by: tuple[str, ...] = ("endpoint", "status")) -> DataFrame:
