@@ -91,48 +91,49 @@ def _attach_pairs(pools: DataFrame, vectors: DataFrame) -> DataFrame:
 def bundle_combos(coherent: DataFrame, vectors: DataFrame) -> DataFrame:
     """All admissible combinations per template and slot subset.
 
-    The running price, gender and age prune after every join.  Columns: query_id, level,
-    template, template_rank, subset_rank, n_items, items, total_price, pair_sum, n_pairs.
+    One shuffle brings the pools of a (query, depth) together (at most 40 items); the
+    combinations then unfold inside the row, slot by slot, and the running price, gender and
+    age prune after every slot.  Columns: query_id, level, template, template_rank,
+    subset_rank, n_items, items, total_price, pair_sum, n_pairs.
     """
-    pools = _attach_pairs(coherent, vectors)
-    item = F.struct(*[F.col(c) for c in CARRIED])
     neutral = F.col("gender").isin("unisex", "unknown")
-    base = pools.select(
-        "query_id", "level", "pool_slot", item.alias("it"), "sims", F.coalesce("price", F.lit(0.0)).alias("p"),
-        F.when(~neutral, F.col("gender")).alias("g"), F.col("age_group").alias("ag"),
-        F.col("q_max_price").alias("budget"))
-
-    def start(slot: str) -> DataFrame:
-        return base.filter(F.col("pool_slot") == slot).select(
-            "query_id", "level", F.array("it").alias("items"), F.col("p").alias("total_price"),
-            F.col("g").alias("gender"), F.col("ag").alias("age"), "budget",
-            F.lit(0.0).alias("pair_sum"), F.lit(0).alias("n_pairs")).filter(
-            F.col("budget").isNull() | (F.col("total_price") <= F.col("budget")))
-
-    def extend(left: DataFrame, slot: str) -> DataFrame:
-        nxt = base.filter(F.col("pool_slot") == slot).select("query_id", "level", "it", "sims", "p", "g", "ag")
-        met = left.join(nxt, ["query_id", "level"])
-        known = F.transform("items", lambda i: F.try_element_at(F.col("sims"), i["item_id"]))
-        seen = F.array_compact(known)
-        total = F.col("total_price") + F.col("p")
-        return met.select(
-            "query_id", "level", F.concat("items", F.array("it")).alias("items"), total.alias("total_price"),
-            F.coalesce("gender", "g").alias("gender"), F.coalesce("age", "ag").alias("age"), "budget",
+    entry = F.struct(
+        F.struct(*[F.col(c) for c in CARRIED]).alias("it"), F.coalesce("price", F.lit(0.0)).alias("p"),
+        F.when(~neutral, F.col("gender")).alias("g"), F.col("age_group").alias("ag"), F.col("sims").alias("sims"))
+    grouped = _attach_pairs(coherent, vectors).groupBy("query_id", "level").agg(
+        F.max("q_max_price").alias("budget"),
+        *[F.collect_list(F.when(F.col("pool_slot") == s, entry)).alias(s) for s in R.BUNDLE_SLOTS])
+
+    def within(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("budget").isNull() | (F.col("total_price") <= F.col("budget")))
+
+    def start(slots: list[str]) -> DataFrame:
+        opened = grouped.select("query_id", "level", "budget", *slots[1:], F.explode(slots[0]).alias("e"))
+        return within(opened.select(
+            "query_id", "level", "budget", *slots[1:], F.array("e.it").alias("items"), F.col("e.p").alias("total_price"),
+            F.col("e.g").alias("g"), F.col("e.ag").alias("ag"), F.lit(0.0).alias("pair_sum"), F.lit(0).alias("n_pairs")))
+
+    def extend(left: DataFrame, slot: str, later: list[str]) -> DataFrame:
+        kept = [c for c in left.columns if c not in R.BUNDLE_SLOTS]
+        met = left.select(*kept, *later, F.explode(slot).alias("e")).filter(
+            F.coalesce(F.col("g") == F.col("e.g"), F.lit(True)) & F.coalesce(F.col("ag") == F.col("e.ag"), F.lit(True)))
+        seen = F.array_compact(F.transform("items", lambda i: F.try_element_at(F.col("e.sims"), i["item_id"])))
+        return within(met.select(
+            "query_id", "level", "budget", *later, F.concat("items", F.array("e.it")).alias("items"),
+            (F.col("total_price") + F.col("e.p")).alias("total_price"), F.coalesce("g", "e.g").alias("g"),
+            F.coalesce("ag", "e.ag").alias("ag"),
             (F.col("pair_sum") + F.aggregate(seen, F.lit(0.0), lambda acc, v: acc + v)).alias("pair_sum"),
-            (F.col("n_pairs") + F.size(seen)).alias("n_pairs"),
-            F.coalesce(F.col("gender") == F.col("g"), F.lit(True)).alias("_g"),
-            F.coalesce(F.col("age") == F.col("ag"), F.lit(True)).alias("_a"),
-        ).filter("_g and _a").filter(F.col("budget").isNull() | (F.col("total_price") <= F.col("budget"))).drop("_g", "_a")
+            (F.col("n_pairs") + F.size(seen)).alias("n_pairs")))
 
     out = None
-    for t_rank, (name, slots) in enumerate(R.BUNDLE_TEMPLATES, start=1):
-        chain, partial = [], start(slots[0])
-        for slot in slots[1:]:
-            partial = extend(partial, slot)
-            chain.append(partial)
+    for t_rank, (name, full) in enumerate(R.BUNDLE_TEMPLATES, start=1):
         # subsets drop the accessory, then the footwear; a bundle has at least two items
-        for s_rank, combos in enumerate(reversed(chain), start=1):
-            tagged = combos.select(
+        subsets = [full, full[:-1], full[:-2]]
+        for s_rank, slots in enumerate([s for s in subsets if len(s) >= 2], start=1):
+            partial = start(slots)
+            for i, slot in enumerate(slots[1:], start=1):
+                partial = extend(partial, slot, slots[i + 1:])
+            tagged = partial.select(
                 "query_id", "level", F.lit(name).alias("template"), F.lit(t_rank).alias("template_rank"),
                 F.lit(s_rank).alias("subset_rank"), F.size("items").alias("n_items"), "items",
                 "total_price", "pair_sum", "n_pairs")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import strings
 from ..functions.intent import parse_queries
 from ..operators.triage import transform_catalog
+from ..session import materialize
 
 AUDIENCES = ["Women's ", "Men's ", "Unisex ", "Girls' ", "Boys' ", "Toddler ", "Womens ", "",
              "Men&#39;s &amp; Women&#39;s "]
@@ -113,10 +114,10 @@ _KEPT: dict[tuple, DataFrame] = {}
 
 
 def kept(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    """Share an intermediate frame between queries of one session (recomputed if it is lost)."""
+    """Share an intermediate table between the queries of one session."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _KEPT:
-        _KEPT[key] = build().persist()
+        _KEPT[key] = materialize(build(), name)
     return _KEPT[key]
 
 
