@@ -251,14 +251,16 @@ def feature_columns(fused: str = "fused", quality: str = "quality_bayes") -> dic
 
 
 def rerank(cands: DataFrame, *, keys: tuple[str, ...] = ("query_id", "level"), fused: str = "fused",
-           quality: str = "quality_bayes", rank: bool = True) -> DataFrame:
+           quality: str = "quality_bayes", rank: bool = True, only: str | None = None) -> DataFrame:
     """Weighted feature score in [0, 1] per archetype and the position it gives.
 
+    `only` names a flag: rows without it get null features and no feature is computed for them.
+
     `fused` names the column fed to the lexical feature: the fused score (default), or the
     boosted pool score to reproduce how the served ranking saturates that feature.
     """
-    feats = feature_columns(fused, quality)
-    out = cands.withColumns({f"f_{n}": c for n, c in feats.items()}).withColumn("f_costume", feat_costume())
+    feats = {**feature_columns(fused, quality), "costume": feat_costume()}
+    out = cands.withColumns({f"f_{n}": F.when(F.col(only), c) if only else c for n, c in feats.items()})
     out = out.withColumn("archetype", archetype())
     total = None
     for name, weights in R.ARCHETYPE_WEIGHTS.items():
@@ -310,7 +312,7 @@ def score_pools(cands: DataFrame, bounds: DataFrame, *, as_served: bool = False,
         "passes", F.col("_strict") & innerwear_ok() & eligible()).drop("_strict")
     q_norm = (F.col("quality_bayes") - lo) / F.greatest(hi - lo, F.lit(1e-6))
     boosted = flagged.withColumn("pool_score", F.col("norm_fused") + soft_boost(q_norm, quality_weight))
-    return rerank(boosted, keys=keys, fused="pool_score" if as_served else "fused", rank=False)
+    return rerank(boosted, keys=keys, fused="pool_score" if as_served else "fused", rank=False, only="passes")
 
 
 def pool_counts(scored: DataFrame, top_k: int = 10, kept: DataFrame | None = None) -> DataFrame:

@@ -125,10 +125,15 @@ def _best_rows(qids: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> p
     order = np.argsort(ids, kind="stable")
     ids, sims = ids[order], sims[:, order]
     keep = min(k, sims.shape[1])
-    top = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-    rows = np.repeat(np.arange(len(qids)), keep)
-    flat = top.ravel()
-    return pd.DataFrame({"query_id": qids[rows], "item_id": ids[flat], "score": sims[rows, flat]})
+    # everything at or above the k-th best value of its row, ties included, then sort only that
+    cut = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
+    rows, cols = np.nonzero(sims >= cut[:, None])
+    found = sims[rows, cols]
+    by = np.lexsort((cols, -found, rows))
+    rows, cols, found = rows[by], cols[by], found[by]
+    first = np.searchsorted(rows, np.arange(len(qids)))
+    best = np.arange(len(rows)) - first[rows] < keep
+    return pd.DataFrame({"query_id": qids[rows[best]], "item_id": ids[cols[best]], "score": found[best]})
 
 
 def _block_top(qids: np.ndarray, qmat: np.ndarray, items: pd.DataFrame, k: int) -> pd.DataFrame:

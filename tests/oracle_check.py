@@ -1,4 +1,4 @@
-"""Run registered queries beside their checking SQL: python tests/check_oracles.py [sf] [names...]"""
+"""Run registered queries beside their checking SQL: python tests/oracle_check.py [sf] [names...]"""
 
 from __future__ import annotations
 
