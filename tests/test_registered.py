@@ -16,9 +16,9 @@ def con():
 
 @pytest.mark.parametrize("name", LIGHT)
 def test_matches_sql(spark, con, name):
-    from __spark_entry__ import oracle_sql, queries
+    from __spark_entry__ import ORACLES, queries
 
-    assert compare(queries()[name](spark, SF), con, oracle_sql()[name]) == ""
+    assert compare(queries()[name](spark, SF), con, ORACLES[name]) == ""
 
 
 def test_every_oracle_has_a_query():
