@@ -82,7 +82,7 @@ def main() -> None:
         t = time.time()
         try:
             df = entry.queries()[name](spark, sf)
-            text = entry.ORACLES.get(name)
+            text = {**entry.ORACLES, **entry.LLM_ORACLES}.get(name)
             if text is None:
                 n = df.count()
                 print(f"rows {name} {n} {time.time() - t:.1f}s", flush=True)
