@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import neardup, simhash, topk, urls
+from . import neardup, secrets, simhash, topk, urls
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1_embedding_neardup,
     "op5_url_filters": urls.op5_url_filters,
+    "op8_secret_scans": secrets.op8_secret_scans,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_topk": topk.op10_exact_topk,
 }
