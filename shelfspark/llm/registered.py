@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import neardup, secrets, simhash, topk, urls
+from . import neardup, secrets, simhash, topk, urls, warc
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1_embedding_neardup,
+    "op2_warc_packages": warc.op2_warc_packages,
     "op5_url_filters": urls.op5_url_filters,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_simhash": simhash.op9_simhash,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_embedding_neardup": neardup.ORACLE,
+    "op2_warc_packages": warc.ORACLE,
     "op5_url_filters": urls.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }
