@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import neardup, secrets, simhash, topk, urls, warc
+from . import chat, neardup, packing, secrets, simhash, topk, urls, warc
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1_embedding_neardup,
     "op2_warc_packages": warc.op2_warc_packages,
+    "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_url_filters": urls.op5_url_filters,
+    "op7_packing": packing.op7_packing,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_topk": topk.op10_exact_topk,
@@ -15,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op1_embedding_neardup": neardup.ORACLE,
     "op2_warc_packages": warc.ORACLE,
+    "op4_chat_formatting": chat.ORACLE,
     "op5_url_filters": urls.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }
