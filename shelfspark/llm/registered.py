@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, packing, secrets, simhash, topk, urls, warc
+from . import chat, langid, neardup, packing, secrets, simhash, topk, urls, warc
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1_embedding_neardup,
     "op2_warc_packages": warc.op2_warc_packages,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_url_filters": urls.op5_url_filters,
+    "op6_language_id": langid.op6_language_id,
     "op7_packing": packing.op7_packing,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_simhash": simhash.op9_simhash,
