@@ -14,7 +14,7 @@ from ..session import materialize, ship
 from .common import components, forest, table
 
 SAMPLE = 20_000  # most vectors that the centroids are fitted on
-BLOCK = 2048     # most rows of a block of a cell, on average
+BLOCK = 4096     # most rows of a block of a cell, on average
 MOST_CELLS = 4096
 
 
@@ -38,6 +38,23 @@ def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = 10, seed: int =
     return centers
 
 
+def fitted_cells(rows: np.ndarray, most: int, reach: float) -> np.ndarray:
+    """Centroids for the number of cells (1, 2, 4, ... up to `most`) with the least work on the sample: the sum of the squared
+    loads, visitors included.  Where the data has no clusters that the reach respects, one cell in blocks is best."""
+    best, least = rows[:1], np.inf
+    k = 1
+    while k <= most:
+        centers = spherical_kmeans(rows, k)
+        near = rows @ centers.T
+        home = near.argmax(axis=1)
+        gaps = np.sqrt(np.maximum(2 - 2 * centers @ centers.T, 0))
+        load = (near[np.arange(len(rows)), home][:, None] - near <= reach * gaps[home] + 1e-9).sum(axis=0) / len(rows)
+        if (load ** 2).sum() < least:
+            best, least = centers, (load ** 2).sum()
+        k *= 2
+    return best
+
+
 def cells_of(centers: np.ndarray, reach: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """For each vector: its home cell and the cells whose border with the home cell is at most `reach` away."""
     gaps = np.sqrt(np.maximum(2 - 2 * centers @ centers.T, 0))
@@ -79,14 +96,18 @@ def block_links(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFram
             return out
         ra, na, ha, xa, oa = sides(a)
         rb, nb, hb, xb, ob = (ra, na, ha, xa, oa) if one == two else sides(b)
-        linked = np.concatenate([xa[i:i + 512] @ xb.T >= threshold for i in range(0, len(xa), 512)])
-        linked &= ra[:, None] != rb[None, :]
+        slack = 1e-5 + 2e-7 * xa.shape[1]  # single precision finds the rows to compare, double precision decides
+        fa, fb = xa.astype(np.float32), xb.astype(np.float32).T
+        close = np.concatenate([fa[i:i + 512] @ fb >= threshold - slack for i in range(0, len(fa), 512)])
+        if one == two:
+            np.fill_diagonal(close, False)
+        i, j = close.any(axis=1), close.any(axis=0)
+        ra, na, ha, xa, oa, rb, nb, hb, xb, ob = ra[i], na[i], ha[i], xa[i], oa[i], rb[j], nb[j], hb[j], xb[j], ob[j]
+        linked = (xa @ xb.T >= threshold) & (ra[:, None] != rb[None, :])
         linked &= (ha == cell)[:, None] | (hb == cell)[None, :]  # two visitors meet in a home of theirs
         ids, roots = forest(linked, ra, rb)
         if not len(ids):
             return out
-        i, j = linked.any(axis=1), linked.any(axis=0)
-        linked, ra, na, ha, oa, rb, nb, hb, ob = linked[i][:, j], ra[i], na[i], ha[i], oa[i], rb[j], nb[j], hb[j], ob[j]
         elsewhere = np.zeros_like(linked)
         a_home, b_home = (ha == cell)[:, None], (hb == cell)[None, :]
         elsewhere |= a_home & ~b_home & (hb[None, :] < cell) & visits(oa, hb)
@@ -95,7 +116,8 @@ def block_links(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFram
         weight = pd.Series(linked @ nb, index=ra)
         if one != two:
             weight = pd.concat([weight, pd.Series(linked.T @ na, index=rb)])
-        return pd.DataFrame({"rep": ids, "links": weight.groupby(level=0).sum().reindex(ids, fill_value=0).to_numpy(), "root": roots})
+        # within one block a group can come twice, once from either side, with the same members
+        return pd.DataFrame({"rep": ids, "links": weight.groupby(level=0).sum().reindex(ids, fill_value=0).to_numpy(), "root": roots}).drop_duplicates("rep")
     return links
 
 
@@ -124,10 +146,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
     found = None
     for dim, count in [(r[0], r[1]) for r in reps.groupBy("dim").count().collect()]:
         own = reps.filter(F.col("dim") == dim)
-        k = cells or max(1, min(MOST_CELLS, round(math.sqrt(count) / 8)))
         drawn = own.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()
-        centers = spherical_kmeans(unit(np.stack(drawn["embedding"].to_numpy())), k)
         reach = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
+        rows = unit(np.stack(drawn["embedding"].to_numpy()))
+        centers = spherical_kmeans(rows, cells) if cells else fitted_cells(rows, min(MOST_CELLS, round(math.sqrt(count))), reach)
         homes = own.mapInPandas(cells_of(centers, reach), "embedding array<float>, rep long, copies long, dim int, home int, others array<int>")
         found = homes if found is None else found.unionByName(homes)
     if found is None:
