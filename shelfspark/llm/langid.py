@@ -148,8 +148,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
     return Model(idf, np.stack(fitted["center"].to_numpy()).astype(np.float32), fitted["lang"].tolist(), fitted["floor"].to_numpy())
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The `keep` columns of docs, with lang_pred, score (cosine, 0 to 1) and rejected.
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The `keep` columns of docs, with the predicted language, the score (cosine, 0 to 1) and whether it is rejected under
+    `names`, which must not be among those kept.
 
     A null text or one without a letter is `und` with score 0 and is rejected; others get the language of the
     nearest centroid and are rejected below its floor.  Whole texts are read; `text` is the only input.
@@ -157,13 +158,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # centroids of at most MOST_LANGUAGES languages
-    rows = docs.select(*keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("judged"))
+    rows = docs.select(*keep, *[c for c in ["text"] if c not in keep], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("llm_has_letter"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [shared.value.judge(t) if isinstance(t, str) else (UNKNOWN, 0.0, False) for t in batch["judged"]]
-            yield batch[keep].assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got], rejected=[not g[2] for g in got])
-    return rows.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["lang_pred string", "score double", "rejected boolean"]))
+            got = [shared.value.judge(t) if letter else (UNKNOWN, 0.0, False) for t, letter in zip(batch["text"], batch["llm_has_letter"])]
+            yield batch[keep].assign(**{names[0]: [g[0] for g in got], names[1]: [g[1] for g in got], names[2]: [not g[2] for g in got]})
+    return rows.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"))]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, langid, neardup, packing, secrets, simhash, topk, urls, warc
+from . import chat, langid, mixing, neardup, packing, secrets, simhash, topk, urls, warc
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1_embedding_neardup,
     "op2_warc_packages": warc.op2_warc_packages,
+    "op3_mixing": mixing.op3_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_url_filters": urls.op5_url_filters,
     "op6_language_id": langid.op6_language_id,

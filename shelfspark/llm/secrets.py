@@ -127,16 +127,16 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
     """
     spans = scan_secrets(docs, scope)
     all_spans = F.array_sort(F.concat("base", "linked"))
-    per = spans.filter(F.size("base") + F.size("linked") > 0).select(F.col("doc_id").alias("s_doc"), F.col("key").alias("s_key"), all_spans.alias("spans")).dropDuplicates(["s_doc", "s_key"])
+    per = spans.filter(F.size("base") + F.size("linked") > 0).select(F.col("doc_id").alias("s_doc"), F.col("key").alias("s_key"), all_spans.alias("s_spans")).dropDuplicates(["s_doc", "s_key"])
     cut = F.aggregate(
-        F.col("spans"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
+        F.col("s_spans"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
             s["end"].alias("at"),
             F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(
                 acc["parts"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))).alias("parts"))))
     clean = F.concat(F.array_join(cut["parts"], ""), F.substring(F.col("text"), (cut["at"] + 1).cast("int"), F.length("text")))
     joined = docs.join(per, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("s_key")), "left")
-    return joined.select(*[F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col("s_spans").isNotNull(), clean).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

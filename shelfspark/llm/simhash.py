@@ -10,7 +10,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
@@ -21,6 +21,7 @@ SEED = 42
 BUCKET = 2048       # most rows of one side of a bucket, on average, before it is split
 SMALL = 256         # pairs of a bucket that are compared in one vector operation with other buckets
 AT_ONCE = 1 << 15   # shingles hashed at once
+SKETCH_WORDS, SKETCH_BINS = 5, 512  # of the min-hash that decides on similarity: its standard error is below 0.018
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -48,14 +49,35 @@ def as_signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) per row of docs(doc_id, text); fp holds the 64 bits as a signed long."""
+def sketch(text: str | None, words: int = SKETCH_WORDS, bins: int = SKETCH_BINS) -> bytes:
+    """One-permutation min-hash over word shingles: per bin one byte of its least hash, 0 where no shingle fell into it."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
+    n = max(1, len(parts) - words + 1) if parts else 0
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, n, AT_ONCE):
+        few = parts[at:min(at + AT_ONCE, n) + words - 1]
+        joined = zip(*(few[i:] for i in range(words))) if len(parts) >= words else [parts]
+        hashes = np.array([digest(b" ".join(s), SEED + 1) for s in joined], np.uint64)
+        np.minimum.at(least, (hashes % np.uint64(bins)).astype(np.int64), hashes)
+    return np.where(least == np.iinfo(np.uint64).max, 0, (least >> np.uint64(32)) % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
+
+def fingerprints(docs: DataFrame, words: int = 3, sketches: bool = False) -> DataFrame:
+    """(doc_id, key, fp, sketch) per row of docs(doc_id, text): key hashes id and text, fp holds the 64 bits as a signed
+    long, sketch is null unless asked for."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([as_signed(fingerprint(t, words)) for t in batch["text"]], np.int64)})
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "fp": np.array([as_signed(fingerprint(t, words)) for t in batch["text"]], np.int64),
+                                "sketch": [sketch(t) if sketches else None for t in batch["text"]]})
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInPandas(
+        run, "doc_id long, key long, fp long, sketch binary")
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 # ------------------------------------------------------------------ parts and thresholds
@@ -274,20 +296,95 @@ def fingerprint_links(fps: DataFrame, most_bits: int = 3, parts: int | None = No
         compare_buckets(most_bits), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words: int = 3, most_bits: int = 3, parts: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Per row of docs(doc_id, text): (doc_id, fp, component_id), component_id the smallest doc_id reachable by links
+def simhash_groups(docs: DataFrame, words: int = 3, most_bits: int = 3, parts: int | None = None, bucket: int = BUCKET,
+                   similarity: float | None = None) -> DataFrame:
+    """Per row of docs(doc_id, text): (doc_id, key, fp, component_id), component_id the smallest doc_id reachable by links
     between fingerprints that differ in at most `most_bits` bits, itself included.
 
+    With `similarity`, links are only kept between documents whose sets of five-word shingles have at least that
+    similarity by their sketches; equal fingerprints still count as copies.
+
     A null or empty text, or one of white space only, has fingerprint zero and links like any other.  Repeated rows
     stay and share a component; a row with a null doc_id has the component of the other rows with its fingerprint, and
-    null where there are none.  Whole texts count, however long.  Other columns are ignored.  Equal fingerprints are compared once, whatever their number.
+    null where there are none.  Whole texts count, however long.  Other columns are ignored.  Equal fingerprints are
+    compared once, whatever their number.
     """
-    marked = materialize(fingerprints(docs, words), "simhash_docs")
+    marked = materialize(fingerprints(docs, words, similarity is not None), "simhash_docs")
     reps = materialize(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash_reps")
-    links = fingerprint_links(reps, most_bits, parts, bucket)
-    groups = components(links, "simhash_components")
+    groups = components(fingerprint_links(reps, most_bits, parts, bucket), "simhash_components")
+    if similarity is not None:
+        one = marked.filter("doc_id is not null").groupBy("doc_id", "fp").agg(F.min("sketch").alias("sketch")).withColumnRenamed("doc_id", "rep")
+        near = groups.join(reps.withColumnRenamed("rep", "id"), "id").select(F.col("id").alias("rep"), "fp", "component").join(one, ["rep", "fp"])
+        groups = components(similar_links(near, similarity, most_bits), "simhash_similar")
     named = reps.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp", "left").select("doc_id", "key", "fp", "component_id")
+
+
+def similar_links(near: DataFrame, similarity: float, most_bits: int, block: int = 512) -> DataFrame:
+    """Links (a, b) that connect those of near(rep, fp, component, sketch) which share a component, differ in at most
+    `most_bits` bits and whose sketches agree in `similarity` of the bins that either has.
+
+    A component is cut into blocks of bounded size; each pair of blocks is compared by one task and leaves a spanning star.
+    """
+    rows = materialize(near, "simhash_near")
+    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    paired = (rows.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rep", "fp", "sketch"))
+
+    def stars(some: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        one, two, own = some["one"].iat[0], some["two"].iat[0], some["own"].to_numpy()
+        fp, rep = some["fp"].to_numpy(), some["rep"].to_numpy()
+        bins = np.frombuffer(b"".join(some["sketch"]), np.uint8).reshape(len(some), -1)
+        a, b = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        linked = np.bitwise_count((fp[a][:, None] ^ fp[b][None, :]).view(np.uint64)) <= most_bits
+        for i in range(len(a)):
+            j = b[linked[i]]
+            mine, theirs = bins[a[i]], bins[j]
+            either = np.count_nonzero((theirs | mine) != 0, axis=1)
+            same = np.count_nonzero((theirs == mine) & (mine != 0), axis=1)
+            linked[i, linked[i]] = (same >= similarity * either) & (rep[j] != rep[a[i]])
+        return forest(linked, rep[a], rep[b])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in by_key(batches, ["component", "one", "two"]):
+            if len(some) > 1:
+                a, b = stars(some)
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b})
+    return paired.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInPandas(run, "a long, b long")
+
+
+def by_key(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The runs of equal keys of sorted rows, each as one frame."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(held):
+            continue
+        key = held[columns].to_numpy()
+        ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for start, end in zip(np.append(0, ends[:-1]), ends) if len(ends) else ():
+            yield held.iloc[start:end]
+        if len(ends):
+            held = held.iloc[ends[-1]:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def deduplicated(docs: DataFrame, words: int = 2, most_bits: int = 8, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest doc_id stays (then the smallest key), with all columns.
+
+    Word pairs make fingerprints that stay near under edits (documents with 0.8 of their five-word shingles in common are
+    3 to 8 bits apart), so they find the candidates; the five-word sketches decide.  Rows with a null doc_id
+    stay unless their group has others.
+    """
+    groups = materialize(simhash_groups(docs, words, most_bits, similarity=similarity), "simhash_groups")
+    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("d_key"))
+    kept = docs.withColumn("d_row", row_key()).join(first, F.col("d_row") == F.col("d_key"))
+    nth = F.row_number().over(Window.partitionBy("d_row").orderBy("d_row"))  # rows that repeat wholly: one
+    return kept.withColumn("d_nth", nth).filter("d_nth = 1").select(*[docs[c] for c in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def test_equals_brute_force(spark):
 
 
 def test_redaction_cuts_exactly_the_spans(spark):
-    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(CASES)], "doc_id long, text string, n int")
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(CASES)], "doc_id long, text string, spans int")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     for i, t in enumerate(CASES):
         want, at = "", 0

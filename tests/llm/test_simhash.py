@@ -78,3 +78,46 @@ def test_query_equals_brute_force(spark):
     ids = [r["doc_id"] for r in docs]
     want = plain_groups(ids, fps, 3)
     assert got == {i: (f"{f:016x}", want[i]) for i, f in zip(ids, fps)}
+
+
+def test_deduplicated_keeps_one_of_each_group(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+
+    def edited(parts, n):
+        out = list(parts)
+        for at in rng.choice(len(out), n, replace=False):
+            out[at] = "changed%d" % rng.integers(1 << 40)
+        return out
+    rows, groups, i = [], {}, 0
+    for g in range(40):
+        base = list(rng.choice(words, 150 + 20 * g))
+        for e in (0, 0, 1, 2, 3):
+            rows.append((i, " ".join(edited(base, e)), g))
+            groups.setdefault(("near", g), []).append(i)
+            i += 1
+        rows.append((i, " ".join(edited(base, (150 + 20 * g) // 3)), g))  # far below 0.8: stays
+        groups[("far", g)] = [i]
+        i += 1
+    rows += [(5000, None, 1), (5001, "", 1), (5002, "short one", 1), (5002, "short one", 1), (None, "short one", 2), (None, "other text", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = simhash.deduplicated(docs)
+    assert got.columns == docs.columns
+    kept = [r["doc_id"] for r in got.collect()]
+    want = [min(v) for v in groups.values()] + [5000, 5002, None]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+    assert simhash.deduplicated(docs.filter("false")).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(4)
+    for n in (30, 200, 3000):
+        a = [str(x) for x in rng.integers(0, 1 << 40, n)]
+        b = list(a)
+        for at in range(0, n, max(10, n // 8)):
+            b[at] = "x"
+        shingles = [{" ".join(w[i:i + 5]) for i in range(n - 4)} for w in (a, b)]
+        true = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
+        x, y = (np.frombuffer(simhash.sketch(" ".join(w)), np.uint8) for w in (a, b))
+        assert abs(((x == y) & (x > 0)).sum() / ((x | y) > 0).sum() - true) < 0.06
+    assert simhash.sketch(None) == simhash.sketch(" ") == bytes(simhash.SKETCH_BINS)
