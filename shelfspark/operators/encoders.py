@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -33,25 +33,22 @@ def embed_items(items: DataFrame, make_encoder: Callable[[], Encoder], *, item:
     return items.select(item, text).mapInPandas(encode, f"{item} {kind}, vec array<float>")
 
 
-def hash_vector(text: Column, dim: int = 64) -> Column:
-    """Deterministic bag-of-words vector, JVM-side: tokens are hashed to signed positions, then
-    the vector is scaled to unit length.  Equal texts give equal vectors on every machine."""
-    h = F.transform(tokenize(text), lambda t: F.xxhash64(t))
-    slots = F.transform(h, lambda v: F.struct(
-        F.pmod(v, F.lit(dim)).cast("int").alias("i"),
-        F.when(F.shiftright(v, 63) < 0, -1.0).otherwise(1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(
-        slots, F.lit(0.0), lambda acc, x: acc + F.when(x["i"] == i, x["s"]).otherwise(0.0)))
-    return unit(raw)
-
-
-def unit(vec: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-    return F.transform(vec, lambda v: F.when(norm > 0, v / norm).otherwise(0.0).cast("float"))
-
-
 def hash_encoder(items: DataFrame, dim: int = 64, item: str = "item_id", text: str = "search_text") -> DataFrame:
-    return items.select(item, hash_vector(F.col(text), dim).alias("vec"))
+    """(item, vec): deterministic bag-of-words vectors, JVM-side.
+
+    A token's MD5 gives its position (first eight digits) and its sign (the ninth); counts are summed per (item,
+    position) and each array is built once and scaled to unit length.  Equal texts give equal vectors on every
+    machine; a text without tokens has the zero vector.
+    """
+    digest = F.md5(F.col("_t").cast("binary"))
+    slot = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
+    terms = items.select(item, F.explode_outer(tokenize(F.col(text))).alias("_t")).select(item, slot.alias("_i"), sign.alias("_s"))
+    summed = terms.groupBy(item, "_i").agg(F.sum("_s").alias("_v"))
+    held = summed.groupBy(item).agg(F.map_from_entries(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_v")))).alias("_m"),
+                                    F.sqrt(F.sum(F.when(F.col("_i").isNotNull(), F.col("_v") * F.col("_v")))).alias("_n"))  # at most dim entries
+    return held.select(item, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
+        F.try_element_at("_m", i) / F.nullif(F.col("_n"), F.lit(0.0)), F.lit(0.0)).cast("float")).alias("vec"))
 
 
 def tfidf_vectors(items: DataFrame, dim: int = 4096, item: str = "item_id", text: str = "search_text") -> DataFrame:

@@ -345,7 +345,7 @@ def topk_results(ranked_rows: DataFrame, top_k: int = 10) -> DataFrame:
                           F.col("q_season"), F.col("q_occasion"))
     return ranked_rows.filter(F.col("rank") <= top_k).select(
         "query_id", "rank", "item_id", "title", "price", "store", "slot", "gender", "age_group",
-        F.round("score", 4).alias("score"), F.round("sim", 4).alias("similarity"), reason.alias("reason"))
+        tidy(F.col("score"), 4).alias("score"), tidy(F.col("sim"), 4).alias("similarity"), reason.alias("reason"))
 
 
 def low_confidence(results: DataFrame, threshold: float = R.LOW_CONFIDENCE, sim: str = "sim") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,24 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import tokenize
-from ..session import BROADCAST_ROWS, at_most
+from ..session import ship
 
-RUNNING_ROWS = 2_000_000  # query rows x k a scanning task may keep
+TILE_QUERIES, TILE_ITEMS = 512, 4096  # most rows of a tile on average: its product is 16 MB whatever k and the tables are
 SCORE_DECIMALS = 6  # scores are rounded before ranking, so ranks never depend on summation order
 
 
+@dataclass(frozen=True)
+class KeywordIndex:
+    """What keyword search reads: (item, token, tf, doc_len), (item, doc_len) with empty documents, (token, df)."""
+    postings: DataFrame
+    documents: DataFrame
+    frequencies: DataFrame
+
+    def stats(self) -> DataFrame:
+        """One row: number of documents and their mean length (empty documents count)."""
+        return self.documents.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+
+
 # ---------------------------------------------------------------- keyword side
 def build_postings(items: DataFrame, item: str = "item_id", text: str = "search_text") -> DataFrame:
     """(item, token, tf, doc_len).  The count is partial before its one shuffle."""
@@ -28,17 +41,23 @@ def build_postings(items: DataFrame, item: str = "item_id", text: str = "search_
     )
 
 
-def document_stats(items: DataFrame, text: str = "search_text") -> DataFrame:
-    """One row: number of documents and their mean length (empty documents count)."""
-    return items.agg(F.count(F.lit(1)).alias("n_docs"),
-                     F.avg(F.size(tokenize(F.col(text)))).alias("avg_len"))
+def document_lengths(items: DataFrame, item: str = "item_id", text: str = "search_text") -> DataFrame:
+    return items.select(item, F.size(tokenize(F.col(text))).alias("doc_len"))
+
 
+def keyword_index(items: DataFrame, item: str = "item_id", text: str = "search_text",
+                  keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> KeywordIndex:
+    """The index of items(item, text).  `keep` stores each of its tables, so that texts are read only here."""
+    postings = keep(build_postings(items, item, text), "postings")
+    documents = keep(document_lengths(items, item, text), "doc_lengths")
+    frequencies = keep(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token_df")
+    return KeywordIndex(postings, documents, frequencies)
 
-def token_stats(postings: DataFrame, stats: DataFrame) -> DataFrame:
+
+def token_stats(index: KeywordIndex) -> DataFrame:
     """(token, df, idf); negative idf is raised to a share of the mean idf."""
-    freq = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = stats.select("n_docs").scalar()
-    raw = freq.withColumn("raw_idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    n = index.stats().select("n_docs").scalar()
+    raw = index.frequencies.withColumn("raw_idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = raw.agg((F.avg("raw_idf") * R.BM25_EPSILON).alias("f")).scalar()
     return raw.select("token", "df",
                       F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"))
@@ -72,24 +91,18 @@ def top_per_query(scored: DataFrame, k: int, query: str = "query_id", item: str
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_scores(tokens: DataFrame, postings: DataFrame, idf: DataFrame, stats: DataFrame,
-                query: str = "query_id", item: str = "item_id", salts: int = 16,
-                small: bool | None = None) -> DataFrame:
+def bm25_scores(tokens: DataFrame, index: KeywordIndex, idf: DataFrame,
+                query: str = "query_id", item: str = "item_id", salts: int = 16) -> DataFrame:
     """(query, item, score) of every document that shares a token with the query.
 
-    The weighted query tokens are the small side.  While they are proven small every postings
-    task looks them up in place.  Beyond the bound both sides meet on (token, salt), so the
-    postings of one common token are spread over `salts` tasks.
+    The weighted query tokens meet the postings on (token, salt): the postings of a common token are spread over
+    `salts` tasks, and where the planner sees that the tokens are few it looks them up in place instead.
     """
-    small = at_most(tokens, BROADCAST_ROWS) if small is None else small
     weighted = tokens.join(idf.select("token", "idf"), "token")
-    if small:
-        hits = postings.join(F.broadcast(weighted), "token")
-    else:
-        spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = postings.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int"))
-        hits = salted.join(spread, ["token", "_salt"])
-    avg_len = stats.select("avg_len").scalar()
+    spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = index.postings.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int"))
+    hits = salted.join(spread, ["token", "_salt"])
+    avg_len = index.stats().select("avg_len").scalar()
     length_norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("doc_len") / avg_len)
     gain = F.col("idf") * F.col("tf") * (R.BM25_K1 + 1) / (F.col("tf") + length_norm)
     summed = hits.groupBy(query, item).agg(
@@ -97,20 +110,15 @@ def bm25_scores(tokens: DataFrame, postings: DataFrame, idf: DataFrame, stats: D
     return summed.filter(F.col("score") > 0)
 
 
-def bm25_topk(queries: DataFrame, items: DataFrame, k: int = 50, *, query: str = "query_id",
-              query_text: str = "query", item: str = "item_id", item_text: str = "search_text",
-              guard: bool = True, postings: DataFrame | None = None) -> DataFrame:
-    """Keyword top-k per query: (query, item, score, rank)."""
-    postings = build_postings(items, item, item_text) if postings is None else postings
-    stats = document_stats(items, item_text)
-    idf = token_stats(postings, stats)
+def bm25_topk(queries: DataFrame, index: KeywordIndex, k: int = 50, *, query: str = "query_id",
+              query_text: str = "query", item: str = "item_id", guard: bool = True) -> DataFrame:
+    """Keyword top-k per query: (query, item, score, rank).  Reads the index only, never a text of the corpus."""
+    idf = token_stats(index)
     tokens = query_tokens(queries, query, query_text, guard)
-    small = at_most(tokens, BROADCAST_ROWS)
     if guard:
-        skip = noise_guard(queries, tokens, idf, query).filter("skip_keyword")
+        skip = noise_guard(queries, tokens, index.frequencies, query).filter("skip_keyword")
         tokens = tokens.join(skip.select(query), query, "left_anti")
-    scores = bm25_scores(tokens, postings, idf, stats, query, item, small=small)
-    return top_per_query(scores, k, query, item)
+    return top_per_query(bm25_scores(tokens, index, idf, query, item), k, query, item)
 
 
 # ----------------------------------------------------------------- vector side
@@ -133,7 +141,7 @@ def _best_rows(qids: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> p
     rows, cols, found = rows[by], cols[by], found[by]
     first = np.searchsorted(rows, np.arange(len(qids)))
     best = np.arange(len(rows)) - first[rows] < keep
-    return pd.DataFrame({"query_id": qids[rows[best]], "item_id": ids[cols[best]], "score": found[best]})
+    return pd.DataFrame({"number": qids[rows[best]], "item_id": ids[cols[best]], "score": found[best]})
 
 
 def _block_top(qids: np.ndarray, qmat: np.ndarray, items: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -141,69 +149,37 @@ def _block_top(qids: np.ndarray, qmat: np.ndarray, items: pd.DataFrame, k: int)
     return _best_rows(qids, np.round(qmat @ mat.T, SCORE_DECIMALS), items["item_id"].to_numpy(), k)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int = 50, *, query: str = "query_id",
+def vector_topk(queries: DataFrame, items: DataFrame, k: int = 50, *, query: str | list[str] = "query_id",
                 query_vec: str = "vec", item: str = "item_id", item_vec: str = "vec",
-                broadcast_rows: int = BROADCAST_ROWS, block_rows: int = 4096) -> DataFrame:
-    """Exact inner-product top-k: (query, item, score, rank).
+                tile_queries: int = TILE_QUERIES, tile_items: int = TILE_ITEMS) -> DataFrame:
+    """Exact inner-product top-k: (query columns, item, score, rank).
 
-    A proven-small query matrix goes to every task and the items never move; otherwise both
-    sides are cut into blocks of bounded size and every block pair meets exactly once.  Either
-    way a block hands on at most k rows per query, never its pairs.
+    Queries and items are dealt by hash into tiles of bounded size and every pair of tiles is one group: one
+    matrix product, which hands on at most k rows per query and never its pairs.
     """
-    q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("vec")).filter("vec is not null")
-    v = items.select(F.col(item).alias("item_id"), F.col(item_vec).alias("vec")).filter("vec is not null")
-    q_type = q.schema["query_id"].dataType.simpleString()
-    i_type = v.schema["item_id"].dataType.simpleString()
-    schema = f"query_id {q_type}, item_id {i_type}, score double"
-    if at_most(q, min(broadcast_rows, max(1, RUNNING_ROWS // k))):
-        found = v.mapInPandas(_scan_against(q, k), schema)
-    else:
-        found = _grid_topk(q, v, k, schema, block_rows)
-    best = top_per_query(found, k)
-    return best.select(F.col("query_id").alias(query), F.col("item_id").alias(item), "score", "rank")
-
-
-def _scan_against(q: DataFrame, k: int):
-    """Task function: merge each batch of items into a running top-k of the query matrix."""
-    small = q.toPandas()  # size checked by the caller
-    shared = q.sparkSession.sparkContext.broadcast((
-        small["query_id"].to_numpy(),
-        np.stack([np.asarray(x, dtype=np.float64) for x in small["vec"]]) if len(small)
-        else np.zeros((0, 1))))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat = shared.value
-        best: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf) or not len(qids):
-                continue
-            fresh = _block_top(qids, qmat, pdf, k)
-            best = fresh if best is None else pd.concat([best, fresh], ignore_index=True)
-            if len(best) > 2 * k * len(qids):
-                best = best.sort_values(["query_id", "score", "item_id"],
-                                        ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return scan
-
-
-def _grid_topk(q: DataFrame, v: DataFrame, k: int, schema: str, block_rows: int) -> DataFrame:
-    """Fragment-replicate join of query blocks and item blocks, a bounded matmul per cell."""
-    q_blocks = max(1, -(-q.count() // block_rows))
-    v_blocks = max(1, -(-v.count() // block_rows))
-    qb = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-    vb = v.withColumn("vb", F.pmod(F.xxhash64("item_id"), F.lit(v_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    keys = [query] if isinstance(query, str) else query
+    ship(queries.sparkSession)
+    q = queries.filter(F.col(query_vec).isNotNull()).select(F.struct(*keys).alias("query"), F.col(query_vec).cast("array<double>").alias("vec"))
+    v = items.filter(F.col(item_vec).isNotNull()).select(F.col(item).alias("item_id"), F.col(item_vec).cast("array<double>").alias("vec"))
+    q_tiles, i_tiles = max(1, -(-q.count() // tile_queries)), max(1, -(-v.count() // tile_items))
+    tiles = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    slot = lambda c, n: F.array(F.pmod(F.xxhash64(c), F.lit(n)).cast("int"))
+    number = q.withColumn("number", F.xxhash64("query"))
+    no_item = F.lit(0).cast(v.schema["item_id"].dataType).alias("item_id")  # a null would turn whole columns of ids into floats
+    both = (number.select(F.lit(True).alias("asks"), "number", no_item, "vec", slot("query", q_tiles).alias("qt"), tiles(i_tiles).alias("it"))
+            .unionByName(v.select(F.lit(False).alias("asks"), F.lit(0).cast("long").alias("number"), "item_id", "vec", tiles(q_tiles).alias("qt"), slot("item_id", i_tiles).alias("it"))))
+    dealt = both.withColumn("qt", F.explode("qt")).withColumn("it", F.explode("it"))
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["asks"]], rows[~rows["asks"]]
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+            return pd.DataFrame({"number": [], "item_id": [], "score": []}, dtype=object)
         qmat = np.stack([np.asarray(x, dtype=np.float64) for x in left["vec"]])
-        return _block_top(left["query_id"].to_numpy(), qmat, right, k)
-
-    return qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")).applyInPandas(cell, schema)
+        return _block_top(left["number"].to_numpy(), qmat, right, k)
+    found = dealt.groupBy("qt", "it").applyInPandas(tile, f"number long, item_id {v.schema['item_id'].dataType.simpleString()}, score double")
+    best = top_per_query(found, k, "number")
+    named = number.select("number", "query").distinct()
+    return best.join(named, "number").select("query.*", F.col("item_id").alias(item), "score", "rank")
 
 
 def pair_similarity(pairs: DataFrame, queries: DataFrame, items: DataFrame, *,
@@ -252,11 +228,13 @@ def fuse_levels(ranked: DataFrame, levels: list[int] = R.POOL_LEVELS, k: int = R
     over ranks <= L, and the known similarity the best score among those ranks: one aggregation
     serves all depths.
     """
-    scored = "score" in ranked.columns
+    scored, filled = "score" in ranked.columns, "known" in ranked.columns
 
     def at(level: int) -> Column:
         here = F.col("rank") <= level
         best = F.max(F.when(here, F.col("score"))) if scored else F.lit(None).cast("double")
+        if filled:  # similarity of rows whose list has no score
+            best = F.coalesce(best, F.max(F.when(here, F.col("known"))))
         return F.struct(F.lit(level).alias("level"), F.round(F.sum(
             F.when(here, 1.0 / (F.lit(k) + F.col("rank")))), 9).alias("fused"), best.alias("sim"))
 
@@ -270,32 +248,32 @@ def fuse_levels(ranked: DataFrame, levels: list[int] = R.POOL_LEVELS, k: int = R
 
 def hybrid_candidates(queries: DataFrame, items: DataFrame, levels: list[int] = R.POOL_LEVELS, *,
                       vectors: DataFrame, query_vectors: DataFrame,
-                      postings: DataFrame | None = None) -> DataFrame:
-    """(query_id, level, item_id, fused, sim) from vector lists and a keyword list.
+                      index: KeywordIndex | None = None) -> DataFrame:
+    """(query_id, level, item_id, fused, sim) from vector lists and a keyword list over the items that are not deleted.
 
     queries: query_id, query, normalized; query_vectors: query_id, variant, vec (one row per
-    text variant); vectors: item_id, vec; items: item_id, search_text.
+    text variant); vectors: item_id, vec; items: item_id, search_text, is_deleted.  `index` is the stored keyword
+    index of the live items.  `levels` are the pool depths; a deleted item takes no place at any of them.
+
+    Each list is made once, at the deepest level; keyword hits get their similarity before the lists are fused.
     """
     deepest = max(levels)
-    keyed = query_vectors.withColumn("_qk", F.struct("query_id", "variant"))
-    dense = vector_topk(
-        keyed.withColumn("_qk", F.to_json("_qk")).select("_qk", "vec"), vectors, deepest,
-        query="_qk").withColumn("_k", F.from_json("_qk", "query_id string, variant string")).select(
-        F.col("_k.query_id").alias("query_id"), F.col("_k.variant").alias("source"),
-        "item_id", "rank", "score")
-    words = queries.select("query_id", F.coalesce("normalized", "query").alias("query"))
-    sparse = bm25_topk(words, items, deepest, postings=postings).select(
-        F.col("query_id").cast("string"), F.lit("keyword").alias("source"), "item_id", "rank",
-        F.lit(None).cast("double").alias("score"))
-    ranked = dense.unionByName(sparse)
-    pool = fuse_levels(ranked, levels)
-    missing = pool.filter("sim is null").select("query_id", "item_id").distinct()
-    q_vec = query_vectors.select(F.col("query_id").cast("string"), "vec")
-    filled = pair_similarity(missing, q_vec, vectors).groupBy("query_id", "item_id").agg(
-        F.max("sim").alias("_filled"))
-    return pool.join(filled, ["query_id", "item_id"], "left").select(
-        "query_id", "level", "item_id", "fused",
-        F.coalesce("sim", "_filled", F.lit(0.0)).alias("sim"))
+    live = live_items(items)
+    vectors = vectors.join(live.select("item_id"), "item_id", "left_semi")
+    index = index or keyword_index(live)
+    dense = vector_topk(query_vectors, vectors, deepest, query=["query_id", "variant"]).select(
+        F.col("query_id").cast("string").alias("query_id"), F.col("variant").alias("source"), "item_id", "rank", "score", F.lit(None).cast("double").alias("known"))
+    words = queries.select(F.col("query_id").cast("string").alias("query_id"), F.coalesce("normalized", "query").alias("query"))
+    q_vec = query_vectors.select(F.col("query_id").cast("string").alias("query_id"), "vec")
+    hits = bm25_topk(words, index, deepest).select("query_id", "item_id", "rank")
+    sparse = pair_similarity(hits, q_vec, vectors).groupBy("query_id", "item_id", "rank").agg(F.max("sim").alias("known")).select(
+        "query_id", F.lit("keyword").alias("source"), "item_id", "rank", F.lit(None).cast("double").alias("score"), "known")
+    return fuse_levels(dense.unionByName(sparse), levels).select(
+        "query_id", "level", "item_id", "fused", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+
+
+def live_items(items: DataFrame) -> DataFrame:
+    return items.filter(~F.coalesce("is_deleted", F.lit(False)))
 
 
 def incremental_postings(postings: DataFrame, changed: DataFrame, removed: DataFrame,

@@ -184,7 +184,7 @@ def query_archetype(spark, sf):
 
 
 _stop = ", ".join(lit(w) for w in R.MULTILINGUAL_STOPWORDS)
-cte("vocab", f"SELECT DISTINCT unnest({sql_tokens('search_text')}) AS token FROM items", "items")
+cte("vocab", f"SELECT DISTINCT unnest({sql_tokens('search_text')}) AS token FROM items WHERE NOT is_deleted", "items")
 
 
 def sql_guard(text: str) -> str:
@@ -199,8 +199,9 @@ cte("guard_raw", sql_guard("query"), "parsed", "vocab")
 
 def guard(spark, sf, text: str = "normalized_query_en"):
     q = T.queries(spark, sf)
-    vocabulary = V.build_postings(T.items(spark, sf)).select("token").distinct()
-    return V.noise_guard(q, V.query_tokens(q, text=text), vocabulary)
+    from .retrieval import catalog_index
+
+    return V.noise_guard(q, V.query_tokens(q, text=text), catalog_index(spark, sf).frequencies)
 
 
 @query("noise_guard", sql("SELECT query_id, n_tokens, n_known, skip_keyword FROM guard", "guard"))

@@ -239,7 +239,7 @@ def sql_reason(role: str = "NULL", colors: str = "colors", q_colors: str = "q_co
     return f"CASE WHEN {facts} <> '' THEN {facts} WHEN {word} IS NOT NULL THEN 'Matched keyword: ' || {word} ELSE 'High semantic relevance to query' END"
 
 
-cte("top10", f"SELECT query_id, rank, item_id, title, price, store, slot, gender, age_group, round(score, 4) AS score, round(sim, 4) AS similarity, {sql_reason()} AS reason FROM wide WHERE rank <= 10", "wide")
+cte("top10", f"SELECT query_id, rank, item_id, title, price, store, slot, gender, age_group, {tidy('score', 4)} AS score, {tidy('sim', 4)} AS similarity, {sql_reason()} AS reason FROM wide WHERE rank <= 10", "wide")
 
 
 @query("topk_results", sql("SELECT * FROM top10", "top10"))

@@ -50,11 +50,16 @@ def bench(spark, sf):
 
 
 def postings(spark, sf):
-    return T.kept(spark, sf, "postings", lambda: V.build_postings(docs(spark, sf)))
+    return index(spark, sf).postings
+
+
+def index(spark, sf):
+    """The stored keyword index of the documents."""
+    return V.keyword_index(docs(spark, sf), keep=lambda df, name: T.kept(spark, sf, name, lambda: df))
 
 
 def keyword_hits(spark, sf, k=50):
-    return V.bm25_topk(bench(spark, sf), docs(spark, sf), k, postings=postings(spark, sf))
+    return V.bm25_topk(bench(spark, sf), index(spark, sf), k)
 
 
 @query("build_postings", sql("SELECT item_id, token, tf, doc_len FROM post", "post"))
@@ -64,8 +69,7 @@ def build_postings(spark, sf):
 
 @query("corpus_stats", sql("SELECT token, df, round(idf, 6) AS idf FROM idf", "idf"))
 def corpus_stats(spark, sf):
-    stats = V.document_stats(docs(spark, sf))
-    return V.token_stats(postings(spark, sf), stats).select("token", "df", F.round("idf", 6).alias("idf"))
+    return V.token_stats(index(spark, sf)).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("vocab_set", sql("SELECT DISTINCT token FROM post", "post"))
@@ -151,10 +155,10 @@ def rrf(spark, sf):
 _half = "sqrt(0.5)"
 cte("evec", f"SELECT vec_id, list_concat(list_transform(embedding, lambda x: x::DOUBLE * {_half}), [{_half}]) AS v, count(*) OVER () AS n FROM embeddings")
 cte("nvec", "SELECT count(*) AS n FROM embeddings")
-cte("ivec", "SELECT item_id, v FROM (SELECT item_id, seq % n AS k FROM items, nvec) JOIN evec ON vec_id = k", "items", "evec", "nvec")
+cte("ivec", "SELECT item_id, v FROM (SELECT item_id, seq % n AS k FROM items, nvec WHERE NOT is_deleted) JOIN evec ON vec_id = k", "items", "evec", "nvec")
 cte("qvec", """SELECT query_id, variant, v FROM (SELECT query_id, 'raw' AS variant, s_suppkey % n AS k FROM parsed, nvec UNION ALL
   SELECT query_id, 'normalized', (s_suppkey + 7) % n FROM parsed, nvec WHERE lower(trim(query)) <> lower(trim(norm))) JOIN evec ON vec_id = k""", "parsed", "evec", "nvec")
-cte("ctok", f"SELECT item_id, {sql_tokens('search_text')} AS tk FROM items", "items")
+cte("ctok", f"SELECT item_id, {sql_tokens('search_text')} AS tk FROM items WHERE NOT is_deleted", "items")
 cte("cpost", "SELECT item_id, token, count(*) AS tf, any_value(dl) AS doc_len FROM (SELECT item_id, len(tk) AS dl, unnest(tk) AS token FROM ctok) GROUP BY item_id, token", "ctok")
 cte("cstat", "SELECT count(*) AS n_docs, avg(len(tk)) AS avg_len FROM ctok", "ctok")
 cte("cidf", sql_idf("cpost", "cstat"), "cpost", "cstat")
@@ -178,12 +182,18 @@ sql_levels("bfused", R.BUNDLE_DEPTHS)
 cte("bcands", "SELECT f.* EXCLUDE (known), coalesce(known, sim) AS sim FROM bfused f JOIN best USING (query_id, item_id)", "bfused", "best")
 
 
+def catalog_index(spark, sf):
+    """The stored keyword index of the live items."""
+    live = V.live_items(T.items(spark, sf))
+    return V.keyword_index(live, keep=lambda df, name: T.kept(spark, sf, "catalog_" + name, lambda: df))
+
+
 def candidates(spark, sf, levels=None, name="cands"):
     levels = levels or R.POOL_LEVELS
 
     def build():
         q = T.queries(spark, sf).select("query_id", "query", F.col("normalized_query_en").alias("normalized"))
-        return V.hybrid_candidates(q, T.items(spark, sf).select("item_id", "search_text"), levels,
+        return V.hybrid_candidates(q, T.items(spark, sf).select("item_id", "search_text", "is_deleted"), levels, index=catalog_index(spark, sf),
                                    vectors=T.item_vectors(spark, sf), query_vectors=T.query_vectors(spark, sf))
     return T.kept(spark, sf, name, build)
 
@@ -213,10 +223,17 @@ def embed_items(spark, sf):
     return vec.select("item_id", F.round(V.dot(F.col("vec"), F.col("vec")), 4).alias("norm"))
 
 
-@query("hash_encoder")
+cte("hterm", """SELECT item_id, (('0x' || substr(md5(token), 1, 8))::BIGINT % 64)::INTEGER AS pos,
+  sum(CASE WHEN substr(md5(token), 9, 1) < '8' THEN 1.0 ELSE -1.0 END) AS v FROM (SELECT item_id, unnest(tk) AS token FROM htok) GROUP BY ALL""", "htok")
+cte("htok", f"SELECT item_id, {sql_tokens('search_text')} AS tk FROM items", "items")
+
+
+@query("hash_encoder", sql("""SELECT i.item_id, p.pos, round(coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY i.item_id)), 0), 0.0)::FLOAT::DOUBLE, 5) AS value
+  FROM items i CROSS JOIN (SELECT unnest(range(64))::INTEGER AS pos) p LEFT JOIN hterm h ON h.item_id = i.item_id AND h.pos = p.pos""", "items", "hterm"))
 def hash_encoder(spark, sf):
+    """All elements of all vectors."""
     v = encoders.hash_encoder(T.items(spark, sf).select("item_id", "search_text"))
-    return v.select("item_id", F.round(V.dot(F.col("vec"), F.col("vec")), 4).alias("norm"))
+    return v.select("item_id", F.posexplode("vec").alias("pos", "value")).select("item_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query("encoder_plugin")

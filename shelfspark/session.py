@@ -8,11 +8,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may hold before it is no longer sent to every executor.
-BROADCAST_ROWS = 20_000
-
 
 def build_session(app: str = "shelfspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; on a cluster the master comes from spark-submit."""
@@ -31,11 +26,6 @@ def build_session(app: str = "shelfspark", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Size check behind every explicit broadcast: reads no more than rows + 1 rows."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 

@@ -1,6 +1,7 @@
 """Operators against hand-computed values and brute force; stores, files and streams end to end."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from shelfspark.plans import reports
 from shelfspark.sources import catalog as C
 from shelfspark.streaming import ingest, metrics, repeats
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def test_rrf_by_hand(spark):
     rows = [("q", "a", "A", 1), ("q", "a", "B", 2), ("q", "a", "C", 3), ("q", "b", "B", 1), ("q", "b", "D", 2), ("q", "b", "A", 3), ("t", "a", "B", 1), ("t", "b", "A", 1)]
@@ -31,26 +34,62 @@ def test_levels_equal_rerunning_at_each_depth(spark):
         assert deep == flat
 
 
-def test_vector_paths_agree(spark):
+def test_vector_tiles_agree(spark):
     rng = np.random.default_rng(3)
     vec = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
     items = spark.createDataFrame(vec, "item_id int, vec array<float>")
     q = items.limit(9).select(F.col("item_id").alias("query_id"), "vec")
     a = V.vector_topk(q, items, 5)
-    b = V.vector_topk(q, items, 5, broadcast_rows=2, block_rows=4)  # forces the block join
+    b = V.vector_topk(q, items, 5, tile_queries=2, tile_items=7)
     key = ["query_id", "rank"]
     assert a.orderBy(*key).collect() == b.orderBy(*key).collect() and a.count() == 45
 
 
-def test_bm25_paths_agree(spark):
-    docs = spark.createDataFrame([(i, f"the red shoe {w} number{i % 5}") for i, w in enumerate(["alpha", "beta", "gamma", "delta"] * 10)], "item_id int, search_text string")
+def test_bm25_reads_the_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"the red shoe {w} number{i % 5}") for i, w in enumerate(["alpha", "beta", "gamma", "delta"] * 10)] + [(99, "")], "item_id int, search_text string")
+    docs.write.parquet(str(tmp_path / "docs"))
     q = spark.createDataFrame([(1, "red alpha shoe"), (2, "number3 beta"), (3, "unheard words")], "query_id int, query string")
-    post = V.build_postings(docs)
-    stats = V.document_stats(docs)
-    idf, tok = V.token_stats(post, stats), V.query_tokens(q)
-    a = V.bm25_scores(tok, post, idf, stats, small=True).orderBy("query_id", "item_id").collect()
-    assert a and a == V.bm25_scores(tok, post, idf, stats, small=False).orderBy("query_id", "item_id").collect()
+
+    def keep(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+    index = V.keyword_index(spark.read.parquet(str(tmp_path / "docs")), keep=keep)
+    assert index.stats().first().n_docs == 41
+    idf, tok = V.token_stats(index), V.query_tokens(q)
+    a = V.bm25_scores(tok, index, idf).orderBy("query_id", "item_id").collect()
+    assert a and a == V.bm25_scores(tok, index, idf, salts=1).orderBy("query_id", "item_id").collect()
     assert V.noise_guard(q, tok, idf).filter("skip_keyword").first().query_id == 3
+    read = {Path(f).parent.name for f in V.bm25_topk(q, index, 5).inputFiles()}
+    assert "postings" in read and "docs" not in read
+
+
+def test_deleted_items_take_no_place(spark):
+    vec = lambda x: [1.0, x]
+    items = spark.createDataFrame([(str(i), f"red shoe {i}", i == 9) for i in range(10)], "item_id string, search_text string, is_deleted boolean")
+    vectors = spark.createDataFrame([(str(i), vec(i / 10)) for i in range(10)], "item_id string, vec array<double>")
+    q = spark.createDataFrame([("q", "red shoe", None)], "query_id string, query string, normalized string")
+    qv = spark.createDataFrame([("q", "raw", vec(1.0))], "query_id string, variant string, vec array<double>")
+    got = V.hybrid_candidates(q, items, [1, 3], vectors=vectors, query_vectors=qv)
+    shallow = {r.item_id for r in got.filter("level = 1").collect()}
+    assert "8" in shallow and "9" not in {r.item_id for r in got.collect()}
+    alive = V.hybrid_candidates(q, items.withColumn("is_deleted", F.lit(None).cast("boolean")), [1], vectors=vectors, query_vectors=qv)
+    assert "9" in {r.item_id for r in alive.collect()}
+
+
+def test_package_reaches_workers_from_another_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = (f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+            "from shelfspark.session import build_session\n"
+            "from shelfspark.operators import retrieval as V\n"
+            "s = build_session('away', 'local[1]', **{'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '1'})\n"
+            "v = s.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], 'item_id int, vec array<double>')\n"
+            "print('rows', V.vector_topk(v.withColumnRenamed('item_id', 'query_id'), v, 1).count())\n")
+    env = {k: x for k, x in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows 2" in out.stdout, out.stderr[-2000:]
 
 
 def test_percentiles_with_a_hot_group(spark):
