@@ -72,20 +72,20 @@ def coherence_filter(pools: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def pool_pairs(pools: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of every two pooled items of a query, once per query (pools are tiny)."""
-    members = pools.select("query_id", "item_id", "pool_slot").distinct().join(
+    """Cosine of every two pooled items of a (query, depth) from different slots, each pair once (a < b)."""
+    members = pools.select("query_id", "level", "item_id", "pool_slot").distinct().join(
         vectors.select("item_id", "vec"), "item_id")
-    a = members.select("query_id", F.col("item_id").alias("a"), F.col("pool_slot").alias("sa"), F.col("vec").alias("va"))
-    b = members.select("query_id", F.col("item_id").alias("b"), F.col("pool_slot").alias("sb"), F.col("vec").alias("vb"))
-    return a.join(b, "query_id").filter("sa <> sb").select(
-        "query_id", "a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("pair_sim"))
+    a, b = (members.select("query_id", "level", F.col("item_id").alias(n), F.col("pool_slot").alias("s" + n), F.col("vec").alias("v" + n)) for n in "ab")
+    return a.join(b, ["query_id", "level"]).filter("a < b and sa <> sb").select(
+        "query_id", "level", "a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("pair_sim"))
 
 
 def _attach_pairs(pools: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Each pooled item carries the similarities to its possible partners (at most 32)."""
-    maps = pool_pairs(pools, vectors).groupBy("query_id", F.col("a").alias("item_id")).agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "pair_sim"))).alias("sims"))
-    return pools.join(maps, ["query_id", "item_id"], "left")
+    """Each pooled item carries the similarities to its possible partners of the same depth (at most 32)."""
+    both = F.array(F.struct(F.col("a").alias("item_id"), F.col("b").alias("to")), F.struct(F.col("b").alias("item_id"), F.col("a").alias("to")))
+    maps = pool_pairs(pools, vectors).select("query_id", "level", F.explode(both).alias("e"), "pair_sim").groupBy(
+        "query_id", "level", F.col("e.item_id").alias("item_id")).agg(F.map_from_entries(F.collect_list(F.struct("e.to", "pair_sim"))).alias("sims"))
+    return pools.join(maps, ["query_id", "level", "item_id"], "left")
 
 
 def bundle_combos(coherent: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -93,7 +93,8 @@ def bundle_combos(coherent: DataFrame, vectors: DataFrame) -> DataFrame:
 
     One shuffle brings the pools of a (query, depth) together (at most 40 items); the
     combinations then unfold inside the row, slot by slot, and the running price, gender and
-    age prune after every slot.  Columns: query_id, level, template, template_rank,
+    age prune after every slot.  A template's shorter subsets are prefixes of it, so each template
+    unfolds once: at every slot a row may also stop.  Columns: query_id, level, template, template_rank,
     subset_rank, n_items, items, total_price, pair_sum, n_pairs.
     """
     neutral = F.col("gender").isin("unisex", "unknown")
@@ -113,31 +114,34 @@ def bundle_combos(coherent: DataFrame, vectors: DataFrame) -> DataFrame:
             "query_id", "level", "budget", *slots[1:], F.array("e.it").alias("items"), F.col("e.p").alias("total_price"),
             F.col("e.g").alias("g"), F.col("e.ag").alias("ag"), F.lit(0.0).alias("pair_sum"), F.lit(0).alias("n_pairs")))
 
-    def extend(left: DataFrame, slot: str, later: list[str]) -> DataFrame:
+    def extend(left: DataFrame, slot: str, later: list[str], may_stop: bool) -> DataFrame:
+        """Rows that go on with an item of the slot and, where a subset ends before it, the rows as they are (no item)."""
         kept = [c for c in left.columns if c not in R.BUNDLE_SLOTS]
-        met = left.select(*kept, *later, F.explode(slot).alias("e")).filter(
-            F.coalesce(F.col("g") == F.col("e.g"), F.lit(True)) & F.coalesce(F.col("ag") == F.col("e.ag"), F.lit(True)))
+        go_on = F.when(F.col("open"), F.col(slot)).otherwise(F.slice(slot, 1, 0))
+        stop = F.slice(F.array(F.get(F.col(slot), F.lit(-1))), 1, F.when(~F.col("open") | F.lit(may_stop), 1).otherwise(0))
+        met = left.select(*kept, *later, F.explode(F.concat(stop, go_on)).alias("e")).filter(F.col("e").isNull() | (
+            F.coalesce(F.col("g") == F.col("e.g"), F.lit(True)) & F.coalesce(F.col("ag") == F.col("e.ag"), F.lit(True))))
+        added = F.col("e").isNotNull()
         seen = F.array_compact(F.transform("items", lambda i: F.try_element_at(F.col("e.sims"), i["item_id"])))
         return within(met.select(
-            "query_id", "level", "budget", *later, F.concat("items", F.array("e.it")).alias("items"),
-            (F.col("total_price") + F.col("e.p")).alias("total_price"), F.coalesce("g", "e.g").alias("g"),
+            "query_id", "level", "budget", *later, added.alias("open"), F.when(added, F.concat("items", F.array("e.it"))).otherwise(F.col("items")).alias("items"),
+            (F.col("total_price") + F.coalesce("e.p", F.lit(0.0))).alias("total_price"), F.coalesce("g", "e.g").alias("g"),
             F.coalesce("ag", "e.ag").alias("ag"),
-            (F.col("pair_sum") + F.aggregate(seen, F.lit(0.0), lambda acc, v: acc + v)).alias("pair_sum"),
-            (F.col("n_pairs") + F.size(seen)).alias("n_pairs")))
+            F.when(added, F.col("pair_sum") + F.aggregate(seen, F.lit(0.0), lambda acc, v: acc + v)).otherwise(F.col("pair_sum")).alias("pair_sum"),
+            F.when(added, F.col("n_pairs") + F.size(seen)).otherwise(F.col("n_pairs")).alias("n_pairs")))
 
     out = None
     for t_rank, (name, full) in enumerate(R.BUNDLE_TEMPLATES, start=1):
         # subsets drop the accessory, then the footwear; a bundle has at least two items
-        subsets = [full, full[:-1], full[:-2]]
-        for s_rank, slots in enumerate([s for s in subsets if len(s) >= 2], start=1):
-            partial = start(slots)
-            for i, slot in enumerate(slots[1:], start=1):
-                partial = extend(partial, slot, slots[i + 1:])
-            tagged = partial.select(
-                "query_id", "level", F.lit(name).alias("template"), F.lit(t_rank).alias("template_rank"),
-                F.lit(s_rank).alias("subset_rank"), F.size("items").alias("n_items"), "items",
-                "total_price", "pair_sum", "n_pairs")
-            out = tagged if out is None else out.unionByName(tagged)
+        shortest = max(2, len(full) - 2)
+        partial = start(full).withColumn("open", F.lit(True))
+        for i, slot in enumerate(full[1:], start=1):
+            partial = extend(partial, slot, full[i + 1:], may_stop=i >= shortest)
+        tagged = partial.select(
+            "query_id", "level", F.lit(name).alias("template"), F.lit(t_rank).alias("template_rank"),
+            (F.lit(len(full) + 1) - F.size("items")).alias("subset_rank"), F.size("items").alias("n_items"), "items",
+            "total_price", "pair_sum", "n_pairs")
+        out = tagged if out is None else out.unionByName(tagged)
     return out
 
 
