@@ -202,7 +202,12 @@ def bundle_depths(best: DataFrame) -> DataFrame:
 
 
 def bundle_payload(queries: DataFrame, chosen: DataFrame) -> DataFrame:
-    """A row for every query: items with roles and reasons, total, completeness, or a message."""
+    """A row for every query: items with roles and reasons, total, completeness, or a message.
+
+    A query that is not about the catalog (is_fashion_query, default: it is) gets no bundle.
+    """
+    asked = F.coalesce("is_fashion_query", F.lit(True)) if "is_fashion_query" in queries.columns else F.lit(True)
+    chosen = queries.filter(asked).select("query_id").join(chosen, "query_id")
     slots_of = F.create_map(*[x for name, slots in R.BUNDLE_TEMPLATES for x in (F.lit(name), strings(slots))])
     out = queries.join(chosen, "query_id", "left")
     roles = F.transform("items", lambda i: F.lower(i["slot"]))
@@ -218,7 +223,7 @@ def bundle_payload(queries: DataFrame, chosen: DataFrame) -> DataFrame:
     return out.select(
         "query_id", rows.alias("items"), F.round("total_price", 2).alias("total_price"),
         F.when(found, F.size(missing) == 0).alias("complete"), missing.alias("missing_slots"), "template",
-        F.when(found, F.lit(None).cast("string")).when(F.col("max_price").isNotNull(), "no_outfit_within_budget")
+        F.when(~asked, "not_a_fashion_query").when(found, F.lit(None).cast("string")).when(F.col("max_price").isNotNull(), "no_outfit_within_budget")
         .otherwise("insufficient_items_for_outfit").alias("message"))
 
 

@@ -355,28 +355,39 @@ def low_confidence(results: DataFrame, threshold: float = R.LOW_CONFIDENCE, sim:
 
 
 def search_meta(queries: DataFrame, ranked_rows: DataFrame, pools: DataFrame, guard: DataFrame,
-                top_k: int = 10) -> DataFrame:
-    """One row per query: counts of the chosen pool, flags, warnings, message, suggestions."""
+                top_k: int = 10, policy: str = "warn") -> DataFrame:
+    """One row per query: counts of the chosen pool, flags, warnings, message, suggestions.
+
+    queries: used_fallback says that rules parsed the query (default: they did), is_fashion_query that it is about the
+    catalog at all (default: it is).  guard: degraded marks queries whose raw words the catalog does not know.  A
+    degraded query under the fallback gets a warning, or with policy "refuse" no results.  Low confidence is only warned
+    of under the fallback.
+    """
     best = ranked_rows.groupBy("query_id").agg(
         F.count_if(F.col("rank") <= top_k).alias("n_results"),
         F.max(F.when(F.col("rank") <= top_k, F.col("sim"))).alias("best_sim"))
+    for name in ("used_fallback", "is_fashion_query"):
+        queries = queries.withColumn(name, F.coalesce(F.col(name), F.lit(True)) if name in queries.columns else F.lit(True))
     out = queries.join(pools, "query_id", "left").join(best, "query_id", "left").join(
         guard.select("query_id", "skip_keyword", "degraded"), "query_id", "left")
-    n = F.coalesce("n_results", F.lit(0))
-    degraded = F.coalesce("degraded", F.lit(False))
-    low = F.when(degraded, True).otherwise(F.coalesce(F.col("best_sim") < R.LOW_CONFIDENCE, F.lit(False)))
+    degraded = F.coalesce("degraded", F.lit(False)) & F.col("used_fallback")
+    refused = degraded & F.lit(policy == "refuse")
+    searched = ~refused & F.col("is_fashion_query")
+
+    def found(name: str) -> Column:
+        return F.when(searched, F.coalesce(name, F.lit(0))).otherwise(0).alias(name)
+    n = found("n_results")
+    low = F.when(degraded & (searched | refused), True).otherwise(searched & F.coalesce(F.col("best_sim") < R.LOW_CONFIDENCE, F.lit(False)))
     added = F.array_compact(F.array(
         F.when(degraded, F.lit("filters_not_applied_without_llm")),
-        F.when(F.coalesce("skip_keyword", F.lit(False)), F.lit("keyword_search_skipped")),
-        F.when(low, F.lit("low_confidence_results"))))
+        F.when(searched & F.coalesce("skip_keyword", F.lit(False)), F.lit("keyword_search_skipped")),
+        F.when(searched & low & F.col("used_fallback"), F.lit("low_confidence_results"))))
     return out.select(
-        "query_id", F.coalesce("excluded", F.lit(0)).alias("excluded"),
-        F.coalesce("collapsed", F.lit(0)).alias("collapsed"),
-        F.coalesce("pool_size", F.lit(0)).alias("pool_size"), n.alias("n_results"), low.alias("low_confidence"),
+        "query_id", found("excluded"), found("collapsed"), found("pool_size"), n, low.alias("low_confidence"), "used_fallback",
         F.array_distinct(F.concat(F.coalesce("warnings", strings([])), added)).alias("warnings"),
-        F.when(~F.coalesce("is_fashion_query", F.lit(True)), "not_a_fashion_query")
-        .when((n == 0) & (F.coalesce("excluded", F.lit(0)) == 0), "no_good_match").alias("message"),
-        F.when(n == 0, strings(R.SUGGESTED_QUERIES)).otherwise(strings([])).alias("suggested_queries"))
+        F.when(refused, "llm_unavailable_for_non_english_query").when(~F.col("is_fashion_query"), "not_a_fashion_query")
+        .when((n == 0) & (found("excluded") == 0), "no_good_match").alias("message"),
+        F.when((n == 0) & ~refused, strings(R.SUGGESTED_QUERIES)).otherwise(strings([])).alias("suggested_queries"))
 
 
 def facet_slots(results: DataFrame) -> DataFrame:

@@ -259,18 +259,48 @@ def low_confidence(spark, sf):
     return K.low_confidence(widened(spark, sf).filter("rank <= 10"))
 
 
-@query("search_meta", sql(f"""SELECT p.query_id, coalesce(w.excluded, c.excluded, 0)::BIGINT AS excluded, coalesce(w.pool_size, c.pool_size, 0)::BIGINT AS pool_size,
-  coalesce(w.n_results, 0) AS n_results, g2.skip_keyword OR coalesce(best_sim < 0.6191, false) AS low_confidence,
-  CASE WHEN coalesce(w.n_results, 0) = 0 AND coalesce(c.excluded, 0) = 0 THEN 'no_good_match' END AS message
-  FROM parsed p LEFT JOIN (SELECT query_id, any_value(excluded) AS excluded, any_value(pool_size) AS pool_size, count_if(rank <= 10)::BIGINT AS n_results,
-    max(CASE WHEN rank <= 10 THEN sim END) AS best_sim FROM wide GROUP BY query_id) w USING (query_id)
-  LEFT JOIN (SELECT * FROM pools JOIN chosen USING (query_id, level)) c USING (query_id) JOIN guard_raw g2 USING (query_id)""", "parsed", "wide", "pools", "chosen", "guard_raw"))
+# every fifth query comes parsed from outside, some of those with the verdict that they are about something else
+_OUTSIDE, _OTHER = "s_suppkey % 5 = 0", "s_suppkey % 15 = 0"
+
+
+def sql_meta(policy: str) -> str:
+    refused = "degraded" if policy == "refuse" else "false"
+    return f"""SELECT query_id, '{policy}' AS policy, CASE WHEN searched THEN coalesce(wx, cx, 0) ELSE 0 END::BIGINT AS excluded, CASE WHEN searched THEN coalesce(wc, cc, 0) ELSE 0 END::BIGINT AS collapsed,
+  CASE WHEN searched THEN coalesce(wp, cp, 0) ELSE 0 END::BIGINT AS pool_size, n AS n_results, low AS low_confidence, used_fallback,
+  array_to_string(list_distinct_kept, ',') AS warnings,
+  CASE WHEN refused THEN 'llm_unavailable_for_non_english_query' WHEN NOT fashion THEN 'not_a_fashion_query'
+    WHEN n = 0 AND (NOT searched OR coalesce(wx, cx, 0) = 0) THEN 'no_good_match' END AS message,
+  CASE WHEN n = 0 AND NOT refused THEN {lit('|'.join(R.SUGGESTED_QUERIES))} ELSE '' END AS suggested
+FROM (SELECT *, list_filter(list_concat(own, [
+    CASE WHEN degraded AND NOT list_contains(own, 'filters_not_applied_without_llm') THEN 'filters_not_applied_without_llm' END,
+    CASE WHEN searched AND skip THEN 'keyword_search_skipped' END, CASE WHEN searched AND low AND used_fallback THEN 'low_confidence_results' END]), lambda x: x IS NOT NULL) AS list_distinct_kept
+  FROM (SELECT *, CASE WHEN degraded AND (searched OR refused) THEN true ELSE searched AND coalesce(best_sim < 0.6191, false) END AS low,
+      CASE WHEN searched THEN coalesce(n_results, 0) ELSE 0 END::BIGINT AS n
+    FROM (SELECT *, {refused} AS refused, NOT {refused} AND fashion AS searched FROM meta0)))"""
+
+
+cte("meta0", f"""SELECT p.query_id, NOT ({_OUTSIDE}) AS used_fallback, NOT ({_OTHER}) AS fashion, g.skip_keyword AS skip, g2.skip_keyword AND NOT ({_OUTSIDE}) AS degraded,
+    list_filter(string_split(p.warnings, ','), lambda x: x <> '') AS own, w.n_results, w.best_sim, w.excluded AS wx, w.collapsed AS wc, w.pool_size AS wp,
+    c.excluded AS cx, c.pool_size - c.excluded - coalesce(c.kept, 0) AS cc, c.pool_size AS cp
+  FROM parsed p LEFT JOIN (SELECT query_id, any_value(excluded) AS excluded, any_value(pool_size) AS pool_size, any_value(collapsed) AS collapsed,
+    count_if(rank <= 10)::BIGINT AS n_results, max(CASE WHEN rank <= 10 THEN sim END) AS best_sim FROM wide GROUP BY query_id) w USING (query_id)
+  LEFT JOIN (SELECT * FROM pools JOIN chosen USING (query_id, level) LEFT JOIN psize USING (query_id, level)) c USING (query_id)
+  JOIN guard_raw g2 USING (query_id) JOIN guard g USING (query_id)""", "parsed", "wide", "pools", "chosen", "psize", "guard_raw", "guard")
+
+
+@query("search_meta", sql(sql_meta("warn") + " UNION ALL " + sql_meta("refuse"), "meta0"))
 def search_meta(spark, sf):
-    s = scored(spark, sf)
-    pools = K.pool_counts(s)
+    """All columns, under both policies."""
+    pools = K.pool_counts(scored(spark, sf))
     g = guard(spark, sf).join(guard(spark, sf, "query").select("query_id", F.col("skip_keyword").alias("degraded")), "query_id")
-    return K.search_meta(T.queries(spark, sf), widened(spark, sf), pools, g).select(
-        "query_id", "excluded", "pool_size", "n_results", "low_confidence", "message")
+    q = T.queries(spark, sf).withColumn("used_fallback", ~F.expr(_OUTSIDE)).withColumn("is_fashion_query", ~F.expr(_OTHER))
+    out = None
+    for policy in ("warn", "refuse"):
+        part = K.search_meta(q, widened(spark, sf), pools, g, policy=policy).select(
+            "query_id", F.lit(policy).alias("policy"), *[F.col(c).cast("long").alias(c) for c in ("excluded", "collapsed", "pool_size", "n_results")], "low_confidence", "used_fallback",
+            F.array_join("warnings", ",").alias("warnings"), "message", F.array_join("suggested_queries", "|").alias("suggested"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("facet_slots", sql("SELECT query_id, slot, count(*) AS n FROM top10 WHERE slot NOT IN ('', 'unknown') GROUP BY ALL", "top10"))
@@ -450,10 +480,15 @@ def payload(spark, sf) -> DataFrame:
     return B.bundle_payload(T.queries(spark, sf), chosen(spark, sf))
 
 
-@query("bundle_payload", sql("""SELECT p.query_id, coalesce(ids, '') AS ids, round(total, 2) AS total_price, coalesce(subset_rank = 1, false) AS complete, template,
-  CASE WHEN ids IS NOT NULL THEN NULL WHEN max_price IS NOT NULL THEN 'no_outfit_within_budget' ELSE 'insufficient_items_for_outfit' END AS message
+@query("bundle_payload", sql(f"""SELECT p.query_id, coalesce(CASE WHEN {_OTHER} THEN NULL ELSE ids END, '') AS ids, CASE WHEN NOT ({_OTHER}) THEN round(total, 2) END AS total_price,
+  NOT ({_OTHER}) AND coalesce(subset_rank = 1, false) AS complete, CASE WHEN NOT ({_OTHER}) THEN template END AS template,
+  CASE WHEN {_OTHER} OR ids IS NULL THEN '' ELSE array_to_string(list_slice(CASE template {' '.join(f"WHEN '{n}' THEN {s}" for n, s in R.BUNDLE_TEMPLATES)} END, n_items + 1, 9), ',') END AS missing_slots,
+  CASE WHEN {_OTHER} OR ids IS NULL THEN '' ELSE array_to_string(list_transform(list_zip(items, CASE template {' '.join(f"WHEN '{n}' THEN {s}" for n, s in R.BUNDLE_TEMPLATES)} END[1:n_items]),
+    lambda z: z[1].id || ':' || z[2] || ':' || coalesce(printf('%.2f', z[1].price), '')), '|') END AS items,
+  CASE WHEN {_OTHER} THEN 'not_a_fashion_query' WHEN ids IS NOT NULL THEN NULL WHEN max_price IS NOT NULL THEN 'no_outfit_within_budget' ELSE 'insufficient_items_for_outfit' END AS message
   FROM parsed p LEFT JOIN bchosen b USING (query_id)""", "parsed", "bchosen"))
 def bundle_payload(spark, sf):
-    return payload(spark, sf).select("query_id", F.coalesce(ids(), F.lit("")).alias("ids"), "total_price", F.coalesce("complete", F.lit(False)).alias("complete"),
-                                     "template", "message")
-
+    rows = B.bundle_payload(T.queries(spark, sf).withColumn("is_fashion_query", ~F.expr(_OTHER)), chosen(spark, sf))
+    shown = F.array_join(F.transform("items", lambda i: F.concat(i["item_id"], F.lit(":"), i["slot"], F.lit(":"), F.when(i["price"].isNotNull(), F.format_string("%.2f", i["price"])).otherwise(""))), "|")
+    return rows.select("query_id", F.coalesce(ids(), F.lit("")).alias("ids"), "total_price", F.coalesce("complete", F.lit(False)).alias("complete"), "template",
+                       F.coalesce(F.array_join("missing_slots", ","), F.lit("")).alias("missing_slots"), F.coalesce(shown, F.lit("")).alias("items"), "message")
