@@ -17,31 +17,33 @@ from ..session import materialize
 AUDIENCES = ["Women's ", "Men's ", "Unisex ", "Girls' ", "Boys' ", "Toddler ", "Womens ", "",
              "Men&#39;s &amp; Women&#39;s "]
 GARMENTS = [
-    "Summer Floral Dress", "Running Shoes", "Dress Shirt", "Slim Fit Jeans", "Leather Crossbody Bag",
-    "Wool Winter Coat", "Tunic Tops for Leggings", "Shorts Pajamas Set", "Pendant Costume Jewelry",
-    "Dress Socks 4-Pack", "Short Sleeve T-Shirt", "Cotton Boxer Briefs 3 Pairs", "Halloween Queen Costume",
-    "Thong Sandals", "Yoga Compression Leggings", "Silk Scarf", "Automatic Dress Watch", "Knit Beanie Hat",
-    "Evening Cocktail Dress", "Tuxedo Blazer 44 Short", "Shoe Charms Clog Pins", "Vinyl Decals for Car Window",
-    "CPR Training Pocket Mask", "Sweet 16 Birthday Sash", "Coffee Mug", "Plush Toy", "Phone Case",
-    "Gold Hoop Earrings", "Polarized Sunglasses", "Leather Belt", "Thermal Gloves", "Saddle Plugs Tunnels",
-    "Satin Headband", "Baseball Jersey", "Swim Trunks", "Jumpsuit Romper", "Tie Dye Hoodie", "Model 4829",
-    "Lapel Pin", "Wristlet",
+    "Linen Sundress with Daisies", "Trail Runners", "Oxford Dress Shirt", "Straight Denim Jeans", "Canvas Tote Bag",
+    "Quilted Winter Coat", "Long Tunic over Leggings", "Flannel Shorts Pajamas", "Beaded Costume Jewelry Ring",
+    "Ribbed Dress Socks", "Striped Short Sleeve Polo Shirt", "Modal Boxer Briefs", "Pirate Costume for Halloween",
+    "Cork Thong Sandals", "Seamless Workout Leggings", "Chiffon Scarf", "Quartz Dress Watch", "Cable Knit Beanie",
+    "Satin Evening Gown", "Velvet Blazer 42 Regular", "Charms for Clogs", "Decals for Truck Bumper",
+    "CPR Face Shield", "Birthday Sash and Crown", "Ceramic Mug", "Plush Bear", "Phone Case with Stand",
+    "Silver Stud Earrings", "Mirrored Sunglasses", "Braided Belt", "Fleece Gloves", "Steel Ear Gauges and Plugs",
+    "Knotted Headband", "Hockey Jersey", "Quick Dry Swim Trunks", "Wide Leg Romper", "Tie Dye Sweatshirt", "Article 7731",
+    "Enamel Lapel Pin", "Zip Wristlet",
 ]
-ENDINGS = [" (Blue, XL)", " (Flower Mix Red, Size 9-12)", " - Black", " Pack of 3", " [Grey] Large", " 5 Pairs", "",
-           " for Kids 7-8 Years", " ✔ Top Rated", " beachReady Style"]
-FEATURES = ["100% Cotton", "Lightweight beach fabric", "Fleece lined", "Machine washable", "Athletic running fit",
-            "Formal suit style", "beachComfortable ★ wear"]
-DESCRIPTIONS = ["", "Comfortable thong sandal designed for beach walking and summer.", "Classic straight leg blue denim jeans.",
-                "Everyday travel accessory.", "Elegant party piece   with  charger included", "Ok"]
+ENDINGS = [" (Navy, L)", " (Flower Mix Pink, Size 6-8)", " - White", " Pack of 2", " [Green] Small", " 3 Pairs", "",
+           " for Kids 5-6 Years", " ★ Best Choice", " cityReady Cut"]
+FEATURES = ["Pure linen", "Light fabric for the beach", "Lined with fleece", "Wash by hand", "Running and athletic fit",
+            "Suit for formal evenings", "parkFriendly ➤ wear"]
+DESCRIPTIONS = ["", "A thong sandal for warm summer evenings.", "Blue denim jeans with five pockets.",
+                "Small accessory for every travel bag.", "Party piece   with  charger in the box", "Fine"]
 QUERIES = [
-    "red summer dress under $50", "men's running shoes below 80 dollars", "something stylish for a dinner date",
-    "women's black leather crossbody bag", "blue widget", "kids halloween costume", "winter coat over $20",
-    "tunic tops for leggings", "outfit for 5 year old boy", "boxer briefs 3-pack", "gold earrings between 15 and 30 dollars",
-    "nike gear under 500 rupees", "formal dress shirt for men", "warm fleece clothing", "car window decals",
-    "first aid cpr mask", "yoga outfit for women", "casual socks and gloves", "under armour hoodie less than 40 USD",
-    "floral swim trunks", "zapatillas de correr para hombre por menos de 80 dólares",
-    "robe d'été pour vacances à la plage à moins de 50 dollars", "समुद्र तट की छुट्टी के लिए 50 डॉलर से कम की गर्मियों की पोशाक",
-    "80 டாலருக்கு குறைவான ஆண்களுக்கான ஓடும் காலணிகள்", "zzqx vvkk", "red ring", "anvil plate", "what to wear to prom",
+    "green linen dress under $45", "women's trail running shoes below 90 dollars", "nice clothes for a dinner with friends",
+    "men's brown canvas tote bag", "steel bracket", "kids pirate costume", "quilted coat over $30",
+    "long tunic over leggings", "outfit for 7 year old girl", "modal boxer briefs", "silver earrings between 10 and 25 dollars",
+    "adidas gear under 900 rupees", "oxford dress shirt for men", "cosy fleece clothing", "truck bumper decals",
+    "cpr face shield", "gym outfit for men", "warm socks and gloves", "under armour sweatshirt less than 55 USD",
+    "striped swim trunks", "botas de invierno para mujer por menos de 70 dólares",
+    "robe d'hiver pour une fête à moins de 65 dollars", "पुरुषों के लिए 40 डॉलर से कम के जूते",
+    "60 டாலருக்கு குறைவான பெண்களுக்கான உடை", "qqzv wwkx", "blue ring", "copper kettle", "what to wear at a wedding",
+    "white sweater for women under $35", "black belt for men", "purple romper", "hat and scarf for winter", "boys hockey jersey below 40 dollars",
+    "formal gown", "casual shorts over $15", "bufanda roja por menos de 20 dólares", "chaussures de sport pour homme",
 ]
 
 

@@ -10,27 +10,27 @@ from shelfspark.operators import triage as TR
 from shelfspark.operators import validate as V
 
 SLOTS = {
-    "DouBCQ Women's Palazzo Lounge Wide Leg Casual Flowy Pants(Flower Mix Blue, XL)": "bottom",
-    "Van Heusen Men's Dress Shirt Regular Fit Poplin Solid": "top", "Kenneth Cole REACTION Men's Dress Pants": "bottom",
-    "Calvin Klein Men's Dress Shoes Leather Loafer": "footwear", "Dockers Men's Dress Socks 4-Pack": "accessory",
-    "Tommy Hilfiger Men's Leather Dress Belt": "accessory", "SLEEE Adult Animal Onesie Coaplay Costume Halloween Pajamas": "full_body",
-    "SKIING Women's Waterproof Ski Jacket Suit Jacket and Pants Set": "full_body", "Under Armour Men's Squad Woven 1/4 Zip": "top",
-    "Costume Fashion Jewelry Set": "accessory", "Kanu Surf Men's Havana Quick Dry Swim Trunks": "bottom",
-    "Random Item Without Clothing Clues": "unknown", "Hanes Men's Short Sleeve Graphic T-Shirt": "top",
-    "Women's Seamless Lace Thong 3-Pack": "innerwear", "Mento Streamtail Thong Sandal Beach Flip Flop": "footwear",
-    "Safety Pin Graphic Print Cotton T-Shirt": "top", "US Flag Lapel Pin": "accessory", "Classic Silk Bow Tie": "accessory",
-    "Womens Halloween Tunic Tops for Leggings Short Sleeve Blouse": "top", "Armory Replicas Medieval Dress Cloak Pin Brooch": "accessory",
+    "Harborline Women's Linen Culotte Pants (Flower Mix Green, L)": "bottom",
+    "Northgate Men's Dress Shirt with Spread Collar": "top", "Northgate Men's Dress Pants with Pleats": "bottom",
+    "Cobblewalk Men's Dress Shoes in Brown": "footwear", "Cobblewalk Men's Dress Socks Three Pack": "accessory",
+    "Cobblewalk Men's Dress Belt with Steel Buckle": "accessory", "Fox Onesie Pajamas for Adults": "full_body",
+    "Snowbird Ski Suit Jacket and Pants Set": "full_body", "Rivermark Men's Fleece Quarter Zip": "top",
+    "Costume Jewelry Set with Pearls": "accessory", "Lagoon Men's Striped Swim Trunks": "bottom",
+    "Something Without Any Hint": "unknown", "Plain Short Sleeve Graphic T-Shirt": "top",
+    "Women's Cotton Thong Two Pack": "innerwear", "Cork Thong Sandal for the Pool": "footwear",
+    "Drawing Pin Print T-Shirt": "top", "Enamel Lapel Pin with Oak Leaf": "accessory", "Silk Bow Tie with Dots": "accessory",
+    "Women's Striped Tunic Tops for Leggings": "top", "Medieval Dress Cloak Pin in Bronze": "accessory",
 }
 AGES = {
-    "Girls' Summer Sundress": "kids", "Toddler Walking Shoes": "kids", "Kids Party Dress 7-8 Years": "kids",
-    "Leaf Earrings For Women Girls Colorful": "adult", "Men's Athletic Crew Socks": "adult",
-    "Compatible with Apple Watch Band (Small Version) Volleyball Boy Sports": "adult",
-    "Saxon. Children's Starter Pull-On Jods Breech, Equestrian Schooling | Navy 16": "kids",
+    "Girls' Linen Sundress": "kids", "Toddler Rain Boots": "kids", "Kids Velvet Dress 5-6 Years": "kids",
+    "Silver Studs For Women Girls": "adult", "Men's Wool Crew Socks": "adult",
+    "Compatible with Apple Watch Band for Boy and Girl Sports": "adult",
+    "Children's Riding Breeches in Navy": "kids",
 }
 GENDERS = {
-    ("womens", "Generic Item"): "women", ("boys", "Generic Item"): "men", ("unisex-adult", "Generic Item"): "unisex",
-    (None, "YUEDGE Men's Crew Socks"): "men", (None, "Men's and Women's Running Shoes"): "unisex",
-    (None, "Adjistable Cotton Sun Caps for Boys Girls"): "unisex", (None, "Unbranded Item No Target"): "unknown",
+    ("womens", "Plain Article"): "women", ("boys", "Plain Article"): "men", ("unisex-adult", "Plain Article"): "unisex",
+    (None, "Harborline Men's Crew Socks"): "men", (None, "Men's and Women's Rain Jacket"): "unisex",
+    (None, "Sun Hats for Boys Girls"): "unisex", (None, "Plain Article for Anyone"): "unknown",
 }
 
 
@@ -46,7 +46,7 @@ def test_slots(spark):
 
 
 def test_slot_falls_back_to_description(spark):
-    df = pairs(spark, [("Mento Streamtail", "Comfortable thong sandal designed for beach walking")], "t", "d")
+    df = pairs(spark, [("Harborline Tidewater", "A thong sandal for warm evenings")], "t", "d")
     assert df.select(A.derive_slot(F.col("t"), F.array().cast("array<string>"), F.col("d"))).first()[0] == "footwear"
 
 
@@ -58,7 +58,7 @@ def test_ages_and_genders(spark):
 
 
 def test_colors_seasons_quality(spark):
-    df = pairs(spark, [("Flowy Pants(Flower Mix Blue, XL)",), ("Grey Socks",)], "t")
+    df = pairs(spark, [("Culotte Pants(Flower Mix Blue, L)",), ("Grey Mittens",)], "t")
     got = [r[0] for r in df.select(A.derive_colors(F.col("t"))).collect()]
     assert got == [["floral", "blue"], ["gray", "grey"]]
     q = spark.createDataFrame([(5.0, 1), (None, None), (4.5, 0)], "r double, v bigint")
@@ -66,11 +66,11 @@ def test_colors_seasons_quality(spark):
 
 
 def test_cleaning(spark):
-    df = pairs(spark, [("✔ 100% Cotton ➤ Machine  Washable",), ("all day beachComfortable to\n wear",), (None,)], "t")
-    assert [r[0] for r in df.select(X.clean_text(F.col("t"))).collect()] == ["100% Cotton Machine Washable", "all day beach. Comfortable to wear", ""]
-    s = pairs(spark, [("Crew Socks (Blue, Size 9-12)",), ("Wide Leg Pants (Flower Mix Blue, XL)",), ("Girls' Dress (9-10 Years, Dark Mint)",)], "t")
+    df = pairs(spark, [("✔ Pure Linen ➤ Wash  by Hand",), ("soft on the parkWalk and\n back",), (None,)], "t")
+    assert [r[0] for r in df.select(X.clean_text(F.col("t"))).collect()] == ["Pure Linen Wash by Hand", "soft on the park. Walk and back", ""]
+    s = pairs(spark, [("Wool Mittens (Green, Size 6-8)",), ("Culotte Pants (Flower Mix Pink, XL)",), ("Girls' Skirt (5-6 Years, Dark Plum)",)], "t")
     assert [r[0] for r in s.select(X.strip_size_tokens(F.col("t"))).collect()] == [
-        "Crew Socks (Blue)", "Wide Leg Pants (Flower Mix Blue)", "Girls' Dress ( Dark Mint)"]
+        "Wool Mittens (Green)", "Culotte Pants (Flower Mix Pink)", "Girls' Skirt ( Dark Plum)"]
 
 
 def test_tokens_are_unicode(spark):
@@ -79,21 +79,21 @@ def test_tokens_are_unicode(spark):
 
 
 def test_validation_reasons(spark):
-    rows = [(None, "5", "no_title"), ("Hat", "5", "short_title"), ("Kiwi Black Shoe Polish 1.125 oz Tin", "5", "non_fashion_keyword"),
-            ("Polish Eagle Graphic T-Shirt", "19.9", None), ("Polish Eagle Graphic T-Shirt", None, "no_price"),
-            ("Polish Eagle Graphic T-Shirt", "x", "invalid_price"), ("Polish Eagle Graphic T-Shirt", "-1", "invalid_price")]
+    rows = [(None, "5", "no_title"), ("Hat", "5", "short_title"), ("Brown Shoe Polish in a Small Tin", "5", "non_fashion_keyword"),
+            ("Polish Folk Art Print T-Shirt", "19.9", None), ("Polish Folk Art Print T-Shirt", None, "no_price"),
+            ("Polish Folk Art Print T-Shirt", "x", "invalid_price"), ("Polish Folk Art Print T-Shirt", "-1", "invalid_price")]
     df = pairs(spark, rows, "title", "price", "want")
     assert V.validate_records(df).filter("not (drop_reason <=> want)").collect() == []
 
 
 def test_relevance_and_triage(spark):
     rows = [
-        ("1", "Levi's Men's 501 Original Fit Jeans (Dark Stonewash)", "49.99", "Levi's", "Classic straight leg blue denim jeans.", ["100% Cotton"], "accepted", ""),
-        ("2", "Generic Unbranded Item Model 4829", "12.5", None, None, [], "quarantined", "unknown_slot"),
-        ("3", "ACTION BELL INCREDIBELL DUET BRASS BICYCLE BELL", "11.98", None, None, [], "rejected", "non_fashion: action bell"),
-        ("4", "Rembrandt Pipe Wrench Charm - Sterling Silver", "11.98", None, None, [], "accepted", ""),
-        ("5", "--- !!! ???", None, None, None, [], "rejected", "meaningless_title;missing_price"),
-        ("6", "Men&#39;s &amp; Women&#39;s Running Shoes", "50000", None, None, [], "rejected", "price_outlier"),
+        ("1", "Northgate Men's Straight Fit Jeans (Dark Rinse)", "39.5", "Northgate", "Blue denim with five pockets.", ["Pure cotton"], "accepted", ""),
+        ("2", "Plain Article Number 7731", "8.5", None, None, [], "quarantined", "unknown_slot"),
+        ("3", "ACTION BELL FOR TOURING BICYCLES IN BRASS", "9.25", None, None, [], "rejected", "non_fashion: action bell"),
+        ("4", "Oak Leaf Charm - Sterling Silver", "14.75", None, None, [], "accepted", ""),
+        ("5", "*** ... ---", None, None, None, [], "rejected", "meaningless_title;missing_price"),
+        ("6", "Men&#39;s &amp; Women&#39;s Rain Boots", "60000", None, None, [], "rejected", "price_outlier"),
     ]
     df = spark.createDataFrame(rows, "item_id string, title string, price string, store string, description string, features array<string>, want string, why string")
     out = TR.triage(df.withColumn("average_rating", F.lit(4.5)))
@@ -102,20 +102,20 @@ def test_relevance_and_triage(spark):
 
 
 def test_query_constraints(spark):
-    rows = [("running shorts under $25", None, 25.0), ("leather jacket below 50 dollars", None, 50.0), ("sunglasses less than 35 USD", None, 35.0),
-            ("luxury watch over $100", 100.0, None), ("cotton t-shirt under 500 rupees", None, None)]
+    rows = [("linen shorts under $30", None, 30.0), ("rain jacket below 75 dollars", None, 75.0), ("mirrored sunglasses less than 20 USD", None, 20.0),
+            ("quartz watch over $60", 60.0, None), ("polo shirt under 900 rupees", None, None)]
     df = spark.createDataFrame(rows, "query string, lo double, hi double").withColumn("p", I.query_price(F.col("query")))
     assert df.filter("not (p.min_price <=> lo) or not (p.max_price <=> hi)").collect() == []
-    g = pairs(spark, [("men's athletic hoodie", "men"), ("unisex socks for men and women", "unisex"), ("black sunglasses", None), ("gift for mom", "women")], "q", "want")
+    g = pairs(spark, [("men's wool sweater", "men"), ("unisex mittens for men and women", "unisex"), ("round sunglasses", None), ("scarf for mom", "women")], "q", "want")
     assert g.withColumn("g", I.query_gender(F.col("q"))).filter("not (g <=> want)").collect() == []
 
 
 def test_languages(spark):
-    rows = [("80 டாலருக்கு குறைவான ஆண்களுக்கான ஓடும் காலணிகள்", "ta", "footwear", "men", 80.0),
-            ("समुद्र तट की छुट्टी के लिए 50 डॉलर से कम की गर्मियों की पोशाक", "hi", "full_body", None, 50.0),
-            ("zapatillas de correr para hombre por menos de 80 dólares", "es", "footwear", "men", 80.0),
-            ("robe d'été pour vacances à la plage à moins de 50 dollars", "fr", "full_body", None, 50.0),
-            ("summer dress for beach vacation under $50", "en", "full_body", None, 50.0)]
+    rows = [("45 டாலருக்கு குறைவான ஆண்களுக்கான செருப்பு", "ta", "footwear", "men", 45.0),
+            ("30 डॉलर से कम की पोशाक", "hi", "full_body", None, 30.0),
+            ("botas para hombre por menos de 65 dólares", "es", "footwear", "men", 65.0),
+            ("robe longue pour une fête à moins de 40 dollars", "fr", "full_body", None, 40.0),
+            ("linen dress for a wedding under $90", "en", "full_body", None, 90.0)]
     df = spark.createDataFrame(rows, "query string, lang string, slot string, g string, hi double")
     out = I.parse_queries(df)
     assert out.filter("language <> lang or slots[0] <> slot or not (gender <=> g) or max_price <> hi").collect() == []
@@ -145,22 +145,22 @@ def cands(spark, items, query, sim=0.7, fused=0.05):
 
 
 def test_rerank_costume_color_price_phrase(spark):
-    rows = [item("C", "Royal Red Queen Costume Halloween Costume Medieval Princess", colors=["red"]), item("D", "Women Elegant Vintage Red Evening Cocktail Dress", colors=["red"])]
+    rows = [item("C", "Pirate Captain Halloween Costume in Red", colors=["red"]), item("D", "Red Satin Cocktail Dress with Sash", colors=["red"])]
     out = {r.item_id: r for r in K.rerank(K.normalize_fused(cands(spark, rows, "red cocktail dress"))).collect()}
     assert out["D"]["rank"] == 1 and out["C"].f_costume == 0.35
-    rows = [item("B", "Burgundy Velvet Dress", colors=["burgundy"]), item("L", "Cobalt Blue Silk Dress", price=75.0, colors=["blue"])]
+    rows = [item("B", "Burgundy Linen Dress", colors=["burgundy"]), item("L", "Plain Blue Satin Dress", price=75.0, colors=["blue"])]
     out = {r.item_id: r for r in K.rerank(K.normalize_fused(cands(spark, rows, "red dress under $50"))).collect()}
     assert out["B"].f_color == 1.0 and out["L"].f_color == 0.05 and out["L"].f_price == 0.0 and out["B"].f_price > 0.7
     assert out["B"].archetype == "BUDGET_EXPLICIT"
 
 
 def test_guards(spark):
-    rows = [item("decal", "Vinyl Decal Mountain Sun Sticker, vinyl decals for cars", slot="unknown"), item("cpr", "CPR Training Pocket Mask Keychain", slot="accessory"),
-            item("shawl", "Bohemian Tribal Woolen Fringe Shawl Wrap", slot="unknown")]
+    rows = [item("decal", "Lake and Pines Vinyl Decal, vinyl decals for cars", slot="unknown"), item("cpr", "CPR Face Shield on a Key Ring, CPR training pocket mask", slot="accessory"),
+            item("shawl", "Checked Mohair Shawl", slot="unknown")]
     keep = {r.item_id for r in cands(spark, rows, "red summer dress").filter(K.eligible()).collect()}
     assert keep == {"shawl"}
     assert {r.item_id for r in cands(spark, rows, "car decal sticker").filter(K.eligible()).collect()} == {"decal", "shawl"}
-    e = spark.createDataFrame([("American Trends Women's Casual Shorts Pajamas Set", "full_body"), ("Humaira Elegant Pendant Costume Jewelry", "full_body")], "t string, s string")
+    e = spark.createDataFrame([("Harborline Women's Flannel Shorts Pajamas Set", "full_body"), ("Pearl Drop Costume Jewelry", "full_body")], "t string, s string")
     assert [set(r[0]) for r in e.select(A.effective_slots(F.col("t"), F.col("s"))).collect()] == [{"full_body", "bottom"}, {"accessory"}]
 
 
