@@ -7,33 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 
-BUCKET_BITS = 12  # 4096 hash buckets: the histogram is small whatever the table size
+BUCKET_BITS = 12  # 4096 hash buckets at each of two levels: the histograms are small whatever the table size
 
 
 def seeded(key: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key))
+    """60 bits of the MD5 of seed and key: the same order on every engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def flag_smallest(df: DataFrame, key: str, seed: int, how_many: Column, flag: str = "selected") -> DataFrame:
-    """Flag exactly `how_many` rows with the smallest (hash, key); no global sort.
+    """Flag exactly `how_many` rows with the smallest (hash, key); no global sort.  Null keys come last.
 
-    A 4096-row histogram of the top hash bits tells which buckets are in, which are out and
-    which one holds the cut; only that one is ranked.  `how_many` may use the column `total`.
+    A histogram of the top hash bits tells which bucket holds the cut, one of the next bits which part of that
+    bucket; only the rows of that part, one in 16 million, are ranked.  `how_many` may use the column `total`.
     """
-    h = df.withColumn("_h", seeded(key, seed)).withColumn(
-        "_b", F.shiftright(F.col("_h"), 64 - BUCKET_BITS).cast("int"))
-    sizes = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cuts = sizes.select(
-        "_b", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("total")).withColumn("_want", how_many.cast("bigint")).drop("total")
-    placed = h.join(F.broadcast(cuts), "_b")  # at most 4096 rows
-    clear = (F.col("_before") + F.col("_n") <= F.col("_want")) | (F.col("_before") >= F.col("_want"))
-    sure = placed.filter(clear).withColumn(flag, F.col("_before") < F.col("_want"))
-    cut = placed.filter(~clear).withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
-    ranked = cut.withColumn(flag, F.col("_before") + F.col("_i") <= F.col("_want")).drop("_i")
-    return sure.unionByName(ranked).drop("_h", "_b", "_n", "_before", "_want")
+    h = df.withColumn("_h", F.coalesce(seeded(key, seed), F.lit((1 << 60) - 1))).withColumn(
+        "_b", F.shiftright("_h", 60 - BUCKET_BITS).cast("int")).withColumn(
+        "_c", F.shiftright("_h", 60 - 2 * BUCKET_BITS).bitwiseAND((1 << BUCKET_BITS) - 1).cast("int"))
+
+    def cut(rows: DataFrame, column: str, want: int) -> tuple[int, int]:
+        """The bucket in which the want-th row lies, and how many of its rows are wanted."""
+        for bucket, n in sorted(tuple(r) for r in rows.groupBy(column).count().collect()):  # at most 4096 rows
+            if want <= n:
+                return bucket, want
+            want -= n
+        return 1 << BUCKET_BITS, 0
+    want = h.agg(F.count(F.lit(1)).alias("total")).select(how_many.cast("bigint")).first()[0]
+    bucket, want = cut(h, "_b", want)
+    inside = F.col("_b") == bucket
+    part, want = cut(h.filter(inside), "_c", want)
+    last = inside & (F.col("_c") == part)
+    sure = h.filter(~last).withColumn(flag, (F.col("_b") < bucket) | inside & (F.col("_c") < part))
+    ranked = h.filter(last).withColumn("_i", F.row_number().over(Window.partitionBy("_b", "_c").orderBy("_h", key))).withColumn(flag, F.col("_i") <= want)
+    return sure.unionByName(ranked.drop("_i")).drop("_h", "_b", "_c")
 
 
 def fixed_sample(df: DataFrame, n: int = R.SAMPLE_SIZE, key: str = "item_id", seed: int = R.SEED) -> DataFrame:

@@ -270,23 +270,28 @@ def attach_reviews(spark, sf):
 
 
 # ------------------------------------------------------------------------ sampling
-@query("fixed_sample")
+def sql_seeded(key: str, seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {key}::VARCHAR), 1, 15))::BIGINT"
+
+
+@query("fixed_sample", f"""SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (ORDER BY {sql_seeded('p_partkey', R.SEED)}, p_partkey) AS r FROM part) WHERE r <= 500""")
 def fixed_sample(spark, sf):
     return sampling.fixed_sample(T.table(spark, sf, "part"), 500, "p_partkey").select("p_partkey", "p_name")
 
 
-@query("holdout_split")
+@query("holdout_split", f"""SELECT o_orderkey, row_number() OVER (ORDER BY {sql_seeded('o_orderkey', R.SEED + 1)}, o_orderkey) <= floor(count(*) OVER () * {R.HOLDOUT_FRACTION}::DOUBLE) AS held_out FROM orders""")
 def holdout_split(spark, sf):
-    return sampling.holdout_split(T.table(spark, sf, "orders"), key="o_orderkey").groupBy("held_out").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.holdout_split(T.table(spark, sf, "orders"), key="o_orderkey").select("o_orderkey", "held_out")
+
 
+_quota = "CASE slot " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.AUDIT_QUOTA.items()) + " ELSE 0 END"
 
-@query("stratified_sample")
+
+@query("stratified_sample", sql(f"""SELECT item_id, slot FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY {sql_seeded('item_id', R.SEED)}, item_id) AS r FROM items) WHERE r <= {_quota}""", "items"))
 def stratified_sample(spark, sf):
     return sampling.stratified_sample(T.items(spark, sf)).select("item_id", "slot")
 
 
-@query("random_rows")
+@query("random_rows", sql(f"""SELECT item_id, title FROM (SELECT *, row_number() OVER (ORDER BY {sql_seeded('item_id', R.SEED)}, item_id) AS r FROM items WHERE slot = 'unknown') WHERE r <= 30""", "items"))
 def random_rows(spark, sf):
     return sampling.random_rows(T.items(spark, sf), 30, F.col("slot") == "unknown").select("item_id", "title")
-
-

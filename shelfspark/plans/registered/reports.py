@@ -191,7 +191,10 @@ def ops_rates(spark, sf):
     return M.ops_rates(T.request_log(spark, sf))
 
 
-@query("repeat_within_ttl")
+@query("repeat_within_ttl", """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, lower(event_type) || ' ' || (user_id % 10)::VARCHAR AS k, epoch_us(ts) AS t FROM events),
+m(k, start) AS (SELECT k, min(t) FROM e GROUP BY k UNION ALL SELECT m.k, min(e.t) FROM m JOIN e ON e.k = m.k AND e.t > m.start + 3600000000 GROUP BY m.k)
+SELECT e.event_id, e.k AS query_key, f.event_id IS NULL AS repeat FROM e LEFT JOIN (
+  SELECT min(e.event_id) AS event_id FROM m JOIN e ON e.k = m.k AND e.t = m.start GROUP BY e.k, m.start) f ON f.event_id = e.event_id""")
 def repeat_within_ttl(spark, sf):
     from ...functions.text import query_key
 

@@ -135,13 +135,12 @@ def write_holdout(rows: DataFrame, path: str) -> None:
 
 
 def write_report(parts: dict[str, DataFrame], path: str) -> None:
-    """One JSON document per run: every part is an array of its (small) rows."""
-    first, report = None, None
+    """The parts of a report as JSON lines, each row with the name of its part; no part meets in one row or task."""
+    report = None
     for name, df in parts.items():
-        packed = df.agg(F.collect_list(F.struct("*")).alias(name)).withColumn("_one", F.lit(1))
-        report = packed if first is None else report.join(packed, "_one")
-        first = first or name
-    report.drop("_one").coalesce(1).write.mode("overwrite").json(path)
+        rows = df.select(F.lit(name).alias("part"), "*")
+        report = rows if report is None else report.unionByName(rows, allowMissingColumns=True)
+    report.write.mode("overwrite").json(path)
 
 
 AUDIT_FIELDS = ["item_id", "title", "derived_slot", "derived_gender", "derived_age_group", "accessory_type",

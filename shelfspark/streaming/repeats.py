@@ -1,7 +1,8 @@
 """Repeated queries within a time to live.
 
 A query is a hit while no more than `ttl` seconds passed since the entry stored for its key;
-a hit does not restart the clock; a miss stores a new entry.
+a hit does not restart the clock; a miss stores a new entry.  On a stream, an event older than the
+stored entry came late: it is no hit and leaves the entry as it is.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def _fold(keys, micros, stored: dict, ttl: int):
     key, start = stored.get("key"), stored.get("start")
     for i, (k, t) in enumerate(zip(keys, micros, strict=True)):
         if k == key and t - start <= ttl:
-            hits[i] = True
+            hits[i] = t >= start
         else:
             key, start = k, t
     stored["key"], stored["start"] = key, start
@@ -51,18 +52,27 @@ def repeat_within_ttl(log: DataFrame, *, key: str = "query_key", at: str = "ts",
 
 
 def repeat_stream(log: DataFrame, *, key: str = "query_key", at: str = "ts", row: str = "event_id",
-                  ttl: int = R.TTL_SECONDS) -> DataFrame:
-    """The same flags on a stream: the stored entry of each key is its state."""
+                  ttl: int = R.TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """The same flags on a stream: the stored entry of each key is its state.
+
+    The watermark trails the newest event by `delay`; an entry is dropped once the watermark has passed its time to
+    live, so the state holds only keys seen within that time.
+    """
     kinds = dict(log.dtypes)
-    rows = log.select(row, key, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"))
+    rows = log.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", delay).select(row, key, "_at", F.unix_micros("_at").alias("_t"))
     width = ttl * 1_000_000
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values(["_t", row])
         stored = {"key": group[0], "start": state.get[0]} if state.exists else {}
         hits = _fold([group[0]] * len(pdf), pdf["_t"].tolist(), stored, width)
-        state.update((int(stored["start"]),))
+        start = int(stored["start"])
+        state.update((start,))
+        state.setTimeoutTimestamp(max((start + width) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({row: pdf[row].to_numpy(), key: group[0], "repeat": hits})
 
     return rows.groupBy(key).applyInPandasWithState(
-        step, f"{row} {kinds[row]}, {key} {kinds[key]}, repeat boolean", "start long", "append", "NoTimeout")
+        step, f"{row} {kinds[row]}, {key} {kinds[key]}, repeat boolean", "start long", "append", "EventTimeTimeout")
