@@ -1,12 +1,14 @@
 """WARC records in ZIP packages: written as a stream by Spark's text sink, read by ranges through the ZIP directory.
 
-A package holds stored (uncompressed) members: one WARC file with the records, and one index with a line per record.
-Everything that is written ends in a line feed, which is the text sink's record separator, so a package is written row by
-row and no task holds one; the last line feed is the package's one-character ZIP comment.
+A package holds stored members: WARC files whose records are compressed each by itself, as is usual for archives that are
+read by ranges, and indexes with a line per record.  Everything that is written ends in a zero byte, which is the text
+sink's record separator, so a package is written row by row and no task holds one: compressed records end in the high
+byte of their length, and the last zero is the package's one-character ZIP comment.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import re
 import struct
@@ -22,12 +24,13 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, ship
 from .common import table
 
-DATA, INDEX = ("archive/data-", ".warc"), ("indexes/data-", ".cdxj")  # before and after the members' number
+DATA, INDEX = ("archive/data-", ".warc.gz"), ("indexes/data-", ".cdxj")  # before and after the members' number
 PER_MEMBER = 65_536      # records of one WARC member; its index lines are all that a writing task holds
 LEAST_BYTES = 100        # shorter payloads are never revisits
 PIECE = 1 << 20          # bytes of an index or directory that are read at once
 STORED, SENTINEL16, SENTINEL32 = 0, 0xFFFF, 0xFFFFFFFF
-LINE_EXTRA = struct.pack("<HHB", 0x4C46, 1, 10)  # a private extra field whose one byte is the line feed
+END_EXTRA = struct.pack("<HHB", 0x4C46, 1, 0)  # a private extra field whose one byte is the separator
+MEMBER_BYTES = 1 << 23  # of a record in one gzip member: below 2^24, so that its length ends in a zero byte
 DATE = "2000-01-01T00:00:00Z"  # a fixed date keeps reruns equal
 
 
@@ -67,6 +70,15 @@ def parse_record(raw: bytes) -> dict:
     return {"fields": fields, "payload": payload}
 
 
+def compressed(record: bytes) -> bytes:
+    """The record as gzip members in a row; ends in a zero byte."""
+    out = b""
+    for at in range(0, len(record), MEMBER_BYTES):
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += pack.compress(record[at:at + MEMBER_BYTES]) + pack.flush()
+    return out
+
+
 def page_of(value: str | None) -> int | None:
     found = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
     return int(found[1]) if found else None
@@ -81,7 +93,7 @@ class Member:
 
     def header(self) -> bytes:
         zip64 = struct.pack("<HHQQ", 1, 16, 0, 0)
-        extra = zip64 + LINE_EXTRA
+        extra = zip64 + END_EXTRA
         return struct.pack("<IHHHHHIIIHH", 0x04034B50, 45, 0x0808, STORED, 0, 0x2821, 0, SENTINEL32, SENTINEL32, len(self.name), len(extra)) + self.name + extra
 
     def add(self, data: bytes) -> bytes:
@@ -98,7 +110,7 @@ class Member:
 
 
 def package(records: Iterator[tuple[str, bytes]], per_member: int = PER_MEMBER) -> Iterator[bytes]:
-    """The bytes of a ZIP64 package of (key, record) pairs, in chunks that all end in a line feed.
+    """The bytes of a ZIP64 package of (key, record) pairs, in chunks that all end in a zero byte.
 
     WARC members of at most `per_member` records alternate with their indexes, so only one index is held at a time.
     """
@@ -114,7 +126,7 @@ def package(records: Iterator[tuple[str, bytes]], per_member: int = PER_MEMBER)
 
     def end(member: Member) -> None:
         nonlocal at, tail
-        at, tail = at + member.size, member.descriptor()
+        at, tail = at + (member.size if member.name.startswith(DATA[0].encode()) else 0), member.descriptor()
         done.append(member)
 
     records = iter(records)
@@ -124,21 +136,22 @@ def package(records: Iterator[tuple[str, bytes]], per_member: int = PER_MEMBER)
         yield out
         index = []
         for key, record in chain(some, islice(records, per_member - len(some))):
-            index.append(json.dumps({"key": key, "offset": data.size, "length": len(record)}, separators=(",", ":")).encode() + b"\n")
-            yield data.add(record)
+            raw = compressed(record)
+            index.append(json.dumps({"key": key, "offset": data.size, "length": len(raw)}, separators=(",", ":")).encode() + b"\n")
+            yield data.add(raw)
         end(data)
         lines, out = begin(INDEX)
         yield out
-        for line in index:
-            yield lines.add(line)
+        held = lines.add(b"".join(index))
         end(lines)
+        tail = held + tail  # goes out with the descriptor, whose high bytes are zero
         some = list(islice(records, 1))
     at += len(tail)
     directory = b"".join(m.entry() for m in done)
     end64 = struct.pack("<IQHHIIQQQQ", 0x06064B50, 44, 45, 45, 0, 0, len(done), len(done), len(directory), at)
     locator = struct.pack("<IIQI", 0x07064B50, 0, at + len(directory), 1)
     last = struct.pack("<IHHHHIIH", 0x06054B50, SENTINEL16, SENTINEL16, SENTINEL16, SENTINEL16, SENTINEL32, SENTINEL32, 1)
-    yield tail + directory + end64 + locator + last + b"\n"
+    yield tail + directory + end64 + locator + last + b"\0"
 
 
 def write_packages(records: DataFrame, path: str) -> None:
@@ -164,7 +177,7 @@ def write_packages(records: DataFrame, path: str) -> None:
         yield pd.DataFrame({"value": held})
     rows = records.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", "kind",
                           F.col("refers_to").cast("string").alias("refers_to"))
-    rows.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path, lineSep="\n")
+    rows.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path, lineSep="\0")
 
 
 # ------------------------------------------------------------------ packages: reading
@@ -319,7 +332,7 @@ def read_records(entries: DataFrame, tasks: int | None = None) -> DataFrame:
                     if opened:
                         opened.close()
                     held, opened = path, open_file(path)
-                got = parse_record(read_at(opened, offset, length))
+                got = parse_record(gzip.decompress(read_at(opened, offset, length)))
                 f = got["fields"]
                 rows.append((page_of(f.get("warc-record-id")), f["warc-type"], f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha256:"),
                              page_of(f.get("warc-refers-to")), got["payload"]))

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import zipfile
@@ -20,11 +21,11 @@ def records(n):
 @pytest.mark.parametrize("n,per", [(0, 4), (1, 4), (9, 4), (8, 4)])
 def test_package_opens_in_the_standard_library(n, per):
     chunks = list(warc.package(records(n), per))
-    assert all(c.endswith(b"\n") for c in chunks)
+    assert all(c.endswith(b"\0") for c in chunks)
     raw = b"".join(chunks)
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        assert z.testzip() is None and len(z.namelist()) == 2 * max(1, -(-n // per)) and z.comment == b"\n"
-        assert b"".join(z.read(m) for m in z.namelist() if m.endswith(".warc")) == b"".join(r for _, r in records(n))
+        assert z.testzip() is None and len(z.namelist()) == 2 * max(1, -(-n // per)) and z.comment == b"\0"
+        assert b"".join(gzip.decompress(z.read(m)) for m in z.namelist() if m.endswith(".warc.gz")) == b"".join(r for _, r in records(n))
     got = list(warc.zip_members(Bytes(raw), len(raw)))
     for m in got:
         start = warc.stored_start(Bytes(raw), m)
@@ -48,6 +49,13 @@ def test_reads_packages_of_others(zip64, comment):
         assert raw[start:start + m["size"]] == b"x" * int(m["name"][2:])
 
 
+def test_long_records_end_in_a_zero_byte(monkeypatch):
+    for data in (b"", b"x", b"abc" * 9_000_000):
+        got = warc.compressed(data)
+        assert gzip.decompress(got) == data if data else got == b""
+        assert got[-1:] in (b"", b"\0")
+
+
 def test_not_a_package():
     with pytest.raises(ValueError):
         list(warc.zip_members(Bytes(b"x" * 100), 100))
