@@ -38,24 +38,27 @@ def unescape(text: str) -> str:
 def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Pointer doubling over nodes(tree, node, parent, score): tables of jumps by 1, 2, 4, ... and the path totals.
 
-    Round r joins the nodes with themselves on (tree, ancestor 2^r up), so a path of n turns takes log2(n) rounds.  Totals are
-    (tree, node, depth, total): turns and summed scores from the root down to the node.  Parents that do not
-    exist end a path; nodes on a cycle have no root and are left out.
+    Round r joins the nodes that have not yet reached their root with all nodes on (tree, ancestor 2^r up), so a path of n
+    turns takes log2(n) rounds and short paths leave early.  Totals are (tree, node, depth, total): turns and
+    summed scores from the root down to the node.  Parents that do not exist end a path; nodes that only lead to a
+    cycle have no root and are left out.
     """
     known = nodes.select(F.col("tree").alias("k_tree"), F.col("node").alias("k_node"))
     start = nodes.join(known, F.col("tree").eqNullSafe(F.col("k_tree")) & (F.col("parent") == F.col("k_node")), "left").select(
         "tree", "node", F.col("k_node").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
-    jump, jumps = materialize(start, "chat_jump"), []
+    state = materialize(start, "chat_jump")
+    count, jumps, done = state.count(), [], None
     while True:
-        jumps.append(jump)
-        now = jump.agg(F.count("up"), F.count("*"), F.max("depth")).first()
-        if not now[0] or now[2] >= 2 * now[1]:
-            break
-        above = jump.select(F.col("tree").alias("a_tree"), F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("total").alias("a_total"))
-        jump = materialize(jump.join(above, F.col("tree").eqNullSafe(F.col("a_tree")) & (F.col("up") == F.col("a_node")), "left").select(
-            "tree", "node", F.col("a_up").alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("a_total", F.lit(0.0))).alias("total")), "chat_jump")
-    return jumps, jump.filter("up is null").select("tree", "node", "depth", "total")
+        ended, open_ = state.filter("up is null"), state.filter("up is not null")
+        done = ended if done is None else done.unionByName(ended)
+        deepest = open_.agg(F.max("depth")).first()[0]
+        if deepest is None or deepest >= 2 * count:
+            return jumps, done.select("tree", "node", "depth", "total")
+        jumps.append(open_)
+        above = open_.unionByName(done).select(
+            F.col("tree").alias("a_tree"), F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("total").alias("a_total"))
+        state = materialize(open_.join(above, F.col("tree").eqNullSafe(F.col("a_tree")) & (F.col("up") == F.col("a_node"))).select(
+            "tree", "node", F.col("a_up").alias("up"), (F.col("depth") + F.col("a_depth")).alias("depth"), (F.col("total") + F.col("a_total")).alias("total")), "chat_jump")
 
 
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -71,8 +74,8 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     leaves = totals.join(parents, F.col("tree").eqNullSafe(F.col("p_tree")) & (F.col("node") == F.col("p_node")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     marked = leaves.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= branches).select("tree", "branch", "node")
-    for jump in reversed(jumps[:-1] if len(jumps) > 1 else jumps):  # all ancestors: jumps of every size from what is marked
-        step = jump.filter("up is not null").select(F.col("tree").alias("j_tree"), F.col("node").alias("j_node"), "up")
+    for jump in reversed(jumps):  # all ancestors: jumps of every size from what is marked
+        step = jump.select(F.col("tree").alias("j_tree"), F.col("node").alias("j_node"), "up")
         further = marked.join(step, F.col("tree").eqNullSafe(F.col("j_tree")) & (F.col("node") == F.col("j_node"))).select("tree", "branch", F.col("up").alias("node"))
         marked = materialize(marked.unionByName(further).distinct(), "chat_marked")
     turns = rows.withColumnsRenamed({"tree": "r_tree", "node": "r_node"})
