@@ -92,16 +92,14 @@ def top_per_query(scored: DataFrame, k: int, query: str = "query_id", item: str
 
 
 def bm25_scores(tokens: DataFrame, index: KeywordIndex, idf: DataFrame,
-                query: str = "query_id", item: str = "item_id", salts: int = 16) -> DataFrame:
+                query: str = "query_id", item: str = "item_id") -> DataFrame:
     """(query, item, score) of every document that shares a token with the query.
 
-    The weighted query tokens meet the postings on (token, salt): the postings of a common token are spread over
-    `salts` tasks, and where the planner sees that the tokens are few it looks them up in place instead.
+    One equi-join on the token: adaptive execution looks few tokens up in place, and splits the postings of a
+    common token over tasks where both sides are shuffled.
     """
     weighted = tokens.join(idf.select("token", "idf"), "token")
-    spread = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = index.postings.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int"))
-    hits = salted.join(spread, ["token", "_salt"])
+    hits = index.postings.join(weighted, "token")
     avg_len = index.stats().select("avg_len").scalar()
     length_norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("doc_len") / avg_len)
     gain = F.col("idf") * F.col("tf") * (R.BM25_K1 + 1) / (F.col("tf") + length_norm)

@@ -57,7 +57,7 @@ def test_bm25_reads_the_stored_index(spark, tmp_path):
     assert index.stats().first().n_docs == 41
     idf, tok = V.token_stats(index), V.query_tokens(q)
     a = V.bm25_scores(tok, index, idf).orderBy("query_id", "item_id").collect()
-    assert a and a == V.bm25_scores(tok, index, idf, salts=1).orderBy("query_id", "item_id").collect()
+    assert {r.item_id for r in a if r.query_id == 2} == {i for i in range(40) if i % 4 == 1 or i % 5 == 3}
     assert V.noise_guard(q, tok, idf).filter("skip_keyword").first().query_id == 3
     read = {Path(f).parent.name for f in V.bm25_topk(q, index, 5).inputFiles()}
     assert "postings" in read and "docs" not in read
