@@ -19,6 +19,8 @@ from .common import components, forest, table
 BITS = 64
 SEED = 42
 BUCKET = 2048       # most rows of one side of a bucket, on average, before it is split
+LEAST_PARTS = 4     # so a part has at most 16 bits and the table of value counts at most 4 x 65,536 entries
+PROBE_COST = 500.0  # comparisons of two fingerprints that cost as much as one more row in a bucket
 SMALL = 256         # pairs of a bucket that are compared in one vector operation with other buckets
 AT_ONCE = 1 << 15   # shingles hashed at once
 SKETCH_WORDS, SKETCH_BINS = 5, 512  # of the min-hash that decides on similarity: its standard error is below 0.018
@@ -126,12 +128,10 @@ def correlated_parts(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 def pick_parts(n: int, most_bits: int) -> int:
     """The number of parts with the least probes plus candidates per fingerprint if bits were independent."""
     def cost(parts: int) -> float:
-        budget, width = most_bits - parts + 1, BITS / parts
-        if budget < 0:
-            return float("inf")
-        share = [sum(comb(round(width), r) for r in range(budget // parts + (i < budget % parts) + 1)) for i in range(parts)]
-        return 8 * sum(share) + sum(s * n / 2 ** width for s in share)
-    return min(range(1, most_bits + 2), key=cost)
+        total, width = most_bits + 1, BITS / parts  # of thresholds + 1
+        share = [sum(comb(round(width), r) for r in range(total // parts + (i < total % parts))) for i in range(parts)]
+        return PROBE_COST * sum(share) + sum(s * n / 2 ** width for s in share)
+    return min(range(LEAST_PARTS, max(LEAST_PARTS, most_bits + 1) + 1), key=cost)
 
 
 def project(fps: np.ndarray, group: list[int]) -> np.ndarray:
@@ -160,7 +160,7 @@ def thresholds(counts: np.ndarray, widths: list[int], most_bits: int) -> np.ndar
         for t in levels:
             if t >= 0:
                 shell = zero if t == 0 else one if t == 1 else shell * (w - t + 1) / t
-                cost = cost + shell + 8.0 * comb(w, t)
+                cost = cost + shell + PROBE_COST * (comb(w, t) if t else 0.5)  # its own value is listed anyway
             for s in range(t + 1, total + 1):
                 value = best[:, s - t - 1] + cost
                 better = value < new[:, s]
@@ -180,6 +180,9 @@ def variants(width: int, radius: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ probe and verify
+LISTED, BOTH, ASKS = 0, 1, 2  # what a row does in its bucket; in the order in which rows are sorted
+
+
 def compare_buckets(most_bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Over rows sorted by bucket: links between the probing and the listed fingerprints of each bucket, as stars."""
     def stars(rows: pd.DataFrame) -> pd.DataFrame:
@@ -188,22 +191,23 @@ def compare_buckets(most_bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterat
         key = rows[["part", "value", "p", "x"]].to_numpy()
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
         ends = np.append(first[1:], len(rows))
-        fp, rep, probe = rows["fp"].to_numpy(), rows["rep"].to_numpy(), rows["probe"].to_numpy()
-        listed = np.add.reduceat((~probe).astype(np.int64), first)  # sorted: listed rows come first
-        asking = ends - first - listed
+        fp, rep, kind = rows["fp"].to_numpy(), rows["rep"].to_numpy(), rows["kind"].to_numpy()
+        ask = first + np.add.reduceat((kind == LISTED).astype(np.int64), first)  # sorted by kind: those that ask begin here
+        listed = np.add.reduceat((kind != ASKS).astype(np.int64), first)
+        asking = ends - ask
         a, b = [], []
-        few = np.flatnonzero((listed * asking > 0) & (listed * asking <= SMALL) & (ends - first > 2))
+        few = np.flatnonzero((listed * asking > 0) & (listed * asking <= SMALL) & (ends - first > 1))
         pairs = listed[few] * asking[few]
         for at in range(0, len(few), 8192):  # all pairs of many small buckets together
             g, size = few[at:at + 8192], pairs[at:at + 8192]
             which = np.repeat(g, size)
             within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            i, j = first[which] + within % listed[which], first[which] + listed[which] + within // listed[which]
+            i, j = first[which] + within % listed[which], ask[which] + within // listed[which]
             near = (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= most_bits) & (fp[i] != fp[j])
             a.append(rep[i[near]])
             b.append(rep[j[near]])
         for g in np.flatnonzero(listed * asking > SMALL):
-            x, y = slice(first[g], first[g] + listed[g]), slice(first[g] + listed[g], ends[g])
+            x, y = slice(first[g], first[g] + listed[g]), slice(ask[g], ends[g])
             linked = np.concatenate([np.bitwise_count((fp[y][i:i + 256, None] ^ fp[x][None, :]).view(np.uint64)) <= most_bits for i in range(0, asking[g], 256)])
             linked &= fp[y][:, None] != fp[x][None, :]
             ids, roots = forest(linked, rep[y], rep[x])
@@ -226,73 +230,88 @@ def compare_buckets(most_bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterat
     return run
 
 
+def value_counts(fps: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
+    """Per part, how many fingerprints have each value: tables of at most 2^16 numbers, from all fingerprints."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [np.zeros(1 << len(g), np.int64) for g in groups]
+        for batch in batches:
+            for count, g in zip(held, groups):
+                count += np.bincount(project(batch["fp"].to_numpy(), g), minlength=len(count))
+        for i, count in enumerate(held):
+            at = np.flatnonzero(count)
+            yield pd.DataFrame({"part": np.full(len(at), i, np.int32), "value": at, "n": count[at]})
+    found = fps.select("fp").mapInPandas(run, "part int, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas()
+    out = [np.zeros(1 << len(g), np.int64) for g in groups]
+    for i, count in enumerate(out):
+        own = found[found["part"] == i]
+        count[own["value"]] = own["n"]
+    return out
+
+
+def bucket_rows(groups: list[list[int]], counts: list[np.ndarray], most_bits: int, bucket: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The rows of each fingerprint: listed under its own value of every part, asking at the values within its thresholds.
+
+    A bucket that more than `bucket` list or may ask is cut into tiles (p, x): who is listed has one x and every p, who
+    asks one p and every x.
+    """
+    widths = [len(g) for g in groups]
+    nearby = [sum(c[np.arange(len(c)) ^ (1 << b)] for b in range(w)) for c, w in zip(counts, widths)]
+    masks = {(w, r): variants(w, r) for w in set(widths) for r in range(most_bits + 1)}
+    tiles_x = [np.maximum(1, -(-c // bucket)) for c in counts]
+    tiles_p = [np.maximum(1, -(-(c + n) // bucket)) for c, n in zip(counts, nearby)]
+
+    def frame(part: int, value: np.ndarray, kind: int, fp: np.ndarray, rep: np.ndarray) -> pd.DataFrame:
+        xs, ps = tiles_x[part][value], tiles_p[part][value]
+        spread = ((fp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+        if kind == BOTH and (xs * ps == 1).all():
+            p, x, many = np.zeros(len(fp), np.int32), np.zeros(len(fp), np.int32), np.ones(len(fp), np.int64)
+        else:
+            many = ps if kind == LISTED else xs
+            nth = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
+            own = np.repeat(spread % (xs if kind == LISTED else ps), many).astype(np.int32)
+            p, x = (nth, own) if kind == LISTED else (own, nth)
+        return pd.DataFrame({"part": np.full(len(p), part, np.int32), "value": np.repeat(value, many).astype(np.int32), "p": p, "x": x,
+                             "kind": np.full(len(p), kind, np.int8), "fp": np.repeat(fp, many), "rep": np.repeat(rep, many)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                fp, rep = batch["fp"].to_numpy()[at:at + 4096], batch["rep"].to_numpy()[at:at + 4096]
+                values = [project(fp, g) for g in groups]
+                limit = thresholds(np.stack([np.stack([c[v], n[v]], axis=1) for c, n, v in zip(counts, nearby, values)], axis=1).astype(float), widths, most_bits)
+                for i, value in enumerate(values):
+                    one = (tiles_x[i][value] == 1) & (tiles_p[i][value] == 1)
+                    for mine, kind in ((limit[:, i] < 0, LISTED), ((limit[:, i] >= 0) & one, BOTH), ((limit[:, i] >= 0) & ~one, LISTED), ((limit[:, i] >= 0) & ~one, ASKS)):
+                        if mine.any():
+                            yield frame(i, value[mine], kind, fp[mine], rep[mine])
+                    for t in range(1, most_bits + 1):
+                        mine, mask = limit[:, i] == t, masks[widths[i], t][1:]
+                        if mine.any():
+                            asked = (value[mine][:, None] ^ mask[None, :]).ravel()
+                            some = counts[i][asked] > 0  # a value that nobody has meets nothing
+                            yield frame(i, asked[some], ASKS, np.repeat(fp[mine], len(mask))[some], np.repeat(rep[mine], len(mask))[some])
+    return run
+
+
 def fingerprint_links(fps: DataFrame, most_bits: int = 3, parts: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between the reps of distinct fingerprints fps(fp, rep) that connect all those at most `most_bits`
     apart: every such pair is found in a bucket, and each bucket gives a spanning star of its links.
 
     Generalised pigeonhole: with thresholds t_i over m parts that sum to most_bits - m + 1, two fingerprints within
-    most_bits differ in some part i by at most t_i bits.  Every fingerprint is listed once per part and probes part i
-    with all values within its own t_i.  Values that very many share cost much in the estimate, so most
-    fingerprints shift their threshold to other parts; what is left of a hot bucket is cut into tiles.
+    most_bits differ in some part i by at most t_i bits (-1: not probed).  Every fingerprint is listed once per part and
+    probes part i with all values within its own t_i.  The counts of all values, by which the thresholds are chosen, are a
+    table of bounded size, so the rows are made in one pass and dealt once.  Values that very many share cost much, so
+    most fingerprints shift their threshold to other parts; what is left of a hot bucket is cut into tiles.
     """
-    spark = fps.sparkSession
-    ship(spark)
+    ship(fps.sparkSession)
     n, both = bit_counts(fps)
     m = parts or pick_parts(n, most_bits)
+    if m < LEAST_PARTS:
+        raise ValueError(f"at least {LEAST_PARTS} parts")
     groups = correlated_parts(n, both, m)
-    widths = [len(g) for g in groups]
-
-    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp, rep = batch["fp"].to_numpy(), batch["rep"].to_numpy()
-            yield pd.concat([pd.DataFrame({"part": np.full(len(fp), i, np.int32), "value": project(fp, g), "fp": fp, "rep": rep}) for i, g in enumerate(groups)])
-    listed = fps.select("fp", "rep").mapInPandas(values, "part int, value long, fp long, rep long")
-    held = listed.groupBy("part", "value").agg(F.count("*").alias("n"))
-
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            part, value, count = (batch[c].to_numpy() for c in ("part", "value", "n"))
-            yield pd.DataFrame({"part": part, "value": value, "n0": count, "n1": np.zeros(len(part), np.int64)})
-            for i, w in enumerate(widths):
-                mine = part == i
-                for b in range(w):
-                    yield pd.DataFrame({"part": part[mine], "value": value[mine] ^ (1 << b), "n0": np.zeros(mine.sum(), np.int64), "n1": count[mine]})
-    estimate = held.mapInPandas(neighbours, "part int, value long, n0 long, n1 long").groupBy("part", "value").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 > 0")
-    known = listed.join(estimate, ["part", "value"]).groupBy("fp", "rep").agg(
-        F.array_sort(F.collect_list(F.struct("part", "n0", "n1"))).alias("costs"))  # one entry per part
-
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks = {(w, r): variants(w, r) for w in set(widths) for r in range(most_bits + 1)}
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                some = batch.iloc[at:at + 4096]
-                fp, rep = some["fp"].to_numpy(), some["rep"].to_numpy()
-                counts = np.array([[(c["n0"], c["n1"]) for c in costs] for costs in some["costs"]], float)
-                limit = thresholds(counts, widths, most_bits)
-                for i, g in enumerate(groups):
-                    value = project(fp, g)
-                    for t in range(most_bits + 1):
-                        mine = limit[:, i] == t
-                        mask = masks[widths[i], t]
-                        if mine.any():
-                            yield pd.DataFrame({"part": np.full(mine.sum() * len(mask), i, np.int32), "value": (value[mine][:, None] ^ mask[None, :]).ravel(),
-                                                "fp": np.repeat(fp[mine], len(mask)), "rep": np.repeat(rep[mine], len(mask))})
-    asked = known.mapInPandas(probes, "part int, value long, fp long, rep long")
-    # a probe of a value that nobody has meets nothing: the semi-join drops it before the buckets are dealt
-    asked = asked.join(held.select("part", "value"), ["part", "value"], "left_semi")
-    rows = materialize(listed.withColumn("probe", F.lit(False)).unionByName(asked.withColumn("probe", F.lit(True))), "simhash_rows")
-    hot = rows.groupBy("part", "value").agg(F.count(F.when(~F.col("probe"), 1)).alias("nl"), F.count(F.when(F.col("probe"), 1)).alias("np")).filter(
-        (F.col("nl") > bucket) | (F.col("np") > bucket)).select(
-        "part", "value", F.ceil(F.col("nl") / bucket).cast("int").alias("xs"), F.ceil(F.col("np") / bucket).cast("int").alias("ps"))
-    ones = lambda c: F.coalesce(F.col(c), F.lit(1))
-    slot = lambda c: F.array(F.pmod(F.xxhash64("fp"), ones(c)).cast("int"))
-    every = lambda c: F.sequence(F.lit(0), ones(c) - 1)
-    dealt = (rows.join(hot, ["part", "value"], "left")
-             .withColumn("p", F.explode(F.when(F.col("probe"), slot("ps")).otherwise(every("ps"))))
-             .withColumn("x", F.explode(F.when(F.col("probe"), every("xs")).otherwise(slot("xs"))))
-             .select("part", "value", "p", "x", "probe", "fp", "rep"))
-    return dealt.repartition("part", "value", "p", "x").sortWithinPartitions("part", "value", "p", "x", "probe").mapInPandas(
+    dealt = fps.select("fp", "rep").mapInPandas(
+        bucket_rows(groups, value_counts(fps, groups), most_bits, bucket), "part int, value int, p int, x int, kind byte, fp long, rep long")
+    return dealt.repartition("part", "value", "p", "x").sortWithinPartitions("part", "value", "p", "x", "kind").mapInPandas(
         compare_buckets(most_bits), "a long, b long")
 
 

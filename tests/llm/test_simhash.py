@@ -35,7 +35,12 @@ def test_fingerprint_is_the_majority_of_shingle_hashes():
         assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("parts,bucket", [(None, 2048), (2, 8), (4, 8), (3, 2048)])
+@pytest.mark.parametrize("n,bits", [(1000, 3), (10 ** 6, 3), (1000, 8), (10 ** 6, 8), (10 ** 9, 8)])
+def test_part_numbers_follow_the_size(n, bits):
+    assert simhash.pick_parts(10 ** 12, 8) == 4 and 4 <= simhash.pick_parts(n, bits) <= max(4, bits + 1)
+
+
+@pytest.mark.parametrize("parts,bucket", [(None, 2048), (4, 8), (5, 8), (6, 2048)])
 def test_groups_equal_brute_force(spark, parts, bucket):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 40)
@@ -57,6 +62,7 @@ def test_groups_equal_brute_force(spark, parts, bucket):
 def test_thresholds_sum_and_avoid_hot_parts():
     counts = np.array([[[1, 2]] * 4, [[10 ** 6, 10 ** 7], [1, 2], [1, 2], [1, 2]]], float)
     got = simhash.thresholds(counts, [16] * 4, 3)
+    assert (simhash.thresholds(counts, [16] * 4, 2).sum(axis=1) == -1).all() and (simhash.thresholds(counts, [16] * 4, 8).sum(axis=1) == 5).all()
     assert (got.sum(axis=1) == 0).all() and (got[0] == 0).all() and got[1, 0] == -1
 
 
