@@ -23,7 +23,9 @@ LEAST_PARTS = 4     # so a part has at most 16 bits and the table of value count
 PROBE_COST = 500.0  # comparisons of two fingerprints that cost as much as one more row in a bucket
 SMALL = 256         # pairs of a bucket that are compared in one vector operation with other buckets
 AT_ONCE = 1 << 15   # shingles hashed at once
-SKETCH_WORDS, SKETCH_BINS = 5, 512  # of the min-hash that decides on similarity: its standard error is below 0.018
+SKETCH_WORDS, SKETCH_BINS = 5, 512  # of the one-permutation min-hash, an estimate with a standard error below 0.018
+BANDS, BAND_ROWS = 64, 7            # a pair of similarity s shares no band with probability (1 - s^7)^64: 3e-7 at 0.8
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 21  # most texts and shingles of a block, on average
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -65,17 +67,15 @@ def sketch(text: str | None, words: int = SKETCH_WORDS, bins: int = SKETCH_BINS)
     return np.where(least == np.iinfo(np.uint64).max, 0, (least >> np.uint64(32)) % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, sketches: bool = False) -> DataFrame:
-    """(doc_id, key, fp, sketch) per row of docs(doc_id, text): key hashes id and text, fp holds the 64 bits as a signed
-    long, sketch is null unless asked for."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, key, fp) per row of docs(doc_id, text): key hashes id and text, fp holds the 64 bits as a signed long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "fp": np.array([as_signed(fingerprint(t, words)) for t in batch["text"]], np.int64),
-                                "sketch": [sketch(t) if sketches else None for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "fp": np.array([as_signed(fingerprint(t, words)) for t in batch["text"]], np.int64)})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, key long, fp long, sketch binary")
+        run, "doc_id long, key long, fp long")
 
 
 def row_key() -> Column:
@@ -315,65 +315,143 @@ def fingerprint_links(fps: DataFrame, most_bits: int = 3, parts: int | None = No
         compare_buckets(most_bits), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words: int = 3, most_bits: int = 3, parts: int | None = None, bucket: int = BUCKET,
-                   similarity: float | None = None) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 3, most_bits: int = 3, parts: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Per row of docs(doc_id, text): (doc_id, key, fp, component_id), component_id the smallest doc_id reachable by links
     between fingerprints that differ in at most `most_bits` bits, itself included.
 
-    With `similarity`, links are only kept between documents whose sets of five-word shingles have at least that
-    similarity by their sketches; equal fingerprints still count as copies.
-
     A null or empty text, or one of white space only, has fingerprint zero and links like any other.  Repeated rows
     stay and share a component; a row with a null doc_id has the component of the other rows with its fingerprint, and
     null where there are none.  Whole texts count, however long.  Other columns are ignored.  Equal fingerprints are
     compared once, whatever their number.
     """
-    marked = materialize(fingerprints(docs, words, similarity is not None), "simhash_docs")
+    marked = materialize(fingerprints(docs, words), "simhash_docs")
     reps = materialize(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash_reps")
     groups = components(fingerprint_links(reps, most_bits, parts, bucket), "simhash_components")
-    if similarity is not None:
-        one = marked.filter("doc_id is not null").groupBy("doc_id", "fp").agg(F.min("sketch").alias("sketch")).withColumnRenamed("doc_id", "rep")
-        near = groups.join(reps.withColumnRenamed("rep", "id"), "id").select(F.col("id").alias("rep"), "fp", "component").join(one, ["rep", "fp"])
-        groups = components(similar_links(near, similarity, most_bits), "simhash_similar")
     named = reps.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(named, "fp", "left").select("doc_id", "key", "fp", "component_id")
 
 
-def similar_links(near: DataFrame, similarity: float, most_bits: int, block: int = 512) -> DataFrame:
-    """Links (a, b) that connect those of near(rep, fp, component, sketch) which share a component, differ in at most
-    `most_bits` bits and whose sketches agree in `similarity` of the bins that either has.
+# ------------------------------------------------------------------ near copies by shingle similarity
+_DRAW = np.random.default_rng(SEED)
+_WORD = _DRAW.integers(0, 1 << 63, SKETCH_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = _DRAW.integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _DRAW.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
+_BAND = _DRAW.integers(0, 1 << 63, (BANDS, BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted 64-bit hashes of the text's distinct five-word shingles, words as in `fingerprint`; a text of fewer
+    words is one shingle, none has no shingle."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    words = np.fromiter((digest(w, SEED) for w in parts), np.uint64, len(parts))
+    n = max(1, len(parts) - SKETCH_WORDS + 1)
+    return np.unique(mixed(sum(words[i:i + n] * _WORD[i] for i in range(min(SKETCH_WORDS, len(parts))))))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band over BAND_ROWS min-hashes; texts without shingles have none."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    x, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 512):
+        np.minimum(least, (_TIMES[:, None] * x[None, at:at + 512] + _PLUS[:, None]).min(axis=1), out=least)
+    return mixed((least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def copy_hash(text: str | None) -> int:
+    """Equal for texts of the same words; as everywhere 64 bits."""
+    return as_signed(xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED))
 
-    A component is cut into blocks of bounded size; each pair of blocks is compared by one task and leaves a spanning star.
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(component, doc_id, key) per group of docs(doc_id, text): the first row of each group of texts that are linked by
+    equal words or a Jaccard similarity of at least `similarity` of their sets of five-word shingles.
+
+    Candidates share one of BANDS keys over BAND_ROWS min-hashes each; a bucket leaves a star, so a group of any size
+    makes rows in proportion.  Every pair of a candidate component is then decided on the whole sets of shingles.
+    """
+    ship(docs.sparkSession)
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "node": np.array([copy_hash(t) for t in batch["text"]], np.int64),
+                                "n": np.array([len(s) for s in sets], np.int64), "bands": [band_keys(s) for s in sets]})
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    marked = materialize(keyed.mapInPandas(marks, "doc_id long, key long, node long, n long, bands array<long>"), "copies_marked")
+    banded = marked.select("node", F.explode("bands").alias("band"))
+    lows = materialize(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low"), "copies_buckets")
+    met = components(banded.join(lows, "band").select(F.col("node").alias("a"), F.col("low").alias("b")), "copies_met")
+    nodes = materialize(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first"), F.max("n").alias("n")), "copies_nodes")
+    members = materialize(met.withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", F.col("first.key").alias("key"), "n"), "copies_members")
+    groups = components(similar_links(members, keyed.select("key", "text"), similarity), "copies_similar")
+    return nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(
+        F.min("first").alias("first")).select("component", "first.doc_id", "first.key")
+
+
+def similar_links(members: DataFrame, texts: DataFrame, similarity: float, block: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) that connect those of members(node, component, key, n) which share a component and whose sets of
+    shingles, of texts(key, text), have at least that Jaccard similarity.
+
+    A component is cut into blocks of bounded size; each pair of blocks is compared by one task and leaves spanning stars.
     """
-    rows = materialize(near, "simhash_near")
-    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    paired = (rows.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "component": batch["component"], "shingles": [shingle_set(t).tobytes() for t in batch["text"]]})
+    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    near = materialize(texts.join(members, "key").select("node", "component", "text").dropDuplicates(["node"]).mapInPandas(
+        hashed, "node long, component long, shingles binary"), "copies_near")
+    paired = (near.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rep", "fp", "sketch"))
-
-    def stars(some: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        one, two, own = some["one"].iat[0], some["two"].iat[0], some["own"].to_numpy()
-        fp, rep = some["fp"].to_numpy(), some["rep"].to_numpy()
-        bins = np.frombuffer(b"".join(some["sketch"]), np.uint8).reshape(len(some), -1)
-        a, b = np.flatnonzero(own == one), np.flatnonzero(own == two)
-        linked = np.bitwise_count((fp[a][:, None] ^ fp[b][None, :]).view(np.uint64)) <= most_bits
-        for i in range(len(a)):
-            j = b[linked[i]]
-            mine, theirs = bins[a[i]], bins[j]
-            either = np.count_nonzero((theirs | mine) != 0, axis=1)
-            same = np.count_nonzero((theirs == mine) & (mine != 0), axis=1)
-            linked[i, linked[i]] = (same >= similarity * either) & (rep[j] != rep[a[i]])
-        return forest(linked, rep[a], rep[b])
+              .select("component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "shingles"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in by_key(batches, ["component", "one", "two"]):
-            if len(some) > 1:
-                a, b = stars(some)
+            own, node = some["own"].to_numpy(), some["node"].to_numpy()
+            left, right = np.flatnonzero(own == some["one"].iat[0]), np.flatnonzero(own == some["two"].iat[0])
+            if len(some) > 1 and len(left) and len(right):
+                sets = [np.frombuffer(s, np.uint64) for s in some["shingles"]]
+                linked = jaccard_links([sets[i] for i in left], [sets[i] for i in right], similarity) & (node[left][:, None] != node[right][None, :])
+                a, b = forest(linked, node[left], node[right])
                 if len(a):
                     yield pd.DataFrame({"a": a, "b": b})
     return paired.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInPandas(run, "a long, b long")
 
 
+def jaccard_links(left: list[np.ndarray], right: list[np.ndarray], similarity: float, columns: int = 4096) -> np.ndarray:
+    """Which of left x right have at least that similarity, exactly: products of 0/1 tables over the shingles on both sides."""
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(*(np.unique(x) for x in flat), assume_unique=True)
+    where = []
+    for x, n in zip(flat, sizes):
+        at = np.searchsorted(both, x)
+        hit = at < len(both)
+        hit[hit] = both[at[hit]] == x[hit]
+        row, at = np.repeat(np.arange(len(n)), n)[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        where.append((row[order], at[order]))
+    common = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, len(both), columns):
+        tables = []
+        for (row, at), n in zip(where, sizes):
+            few = slice(*np.searchsorted(at, [start, start + columns]))
+            one = np.zeros((len(n), min(columns, len(both) - start)), np.float32)
+            one[row[few], at[few] - start] = 1
+            tables.append(one)
+        common += tables[0] @ tables[1].T
+    return (common >= similarity * (sizes[0][:, None] + sizes[1][None, :] - common)) & (common > 0)
+
+
 def by_key(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
     """The runs of equal keys of sorted rows, each as one frame."""
     held = None
@@ -391,16 +469,10 @@ def by_key(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.D
         yield held
 
 
-def deduplicated(docs: DataFrame, words: int = 2, most_bits: int = 8, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group the row with the smallest doc_id stays (then the smallest key), with all columns.
-
-    Word pairs make fingerprints that stay near under edits (documents with 0.8 of their five-word shingles in common are
-    3 to 8 bits apart), so they find the candidates; the five-word sketches decide.  Rows with a null doc_id
-    stay unless their group has others.
-    """
-    groups = materialize(simhash_groups(docs, words, most_bits, similarity=similarity), "simhash_groups")
-    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("d_key"))
+def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group of `similar_texts` the row with the smallest doc_id stays (then the smallest
+    key), with all columns.  A row with a null doc_id stays only if its group has no other."""
+    first = similar_texts(docs, similarity).select(F.col("key").alias("d_key"))
     kept = docs.withColumn("d_row", row_key()).join(first, F.col("d_row") == F.col("d_key"))
     nth = F.row_number().over(Window.partitionBy("d_row").orderBy("d_row"))  # rows that repeat wholly: one
     return kept.withColumn("d_nth", nth).filter("d_nth = 1").select(*[docs[c] for c in docs.columns])
