@@ -48,6 +48,16 @@ def test_no_pair_over_the_border_is_missed(spark):
     assert got == want
 
 
+def test_a_shared_hot_line_makes_no_copies(spark):
+    """Equal word-pair fingerprints, similarity far below 0.8: all stay."""
+    rng = np.random.default_rng(5)
+    line = "this one line is in every text "
+    rows = [(i, line * 100 + " ".join(f"own{x}" for x in rng.integers(0, 1 << 40, 60))) for i in range(6)]
+    assert len({simhash.fingerprint(t, 2) for _, t in rows}) < 6 and max(jaccard(rows[0][1], t) for _, t in rows[1:]) < 0.2
+    docs = spark.createDataFrame(rows + [(7, rows[0][1].upper())], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == list(range(6))
+
+
 def test_blocks_and_rows_without_id(spark):
     """A component over many blocks; null ids; a group without an id keeps one row."""
     base = [f"w{i}" for i in range(300)]
