@@ -30,7 +30,7 @@ def edits(rng, words, base, goal):
 
 
 def test_no_pair_over_the_border_is_missed(spark):
-    """One document of each pair goes exactly if the similarity is 0.8 or more, here from 0.76 to 0.97."""
+    """One document of each pair goes exactly if the similarity is 0.8 or more, here from 0.65 to 1."""
     rng, words = np.random.default_rng(12), [f"w{i}" for i in range(20000)]
     rows, want, seen = [], set(), []
     for n in (60, 150, 400, 1500):
@@ -58,6 +58,18 @@ def test_a_shared_hot_line_makes_no_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == list(range(6))
 
 
+def test_the_decision_is_exact():
+    """Pairs one shingle over and under the border."""
+    rng = np.random.default_rng(6)
+    for size in (5, 90, 9000):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * size, np.uint64))
+        rng.shuffle(pool)
+        a = np.sort(pool[:size])
+        for cut in (size // 5 - 1, size // 5, size // 5 + 1):  # b is a part of a: similarity 1 - cut / size
+            b = np.sort(a[cut:])
+            assert simhash.jaccard_links([a, pool[size:]], [b], 0.8).tolist() == [[size - cut >= 0.8 * size], [False]]
+
+
 def test_blocks_and_rows_without_id(spark):
     """A component over many blocks; null ids; a group without an id keeps one row."""
     base = [f"w{i}" for i in range(300)]
