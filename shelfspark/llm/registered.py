@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, neardup, packing, secrets, simhash, topk, urls, warc
+from . import chat, langid, mixing, neardup, packing, resampling, secrets, simhash, topk, urls, warc
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1_embedding_neardup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
 }
 ORACLES = {
     "op1_embedding_neardup": neardup.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_chat_formatting": chat.ORACLE,
     "op5_url_filters": urls.ORACLE,
     "op10_exact_topk": topk.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
 }
