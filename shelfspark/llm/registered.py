@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, neardup, packing, resampling, secrets, simhash, topk, urls, warc
+from . import chat, langid, mixing, neardup, packing, resampling, secrets, simhash, topk, urls, warc, whitening
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1_embedding_neardup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_topk": topk.op10_exact_topk,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 ORACLES = {
     "op1_embedding_neardup": neardup.ORACLE,
