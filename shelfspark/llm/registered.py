@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, neardup, packing, resampling, secrets, simhash, topk, urls, warc, whitening
+from . import chat, forest, langid, mixing, neardup, packing, resampling, secrets, simhash, topk, urls, warc, whitening
 
 QUERIES = {
     "op1_embedding_neardup": neardup.op1_embedding_neardup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_topk": topk.op10_exact_topk,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_nearest_neighbours": forest.op13_nearest_neighbours,
 }
 ORACLES = {
     "op1_embedding_neardup": neardup.ORACLE,
