@@ -33,21 +33,22 @@ def embed_items(items: DataFrame, make_encoder: Callable[[], Encoder], *, item:
     return items.select(item, text).mapInPandas(encode, f"{item} {kind}, vec array<float>")
 
 
-def hash_encoder(items: DataFrame, dim: int = 64, item: str = "item_id", text: str = "search_text") -> DataFrame:
-    """(item, vec): deterministic bag-of-words vectors, JVM-side.
+def hash_encoder(items: DataFrame, dim: int = 64, item: str | list[str] = "item_id", text: str = "search_text") -> DataFrame:
+    """(item columns, vec): deterministic bag-of-words vectors, JVM-side; the same for items and for query texts.
 
     A token's MD5 gives its position (first eight digits) and its sign (the ninth); counts are summed per (item,
     position) and each array is built once and scaled to unit length.  Equal texts give equal vectors on every
     machine; a text without tokens has the zero vector.
     """
+    keys = [item] if isinstance(item, str) else item
     digest = F.md5(F.col("_t").cast("binary"))
     slot = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
-    terms = items.select(item, F.explode_outer(tokenize(F.col(text))).alias("_t")).select(item, slot.alias("_i"), sign.alias("_s"))
-    summed = terms.groupBy(item, "_i").agg(F.sum("_s").alias("_v"))
-    held = summed.groupBy(item).agg(F.map_from_entries(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_v")))).alias("_m"),
+    terms = items.select(*keys, F.explode_outer(tokenize(F.col(text))).alias("_t")).select(*keys, slot.alias("_i"), sign.alias("_s"))
+    summed = terms.groupBy(*keys, "_i").agg(F.sum("_s").alias("_v"))
+    held = summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_v")))).alias("_m"),
                                     F.sqrt(F.sum(F.when(F.col("_i").isNotNull(), F.col("_v") * F.col("_v")))).alias("_n"))  # at most dim entries
-    return held.select(item, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
+    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
         F.try_element_at("_m", i) / F.nullif(F.col("_n"), F.lit(0.0)), F.lit(0.0)).cast("float")).alias("vec"))
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.text import clean_text
 from ...operators import joins as J
 from ...operators import ranking as K
+from ...operators import retrieval as V
 from ...plans import evaluation as E
 from ...sources import tables as T
-from .base import cte, query, sql
+from .base import cte, query, sql, sql_clean, sql_tokens
 from .ranking import payload, scored, widened
 from .reports import pct
-from .retrieval import vector_hits
+from .retrieval import _stop, catalog_index, hash_ctes, sql_bm25, sql_top
 
 # relevance pattern of each query: its words, any of them (as its author would write it)
 _pat = "array_to_string(list_filter(regexp_extract_all(lower(query), '[a-z]+'), lambda w: length(w) > 3), '|')"
@@ -211,12 +213,35 @@ def spec_relevance(spark, sf):
     return J.spec_relevance(after.unionByName(before), specs)
 
 
-@query("self_retrieval", sql("""SELECT b.query_id, coalesce(rank, 0) AS found_rank, CASE WHEN rank = 1 THEN 'hit' WHEN rank > 1 THEN 'near_duplicate_title_or_size_variant' ELSE 'uncommon_tokens_or_vocabulary_mismatch' END AS cause
-  FROM (SELECT vec_id AS query_id FROM emb) b LEFT JOIN (SELECT * FROM vtop WHERE query_id = item_id AND rank <= 10) USING (query_id)""", "emb", "vtop"))
+# each live item's title asks the hybrid search at depth 10
+cte("own", f"SELECT item_id AS query_id, 'raw' AS variant, {sql_clean('title')} AS text FROM alive", "alive")
+hash_ctes("ownvec", "own", "query_id, variant", sql_tokens("text"))
+cte("owntok", f"""SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest({sql_tokens('text')}) AS token FROM own) WHERE length(token) >= 3 AND token NOT IN ({_stop}) GROUP BY ALL""", "own")
+cte("ownkeep", """SELECT t.* FROM owntok t WHERE query_id IN (SELECT query_id FROM owntok LEFT JOIN cidf USING (token) GROUP BY query_id
+  HAVING sum(CASE WHEN df IS NOT NULL THEN qtf ELSE 0 END) / sum(qtf) >= 0.5)""", "owntok", "cidf")
+cte("ownbm", sql_bm25("ownkeep", "cpost", "cidf", "cstat"), "ownkeep", "cpost", "cidf", "cstat")
+cte("ownkw", sql_top("ownbm", 10), "ownbm")
+cte("owndense", """SELECT query_id, item_id, rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
+  SELECT query_id, item_id, round(list_inner_product(q.v, i.v), 6) AS score FROM ownvec q, ivec i)) WHERE rank <= 10""", "ownvec", "ivec")
+cte("ownrank", """SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, item_id) AS rank FROM (
+  SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM (SELECT query_id, item_id, rank FROM ownkw UNION ALL SELECT * FROM owndense) GROUP BY ALL)""", "ownkw", "owndense")
+
+
+@query("self_retrieval", sql("""SELECT o.query_id, coalesce(rank, 0) AS found_rank, CASE WHEN rank = 1 THEN 'hit' WHEN rank > 1 THEN 'near_duplicate_title_or_size_variant' ELSE 'uncommon_tokens_or_vocabulary_mismatch' END AS cause
+  FROM own o LEFT JOIN (SELECT * FROM ownrank WHERE query_id = item_id AND rank <= 10) USING (query_id)""", "own", "ownrank"))
 def self_retrieval(spark, sf):
-    """Every vector as its own query."""
-    v = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("item_id"))
-    return E.self_retrieval(v, vector_hits(spark, sf)).select("query_id", F.col("found_rank").cast("bigint").alias("found_rank"), "cause")
+    """Every live item's cleaned title as a text query of the hybrid search."""
+    return E.self_retrieval(*own_text_search(spark, sf)).select("query_id", F.col("found_rank").cast("bigint").alias("found_rank"), "cause")
+
+
+def own_text_search(spark, sf, depth=10):
+    """(targets, ranked results) of the hybrid search by the items' own titles."""
+    live = V.live_items(T.items(spark, sf))
+    own = T.kept(spark, sf, "own_titles", lambda: live.select(F.col("item_id").alias("query_id"), "item_id", clean_text(F.col("title")).alias("query")))
+    vec = T.kept(spark, sf, "own_vectors", lambda: T.text_vectors(own, "query_id", "query")).withColumn("variant", F.lit("raw"))
+    found = V.hybrid_candidates(own.select("query_id", "query", F.lit(None).cast("string").alias("normalized")), T.items(spark, sf).select("item_id", "search_text", "is_deleted"),
+                                [depth], index=catalog_index(spark, sf), vectors=T.item_vectors(spark, sf), query_vectors=vec)
+    return own.select("query_id", "item_id"), V.top_per_query(found, depth, score="fused")
 
 
 @query("gate_table", sql("""SELECT unnest(['Kids leakage', 'Innerwear leakage', 'Rows checked']) AS gate, unnest([k, i, n])::DOUBLE AS measured, unnest([0.0, 0.0, NULL])::DOUBLE AS required,

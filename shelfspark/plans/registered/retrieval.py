@@ -153,11 +153,21 @@ def rrf(spark, sf):
 
 # ------------------------------------------- catalog search: items, parsed log, lifted vectors
 _half = "sqrt(0.5)"
-cte("evec", f"SELECT vec_id, list_concat(list_transform(embedding, lambda x: x::DOUBLE * {_half}), [{_half}]) AS v, count(*) OVER () AS n FROM embeddings")
-cte("nvec", "SELECT count(*) AS n FROM embeddings")
-cte("ivec", "SELECT item_id, v FROM (SELECT item_id, seq % n AS k FROM items, nvec WHERE NOT is_deleted) JOIN evec ON vec_id = k", "items", "evec", "nvec")
-cte("qvec", """SELECT query_id, variant, v FROM (SELECT query_id, 'raw' AS variant, s_suppkey % n AS k FROM parsed, nvec UNION ALL
-  SELECT query_id, 'normalized', (s_suppkey + 7) % n FROM parsed, nvec WHERE lower(trim(query)) <> lower(trim(norm))) JOIN evec ON vec_id = k""", "parsed", "evec", "nvec")
+
+
+def hash_ctes(name: str, source: str, keys: str, tokens: str) -> None:
+    """{name}_term and {name}: the hash encoder's terms and lifted vectors of source(keys, ...)."""
+    cte(name + "_term", f"""SELECT {keys}, (('0x' || substr(md5(token), 1, 8))::BIGINT % 64)::INTEGER AS pos,
+  sum(CASE WHEN substr(md5(token), 9, 1) < '8' THEN 1.0 ELSE -1.0 END) AS v FROM (SELECT {keys}, unnest({tokens}) AS token FROM {source}) GROUP BY ALL""", source)
+    cte(name, f"""SELECT {keys}, list_concat(list(x * {_half} ORDER BY pos), [{_half}]) AS v FROM (
+  SELECT {keys}, p.pos, coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY {keys})), 0), 0.0)::FLOAT::DOUBLE AS x
+  FROM {source} CROSS JOIN (SELECT unnest(range(64))::INTEGER AS pos) p LEFT JOIN {name}_term t USING ({keys}, pos)) GROUP BY ALL""", source, name + "_term")
+
+
+cte("alive", "SELECT item_id, title, search_text FROM items WHERE NOT is_deleted", "items")
+cte("qtext", "SELECT query_id, 'raw' AS variant, query AS text FROM parsed UNION ALL SELECT query_id, 'normalized', norm FROM parsed WHERE lower(trim(query)) <> lower(trim(norm))", "parsed")
+hash_ctes("ivec", "alive", "item_id", sql_tokens("search_text"))
+hash_ctes("qvec", "qtext", "query_id, variant", sql_tokens("text"))
 cte("ctok", f"SELECT item_id, {sql_tokens('search_text')} AS tk FROM items WHERE NOT is_deleted", "items")
 cte("cpost", "SELECT item_id, token, count(*) AS tf, any_value(dl) AS doc_len FROM (SELECT item_id, len(tk) AS dl, unnest(tk) AS token FROM ctok) GROUP BY item_id, token", "ctok")
 cte("cstat", "SELECT count(*) AS n_docs, avg(len(tk)) AS avg_len FROM ctok", "ctok")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import strings
 from ..functions.intent import parse_queries
+from ..operators.encoders import hash_encoder
 from ..operators.triage import transform_catalog
 from ..session import materialize
 
@@ -155,24 +156,22 @@ def lifted(vec: str) -> F.Column:
     return F.concat(F.transform(vec, lambda x: x.cast("double") * half), F.array(F.lit(half)))
 
 
-def vectors_for(spark: SparkSession, sf: str, ids: DataFrame, number: str, shift: int = 0) -> DataFrame:
-    """Attach the embedding whose id is (number + shift) mod the table size."""
-    emb = table(spark, sf, "embeddings")
-    n = emb.agg(F.count(F.lit(1))).scalar()
-    keyed = ids.withColumn("vec_id", F.pmod(F.col(number) + shift, n))
-    return keyed.join(emb.select("vec_id", lifted("embedding").alias("vec")), "vec_id").drop("vec_id")
+def text_vectors(texts: DataFrame, keys: str | list[str], text: str) -> DataFrame:
+    """(keys, vec): the hash encoder's vectors, lifted; items and queries go through the same encoder."""
+    return hash_encoder(texts, item=keys, text=text).withColumn("vec", lifted("vec"))
 
 
 def item_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors_for(spark, sf, items(spark, sf).select("item_id", "seq"), "seq").select("item_id", "vec")
+    """Vectors of the search texts."""
+    return kept(spark, sf, "item_vectors", lambda: text_vectors(items(spark, sf).select("item_id", "search_text"), "item_id", "search_text"))
 
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """One vector for the raw text, one more where the normalised text differs."""
-    q = queries(spark, sf).select("query_id", "s_suppkey", "query", "normalized_query_en")
-    raw = vectors_for(spark, sf, q, "s_suppkey").withColumn("variant", F.lit("raw"))
-    other = vectors_for(spark, sf, q.filter("lower(trim(query)) <> lower(trim(normalized_query_en))"), "s_suppkey", 7)
-    return raw.unionByName(other.withColumn("variant", F.lit("normalized"))).select("query_id", "variant", "vec")
+    q = queries(spark, sf).select("query_id", "query", "normalized_query_en")
+    raw = q.select("query_id", F.lit("raw").alias("variant"), F.col("query").alias("text"))
+    other = q.filter("lower(trim(query)) <> lower(trim(normalized_query_en))").select("query_id", F.lit("normalized").alias("variant"), F.col("normalized_query_en").alias("text"))
+    return text_vectors(raw.unionByName(other), ["query_id", "variant"], "text")
 
 
 def request_log(spark: SparkSession, sf: str) -> DataFrame:
