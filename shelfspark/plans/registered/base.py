@@ -214,20 +214,27 @@ def plain(portable: str) -> str:
 
 
 cte("feed", plain(T.FEED_SQL))
-cte("rec", "SELECT *, trim(coalesce(title, '')) AS t, list_filter(string_split(feature_text, ';'), lambda x: x <> '') AS feats FROM feed", "feed")
-cte("attrs", f"""
+_brand = f"CASE WHEN coalesce(store, '') = '' THEN 'Unknown' ELSE {sql_clean('store')} END"
+_feat = f"list_filter(list_transform(list_slice(feats, 1, 3), lambda f: {sql_clean('f')}), lambda f: f <> '')"
+
+
+def item_ctes(prefix: str, source: str) -> None:
+    """{prefix}rec, {prefix}attrs, {prefix}items: the products of the raw records in `source`."""
+    cte(prefix + "rec", f"SELECT *, trim(coalesce(title, '')) AS t, list_filter(string_split(feature_text, ';'), lambda x: x <> '') AS feats FROM {source}", source)
+    cte(prefix + "attrs", f"""
 SELECT *, {sql_gender('department', 't')} AS gender, {sql_age('t')} AS age_group,
   coalesce({sql_slot('t')}, {sql_slot("array_to_string(feats, ' ')")}, {sql_slot('description')}, 'unknown') AS slot,
   {list_all('t', COLOR_RULES)} AS colors, t || ' ' || array_to_string(feats, ' ') || ' ' || coalesce(description, '') AS ctx,
-  {sql_bayes('average_rating', 'rating_number')} AS quality_bayes FROM rec""", "rec")
-_brand = f"CASE WHEN coalesce(store, '') = '' THEN 'Unknown' ELSE {sql_clean('store')} END"
-_feat = f"list_filter(list_transform(list_slice(feats, 1, 3), lambda f: {sql_clean('f')}), lambda f: f <> '')"
-cte("items", f"""
+  {sql_bayes('average_rating', 'rating_number')} AS quality_bayes FROM {prefix}rec""", prefix + "rec")
+    cte(prefix + "items", f"""
 SELECT * EXCLUDE (title), t AS title, CASE WHEN slot = 'accessory' THEN {sql_acc('t')} END AS accessory_type,
   {list_all('ctx', R.SEASON_RULES)} AS seasons, {list_all('ctx', R.OCCASION_RULES)} AS occasions,
   trim(regexp_replace(regexp_replace(concat_ws(' ', nullif({sql_end('ct')}, ''), 'Brand: ' || {_brand} || '.',
     'For: ' || gender || ', ' || age_group || '.', 'Type: ' || slot || '.',
     nullif(array_to_string(list_transform({_feat}, lambda f: {sql_end('f')}), ' '), ''), nullif({sql_end('dd')}, '')),
     '\\.+', '.', 'g'), '\\s+', ' ', 'g')) AS search_text
-FROM (SELECT *, {sql_clean(sql_strip_sizes('t'))} AS ct, trim(substr({sql_clean('description')}, 1, 400)) AS dd FROM attrs)""", "attrs")
+FROM (SELECT *, {sql_clean(sql_strip_sizes('t'))} AS ct, trim(substr({sql_clean('description')}, 1, 400)) AS dd FROM {prefix}attrs)""", prefix + "attrs")
+
+
+item_ctes("", "feed")
 cte("qlog", plain(T.QUERY_SQL))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...operators import encoders
 from ...operators import evolution as V
+from ...session import scratch_path
 from ...sources import tables as T
+from ...streaming import ingest as I
 from ...streaming import metrics as M
 from ...streaming.ingest import first_per_id
-from .base import cte, query, sql
+from .base import cte, item_ctes, query, sql, sql_tokens
 from .catalog import triaged
 
 cte("upd", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS r FROM batch WHERE item_id <> '') WHERE r = 1""", "batch")
@@ -74,3 +77,59 @@ def ingest_rejects(spark, sf):
     from ...operators.validate import validate_batch
 
     return M.ingest_rejects(validate_batch(T.update_batch(spark, sf), T.feed(spark, sf).select("item_id", "version")))
+
+
+# ------------------------------------------------------------ the feed as a stream of four batches
+cte("sbatch", r"""SELECT *, seq % 4 AS b FROM (SELECT *, row_number() OVER (PARTITION BY seq % 4, item_id ORDER BY seq) AS rn FROM batch WHERE item_id <> '') WHERE rn = 1
+  AND title IS NOT NULL AND length(title) >= 15 AND NOT regexp_matches(title, '\b(?:plush|toys?)\b', 'i') AND price > 0""", "batch")
+cte("slast", "SELECT item_id, arg_max(seq, b) AS seq, arg_max(title, b) AS title, arg_max(price, b) AS price, count(*) AS n FROM sbatch GROUP BY item_id", "sbatch")
+cte("sfeed", """SELECT coalesce(l.seq, f.seq) AS seq, item_id, CASE WHEN l.n > 0 THEN l.title ELSE f.title END AS title, CASE WHEN l.n > 0 THEN NULL ELSE f.store END AS store,
+  CASE WHEN l.n > 0 THEN round(l.price, 2) ELSE f.price END AS price, CASE WHEN l.n > 0 THEN NULL ELSE f.average_rating END AS average_rating,
+  CASE WHEN l.n > 0 THEN NULL ELSE f.rating_number END AS rating_number, CASE WHEN l.n > 0 THEN '' ELSE f.feature_text END AS feature_text,
+  CASE WHEN l.n > 0 THEN NULL ELSE f.description END AS description, CASE WHEN l.n > 0 THEN NULL ELSE f.department END AS department,
+  CASE WHEN l.n > 0 THEN false ELSE f.is_deleted END AS is_deleted, coalesce(f.version, 0) + coalesce(l.n, 0) AS version FROM feed f FULL OUTER JOIN slast l USING (item_id)""", "feed", "slast")
+item_ctes("s", "sfeed")
+cte("stok", f"SELECT item_id, {sql_tokens('search_text')} AS tk FROM sitems WHERE NOT is_deleted", "sitems")
+
+
+def streamed(spark, sf):
+    """The catalog after the update feed came in as four files, each drained by the stream."""
+    root = scratch_path(spark, "live")
+    store = I.LiveCatalog(spark, f"{root}/catalog", 16, lambda rows: encoders.hash_encoder(rows.select("item_id", "search_text")))
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    start = T.items(spark, sf).withColumn("image_url", F.lit(None).cast("string"))
+    store.create(start.select(*I.CATALOG_COLUMNS, F.col("version").cast("long").alias("version"), stamp.alias("created_at"), stamp.alias("updated_at"), "is_deleted"))
+    feed = T.update_batch(spark, sf).withColumns({c: F.lit(None).cast(kind) for c, kind in (
+        ("store", "string"), ("average_rating", "double"), ("rating_number", "bigint"), ("features", "array<string>"), ("description", "string"))})
+    for part in range(4):
+        feed.filter(F.col("seq") % 4 == part).write.mode("append").parquet(f"{root}/feed")
+        waiting = spark.readStream.schema(feed.schema).parquet(f"{root}/feed")
+        I.stream_ingest(waiting, store, f"{root}/checkpoint").awaitTermination()
+    return store
+
+
+def live(spark, sf):
+    """One streamed catalog for the queries below: name -> table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LIVE:
+        _LIVE[key] = streamed(spark, sf)
+    return _LIVE[key]
+
+
+_LIVE: dict[tuple, I.LiveCatalog] = {}
+
+
+@query("stream_ingest", sql("""SELECT item_id, title, slot, round(price, 2) AS price, version, is_deleted, search_text, len(tk) AS doc_len, len(list_distinct(tk)) AS n_tokens
+  FROM sitems LEFT JOIN stok USING (item_id)""", "sitems", "stok"))
+def stream_ingest(spark, sf):
+    """Products, and what the postings and lengths say about each."""
+    store = live(spark, sf)
+    tokens = store.read("postings").groupBy("item_id").agg(F.count("*").alias("n_tokens"))
+    lengths = store.read("lengths").select("item_id", F.col("doc_len").cast("bigint").alias("doc_len"))
+    return store.read("catalog").select("item_id", "title", "slot", "price", "version", "is_deleted", "search_text").join(lengths, "item_id", "left").join(tokens, "item_id", "left")
+
+
+@query("stream_frequencies", sql("SELECT token, count(*) AS df FROM (SELECT DISTINCT item_id, unnest(tk) AS token FROM stok) GROUP BY token", "stok"))
+def stream_frequencies(spark, sf):
+    """Document frequencies, kept by differences alone."""
+    return live(spark, sf).index().frequencies.select("token", F.col("df").cast("bigint").alias("df"))

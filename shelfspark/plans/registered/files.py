@@ -33,9 +33,9 @@ def read_reviews(spark, sf):
 
 @query("write_catalog", sql("SELECT item_id, title, slot, price, is_deleted FROM items", "items"))
 def write_catalog(spark, sf):
-    store = C.CatalogStore(spark, scratch_path(spark, "store"))
-    C.write_catalog(store, T.items(spark, sf).select("item_id", "title", "slot", "price", "is_deleted"))
-    return store.read("catalog").select("item_id", "title", "slot", "price", "is_deleted")
+    path = scratch_path(spark, "store")
+    C.write_catalog(T.items(spark, sf).select("item_id", "title", "slot", "price", "is_deleted"), path)
+    return spark.read.parquet(path).select("item_id", "title", "slot", "price", "is_deleted")
 
 
 @query("write_holdout", sql("SELECT item_id, title, slot, seq FROM items", "items"))

@@ -1,4 +1,4 @@
-"""Readers and writers: raw feeds, the versioned catalog, quarantine, reports, audit files."""
+"""Readers and writers: raw feeds, the catalog, quarantine, reports, audit files."""
 
 from __future__ import annotations
 
@@ -39,70 +39,9 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
         "parent_asin is not null").withColumnRenamed("parent_asin", "item_id")
 
 
-class CatalogStore:
-    """Versioned tables under one folder: <root>/v=<n>/<table>, and a manifest written last.
-
-    A version becomes visible only when its manifest line exists, so a job that dies half way
-    leaves the previous version in place, and tables written together are seen together.
-    A batch id recorded in the manifest makes a replayed micro-batch a no-op.
-    """
-
-    MANIFEST = "index_version BIGINT, batch_id BIGINT, tables STRING, written_at TIMESTAMP"
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def manifest(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.MANIFEST).json(f"{self.root}/manifest")
-        except Exception as exc:  # the folder appears with the first commit
-            if "PATH_NOT_FOUND" in str(exc):
-                return self.spark.createDataFrame([], self.MANIFEST)
-            raise
-
-    def version(self) -> int:
-        return self.manifest().agg(F.coalesce(F.max("index_version"), F.lit(0))).first()[0]
-
-    def has_batch(self, batch_id: int) -> bool:
-        return not self.manifest().filter(F.col("batch_id") == batch_id).isEmpty()
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """A table at a version; where that version did not rewrite it, the latest earlier one."""
-        limit = self.version() if version is None else version
-        holder = self.manifest().filter(
-            (F.col("index_version") <= limit) & F.array_contains(F.split("tables", ","), table)
-        ).agg(F.max("index_version")).first()[0]
-        if holder is None:
-            raise FileNotFoundError(f"no version of {table} under {self.root}")
-        return self.spark.read.parquet(f"{self.root}/v={holder}/{table}")
-
-    def commit(self, tables: dict[str, DataFrame], batch_id: int = -1,
-               partition_by: dict[str, list[str]] | None = None) -> int:
-        """Write all tables under the next version, then publish it."""
-        version = self.version() + 1
-        for name, df in tables.items():
-            writer = df.write.mode("overwrite")
-            keys = (partition_by or {}).get(name)
-            (writer.partitionBy(*keys) if keys else writer).parquet(f"{self.root}/v={version}/{name}")
-        self.spark.createDataFrame([(version, batch_id, ",".join(sorted(tables)))],
-                                   "index_version BIGINT, batch_id BIGINT, tables STRING").withColumn(
-            "written_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{self.root}/manifest")
-        return version
-
-
-def write_catalog(store: CatalogStore, products: DataFrame) -> int:
-    """Create or replace the catalog: partitioned by slot, sorted by price inside files."""
-    return store.commit({"catalog": products.sortWithinPartitions("slot", "price")}, partition_by={"catalog": ["slot"]})
-
-
-def upsert_with_vectors(store: CatalogStore, products: DataFrame, vectors: DataFrame, batch_id: int = -1) -> int:
-    """Products and vectors move together: both are written before the version is published."""
-    return store.commit({"catalog": products, "vectors": vectors}, batch_id)
-
-
-def bump_version(store: CatalogStore) -> int:
-    """Publish a new version number that keeps every table."""
-    return store.commit({})
+def write_catalog(products: DataFrame, path: str) -> None:
+    """Create or replace the catalog: plain Parquet partitioned by slot, sorted by price inside files."""
+    products.repartition("slot", "item_id").sortWithinPartitions("slot", "price").write.mode("overwrite").partitionBy("slot").parquet(path)
 
 
 def scan_active(items: DataFrame) -> DataFrame:
