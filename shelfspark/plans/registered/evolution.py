@@ -79,8 +79,8 @@ def ingest_rejects(spark, sf):
     return M.ingest_rejects(validate_batch(T.update_batch(spark, sf), T.feed(spark, sf).select("item_id", "version")))
 
 
-# ------------------------------------------------------------ the feed as a stream of four batches
-cte("sbatch", r"""SELECT *, seq % 4 AS b FROM (SELECT *, row_number() OVER (PARTITION BY seq % 4, item_id ORDER BY seq) AS rn FROM batch WHERE item_id <> '') WHERE rn = 1
+# ------------------------------------------------------------ the feed as a stream of three batches
+cte("sbatch", r"""SELECT *, seq % 3 AS b FROM (SELECT *, row_number() OVER (PARTITION BY seq % 3, item_id ORDER BY seq) AS rn FROM batch WHERE item_id <> '') WHERE rn = 1
   AND title IS NOT NULL AND length(title) >= 15 AND NOT regexp_matches(title, '\b(?:plush|toys?)\b', 'i') AND price > 0""", "batch")
 cte("slast", "SELECT item_id, arg_max(seq, b) AS seq, arg_max(title, b) AS title, arg_max(price, b) AS price, count(*) AS n FROM sbatch GROUP BY item_id", "sbatch")
 cte("sfeed", """SELECT coalesce(l.seq, f.seq) AS seq, item_id, CASE WHEN l.n > 0 THEN l.title ELSE f.title END AS title, CASE WHEN l.n > 0 THEN NULL ELSE f.store END AS store,
@@ -93,16 +93,16 @@ cte("stok", f"SELECT item_id, {sql_tokens('search_text')} AS tk FROM sitems WHER
 
 
 def streamed(spark, sf):
-    """The catalog after the update feed came in as four files, each drained by the stream."""
+    """The catalog after the update feed came in as three files, each drained by the stream."""
     root = scratch_path(spark, "live")
-    store = I.LiveCatalog(spark, f"{root}/catalog", 16, lambda rows: encoders.hash_encoder(rows.select("item_id", "search_text")))
+    store = I.LiveCatalog(spark, f"{root}/catalog", 8, lambda rows: encoders.hash_encoder(rows.select("item_id", "search_text")))
     stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
     start = T.items(spark, sf).withColumn("image_url", F.lit(None).cast("string"))
     store.create(start.select(*I.CATALOG_COLUMNS, F.col("version").cast("long").alias("version"), stamp.alias("created_at"), stamp.alias("updated_at"), "is_deleted"))
     feed = T.update_batch(spark, sf).withColumns({c: F.lit(None).cast(kind) for c, kind in (
         ("store", "string"), ("average_rating", "double"), ("rating_number", "bigint"), ("features", "array<string>"), ("description", "string"))})
-    for part in range(4):
-        feed.filter(F.col("seq") % 4 == part).write.mode("append").parquet(f"{root}/feed")
+    for part in range(3):
+        feed.filter(F.col("seq") % 3 == part).write.mode("append").parquet(f"{root}/feed")
         waiting = spark.readStream.schema(feed.schema).parquet(f"{root}/feed")
         I.stream_ingest(waiting, store, f"{root}/checkpoint").awaitTermination()
     return store

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructType
 
 from ..operators.dedup import flag_first
 from ..operators.evolution import upsert_catalog
@@ -38,6 +39,7 @@ class LiveCatalog:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, encode: Encode | None = None):
         self.spark, self.root, self.buckets, self.encode = spark, root.rstrip("/"), buckets, encode
+        self.schemas: dict[str, StructType] = {}  # a table keeps its first one
 
     def path(self, table: str, batch_id: int | None = None) -> str:
         return f"{self.root}/{table}" if batch_id is None else f"{self.root}/staged/batch={batch_id}/{table}"
@@ -50,7 +52,9 @@ class LiveCatalog:
         return [t for t in KEYS if t != "vectors" or self.encode]
 
     def read(self, table: str, touched: list[int] | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path(table)).filter(F.col(KEYS[table]).isNotNull())
+        if table not in self.schemas:
+            self.schemas[table] = self.spark.read.parquet(self.path(table)).schema
+        rows = self.spark.read.schema(self.schemas[table]).parquet(self.path(table)).filter(F.col(KEYS[table]).isNotNull())
         return (rows if touched is None else rows.filter(F.col("bucket").isin(touched))).drop("bucket")
 
     def index(self) -> KeywordIndex:
@@ -106,7 +110,7 @@ class LiveCatalog:
 
     def publish(self, batch_id: int) -> None:
         for table in self.tables:
-            self.spark.read.parquet(self.path(table, batch_id)).repartition("bucket").write.mode("overwrite").option(
+            self.spark.read.schema(self.read(table).schema.add("bucket", IntegerType())).parquet(self.path(table, batch_id)).repartition("bucket").write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path(table))
         self.note(batch_id, "published")
 

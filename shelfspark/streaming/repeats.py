@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..session import materialize
 
 
 def _fold(keys, micros, stored: dict, ttl: int):
@@ -29,26 +30,45 @@ def _fold(keys, micros, stored: dict, ttl: int):
     return hits
 
 
-def repeat_within_ttl(log: DataFrame, *, key: str = "query_key", at: str = "ts", row: str = "event_id",
-                      ttl: int = R.TTL_SECONDS) -> DataFrame:
-    """(row, key, repeat) for a batch.
+def successors(times: DataFrame, key: str, ttl: int) -> DataFrame:
+    """(key, t, next): the first later time of the key that is more than `ttl` after t; times(key, t) are distinct, without nulls.
 
-    Events are sorted by key and time inside partitions and folded as a stream of Arrow batches:
-    a task keeps one entry, however many events a key has.
+    Times and the points t + ttl are sorted together and cut into blocks by range, so a hot key spreads over blocks; within a
+    block one pass from the end knows the time that follows a point, and past its end the head of the next block does.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = log.select(row, key, micros.alias("_t"))
-    ordered = rows.repartition(key).sortWithinPartitions(key, "_t", row)
-    kinds = dict(rows.dtypes)
-    width = ttl * 1_000_000
+    ends = times.select(key, "t", F.lit(None).cast("long").alias("origin")).unionByName(times.select(key, (F.col("t") + ttl).alias("t"), F.col("t").alias("origin")))
+    blocks = materialize(ends.repartitionByRange(key, "t").withColumn("block", F.spark_partition_id()), "ttl_blocks")
+    node = F.when(F.col("origin").isNull(), F.struct(key, "t"))
+    heads = blocks.groupBy("block").agg(F.min(node).alias("head"))  # a row per block
+    later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    after = heads.select("block", F.last("head", ignorenulls=True).over(later).alias("after"))
+    back = Window.partitionBy("block").orderBy(F.desc(key), F.desc("t"), F.desc_nulls_last("origin")).rowsBetween(Window.unboundedPreceding, -1)
+    found = blocks.withColumn("found", F.last(node, ignorenulls=True).over(back)).filter("origin is not null").join(F.broadcast(after), "block")
+    best = F.coalesce("found", "after")
+    return found.select(key, F.col("origin").alias("t"), best["t"].alias("next")).filter(best[key] == F.col(key))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stored: dict = {}
-        for pdf in batches:
-            hits = _fold(pdf[key].tolist(), pdf["_t"].tolist(), stored, width)
-            yield pd.DataFrame({row: pdf[row], key: pdf[key], "repeat": hits})
 
-    return ordered.mapInPandas(fold, f"{row} {kinds[row]}, {key} {kinds[key]}, repeat boolean")
+def repeat_within_ttl(log: DataFrame, *, key: str = "query_key", at: str = "ts", row: str = "event_id",
+                      ttl: int = R.TTL_SECONDS) -> DataFrame:
+    """(row, key, repeat) for a batch; a row without a key or a time is no repeat.
+
+    An entry is followed by the first event more than one TTL later, so the stored entries are the chain of
+    successors from a key's first event.  Pointer doubling marks it: after n rounds 2^n entries of every key are known.  All
+    joins are on (key, time), so no task goes through the events of a key.
+    """
+    rows = log.select(row, key, F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+    times = materialize(rows.filter(F.col(key).isNotNull() & F.col("t").isNotNull()).groupBy(key, "t").agg(F.min(row).alias("first")), "ttl_times")
+    jump = materialize(successors(times.select(key, "t"), key, ttl * 1_000_000), "ttl_jumps")
+    marked = materialize(times.groupBy(key).agg(F.min("t").alias("t")), "ttl_marked")
+    known, count = 0, marked.count()
+    while count > known:
+        more = marked.join(jump, [key, "t"]).select(key, F.col("next").alias("t"))
+        marked = materialize(marked.unionByName(more), "ttl_marked")  # the chain does not meet itself: no entry comes twice
+        jump = materialize(jump.join(jump.select(key, F.col("t").alias("next"), F.col("next").alias("far")), [key, "next"]).select(key, "t", F.col("far").alias("next")), "ttl_jumps")
+        known, count = count, marked.count()
+    stored = times.join(marked, [key, "t"], "left_semi").select(key, F.col("first").alias(row), F.lit(True).alias("entry"))
+    usable = F.col(key).isNotNull() & F.col("t").isNotNull()
+    return rows.join(stored, [key, row], "left").select(row, key, (F.col("entry").isNull() & usable).alias("repeat"))
 
 
 def repeat_stream(log: DataFrame, *, key: str = "query_key", at: str = "ts", row: str = "event_id",

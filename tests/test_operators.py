@@ -270,6 +270,22 @@ def test_repeats_batch_and_stream(spark, tmp_path):
     assert {r.event_id: r.repeat for r in spark.sql("select * from rep").collect()} == want
 
 
+def test_repeats_of_a_hot_key_spread_over_tasks(spark):
+    rng = random.Random(8)
+    rows = [(i, "hot" if i % 10 else f"k{i % 7}", rng.randrange(0, 400_000)) for i in range(4000)] + [(9001, None, 5), (9002, None, 6)]
+    df = spark.createDataFrame(rows, "event_id bigint, query_key string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.event_id: r.repeat for r in repeats.repeat_within_ttl(df, ttl=60).collect()}
+    assert got == {**ttl_by_hand(rows[:4000], 60), 9001: False, 9002: False}
+    assert not any(r.repeat for r in repeats.repeat_within_ttl(df.limit(0)).collect())
+    times = df.filter("query_key is not null").select("query_key", F.unix_micros("ts").alias("t")).distinct()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        links = repeats.successors(times, "query_key", 60_000_000).filter("query_key = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(links) > 2 and max(r["count"] for r in links) < 0.5 * times.count()
+
+
 def test_metric_streams(spark, tmp_path):
     df = spark.range(200).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit("search").alias("endpoint"), F.col("id").cast("double").alias("latency_ms"), F.lit(200).alias("status"))
     df.write.parquet(str(tmp_path / "log"))
