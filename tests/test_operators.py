@@ -279,10 +279,12 @@ def test_repeats_of_a_hot_key_spread_over_tasks(spark):
     assert not any(r.repeat for r in repeats.repeat_within_ttl(df.limit(0)).collect())
     times = df.filter("query_key is not null").select("query_key", F.unix_micros("ts").alias("t")).distinct()
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
         links = repeats.successors(times, "query_key", 60_000_000).filter("query_key = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(links) > 2 and max(r["count"] for r in links) < 0.5 * times.count()
 
 
