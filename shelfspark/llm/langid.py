@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
-from .common import table
+from .common import free_name, table
 
 WIDTH_BITS = 13          # 8192 hashed features
 GRAMS = (1, 2, 3)        # bytes of lower-cased UTF-8, words padded with one space
 PER_LANGUAGE = 500       # distinct labelled texts of a language that its centroids are fitted on, at most
 CENTROIDS = 4
+RANGE_BITS = 12          # hash ranges in which a language's distinct texts are counted before some are ranked
 MOST_LANGUAGES = 2000    # more labels than that are not languages: an error
 SLACK = 0.2              # a text is rejected below this share of the cosine that 99 of 100 sample texts reach
 UNKNOWN = "und"
@@ -102,8 +104,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
     spark = labelled.sparkSession
     ship(spark)
     rows = labelled.filter("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"))
+    # a language's texts are counted per range of hashes; only those in the ranges that reach the bound are ranked
+    hashes = materialize(rows.select("lang", "h").distinct().withColumn("range", F.shiftright("h", 64 - RANGE_BITS)), "language_hashes")
+    fewer = F.sum("n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    needed = hashes.groupBy("lang", "range").agg(F.count("*").alias("n")).withColumn("fewer", F.coalesce(fewer, F.lit(0))).filter(F.col("fewer") < per_language)
     order = Window.partitionBy("lang").orderBy("h")
-    drawn = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    drawn = hashes.join(needed.select("lang", "range"), ["lang", "range"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
     last = drawn.groupBy("lang").agg(F.max("h").alias("h")).limit(MOST_LANGUAGES + 1).collect()
     if len(last) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} distinct labels")
@@ -157,14 +163,16 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
     """
     spark = docs.sparkSession
     ship(spark)
+    letter_name = free_name(docs.columns, "has_letter")
     shared = spark.sparkContext.broadcast(model)  # centroids of at most MOST_LANGUAGES languages
-    rows = docs.select(*keep, *[c for c in ["text"] if c not in keep], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("llm_has_letter"))
+    rows = docs.select(*keep, *[c for c in ["text"] if c not in keep], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter_name))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shared.value.judge(t) if letter else (UNKNOWN, 0.0, False) for t, letter in zip(batch["text"], batch["llm_has_letter"])]
-            yield batch[keep].assign(**{names[0]: [g[0] for g in got], names[1]: [g[1] for g in got], names[2]: [not g[2] for g in got]})
-    return rows.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"))]))
+            found = [shared.value.judge(t) if letter else (UNKNOWN, 0.0, False) for t, letter in zip(batch.column("text").to_pylist(), batch.column(letter_name).to_pylist())]
+            new = [pa.array([f[0] for f in found], pa.string()), pa.array([float(f[1]) for f in found], pa.float64()), pa.array([not f[2] for f in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + new, names=[*keep, *names])
+    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean"))]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
-from .common import components, table
+from .common import components, packed, table
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 BUCKETS = 4096      # hash ranges of a pattern, whose sums are folded before documents are placed
 PER_CLASS = 64      # documents of each size class that may fill, in one round, what whole documents leave of a target
 NEAR = 0.002        # share of a target that may stay unfilled; rounds go on until it is reached or nothing fits
+SLICES = 16         # of the buckets of a source, in which candidates are ranked first
+MOST_SENT = 1 << 18  # rows of (source, bucket, copies) that are broadcast, some tens of MB; more are joined
 SEED = 42
 
 
@@ -209,9 +211,11 @@ def fillers(free: DataFrame, gaps: DataFrame) -> DataFrame:
     """Documents for what is left of each target, (members, bucket, pos, key, size): of PER_CLASS candidates per size class,
     largest first, each that still fits.  A document of several sources fills the one that its hash picks."""
     per_class = Window.partitionBy("key", "class").orderBy("copies", "hash", "pos")
+    in_slice = Window.partitionBy("key", "class", F.col("bucket") % SLICES).orderBy("copies", "hash", "pos")  # a hot source is first ranked in slices
     owner = F.element_at("members", (F.pmod(F.shiftright("hash", 16), F.size("members")) + 1).cast("int"))
     few = free.select("members", "bucket", "pos", "hash", "size", "copies", owner.alias("key")).join(gaps, "key").filter("size <= gap").withColumn(
-        "class", F.floor(F.log2("size"))).withColumn("n", F.row_number().over(per_class)).filter(F.col("n") <= PER_CLASS)
+        "class", F.floor(F.log2("size"))).withColumn("n", F.row_number().over(in_slice)).filter(F.col("n") <= PER_CLASS).withColumn(
+        "n", F.row_number().over(per_class)).filter(F.col("n") <= PER_CLASS)
     item = F.struct((-F.col("size")).alias("minus"), "copies", "hash", "pos", "bucket", "members")
     fills = few.groupBy("key", "gap").agg(F.array_sort(F.collect_list(item)).alias("items"))  # PER_CLASS per size class
     none = F.array().cast("array<struct<members:array<string>,bucket:int,pos:int,size:bigint>>")
@@ -235,14 +239,27 @@ def content_hash(seed: int) -> Column:
     return F.xxhash64("doc_id", "source", "text", F.lit(seed))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of docs(doc_id, text, source, ...)."""
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, most_sent: int = MOST_SENT) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of docs(doc_id, text, source, ...), whatever
+    their names.  Documents without words (null or empty texts) are not taken; rows that repeat wholly share their copies.
+
+    Nearly all documents of a hash bucket of a source are taken equally often: the mix cuts a source's tape at few
+    places.  Such buckets go out as a table of (source, bucket, copies), and their texts do not move; the documents of
+    the other buckets are joined by their hash.  Up to `most_sent` buckets the table is broadcast, beyond it is joined.
+    """
     mixed, _ = mix_by_source(docs, weights, most, seed)
-    often = mixed.groupBy(F.col("doc_id").alias("m_doc"), F.col("hash").alias("m_hash")).agg(F.sum("copies").alias("m_copies"), F.count("*").alias("m_rows")).filter("m_copies > 0")
-    named = docs.withColumn("m_key", content_hash(seed)).join(often, (F.col("m_key") == F.col("m_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("m_doc")))
-    nth = F.row_number().over(Window.partitionBy("m_hash").orderBy("m_hash"))  # rows that repeat wholly share their copies
-    share = F.floor((F.col("m_copies") + F.col("m_rows") - F.col("m_nth")) / F.col("m_rows")).cast("int")
-    return named.withColumn("m_nth", nth).withColumn("m_copy", F.explode(F.when(share > 0, F.sequence(F.lit(1), share)))).select(*[docs[c] for c in docs.columns])
+    mixed = materialize(mixed.select("doc_id", F.element_at("members", 1).alias("source"), F.pmod("hash", F.lit(BUCKETS)).cast("int").alias("bucket"), "hash", "copies"), "mix_copies")
+    buckets = materialize(mixed.groupBy("source", "bucket").agg(F.min("copies").alias("least"), F.max("copies").alias("most")), "mix_buckets")
+    sent = F.broadcast(buckets) if buckets.count() <= most_sent else buckets
+    rows = packed(docs, id=F.col("doc_id").cast("long"), hash=content_hash(seed), source=source_key(F.col("source"))).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+    rows = rows.join(sent, ["source", "bucket"])
+    alike = rows.filter("least = most").select("row", F.col("least").alias("share"))
+    often = mixed.join(buckets.filter("least < most").select("source", "bucket"), ["source", "bucket"], "left_semi").groupBy(F.col("doc_id").alias("of"), F.col("hash").alias("of_hash")).agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    cut = rows.filter("least < most").join(often, (F.col("hash") == F.col("of_hash")) & F.col("id").eqNullSafe(F.col("of")))
+    nth = F.row_number().over(Window.partitionBy("hash").orderBy("hash"))
+    apart = cut.withColumn("nth", nth).select("row", F.floor((F.col("copies") + F.col("rows") - F.col("nth")) / F.col("rows")).cast("int").alias("share"))
+    return alike.unionByName(apart).filter("share > 0").select("row", F.explode(F.sequence(F.lit(1), "share")).alias("copy")).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

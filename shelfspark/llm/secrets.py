@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import table
+from .common import met, packed, table
 
 # Fixed patterns of the base kinds (kind, pattern, group whose length counts, least length), in the order of ties.
 # Runs of one class match the same with the least length inside the pattern; `assign` does not, so it is filtered.
@@ -123,20 +123,24 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """docs with every reported span of `text` replaced by `mark` (overlapping spans by one mark); rows and columns stay.
 
-    A null text stays null.  Spans are cut at code points, from whole texts.
+    A null text stays null, an empty one empty; repeated rows are masked alike; other columns may have any name.  Spans
+    are cut at code points, from whole texts.  Texts without a span do not move.
     """
     spans = scan_secrets(docs, scope)
     all_spans = F.array_sort(F.concat("base", "linked"))
-    per = spans.filter(F.size("base") + F.size("linked") > 0).select(F.col("doc_id").alias("s_doc"), F.col("key").alias("s_key"), all_spans.alias("s_spans")).dropDuplicates(["s_doc", "s_key"])
+    per = materialize(spans.filter(F.size("base") + F.size("linked") > 0).select(F.col("doc_id").alias("of"), "key", all_spans.alias("spans")).dropDuplicates(["of", "key"]), "secret_cuts")
+    text = F.col("row.text")
     cut = F.aggregate(
-        F.col("s_spans"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
+        F.col("spans"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
             s["end"].alias("at"),
             F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(
-                acc["parts"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))).alias("parts"))))
-    clean = F.concat(F.array_join(cut["parts"], ""), F.substring(F.col("text"), (cut["at"] + 1).cast("int"), F.length("text")))
-    joined = docs.join(per, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("s_key")), "left")
-    return joined.select(*[F.when(F.col("s_spans").isNotNull(), clean).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+                acc["parts"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))).alias("parts"))))
+    clean = F.concat(F.array_join(cut["parts"], ""), F.substring(text, (cut["at"] + 1).cast("int"), F.length(text)))
+    rows = met(packed(docs, id=F.col("doc_id"), key=F.xxhash64(F.coalesce("text", F.lit("")))), "key", per.select("key"))
+    found = rows.filter("met").join(per, F.col("id").eqNullSafe(F.col("of")) & (rows["key"] == per["key"]), "left")
+    masked = found.select(F.when(F.col("spans").isNotNull(), F.col("row").withField("text", clean)).otherwise(F.col("row")).alias("row"))
+    return rows.filter("not met").select("row.*").unionByName(masked.select("row.*"))
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
-from .common import components, forest, table
+from .common import components, forest, met, packed, table
 
 BITS = 64
 SEED = 42
@@ -23,7 +23,7 @@ LEAST_PARTS = 4     # so a part has at most 16 bits and the table of value count
 PROBE_COST = 500.0  # comparisons of two fingerprints that cost as much as one more row in a bucket
 SMALL = 256         # pairs of a bucket that are compared in one vector operation with other buckets
 AT_ONCE = 1 << 15   # shingles hashed at once
-SKETCH_WORDS, SKETCH_BINS = 5, 512  # of the one-permutation min-hash, an estimate with a standard error below 0.018
+SHINGLE_WORDS = 5   # of the similarity of texts
 BANDS, BAND_ROWS = 64, 7            # a pair of similarity s shares no band with probability (1 - s^7)^64: 3e-7 at 0.8
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 21  # most texts and shingles of a block, on average
 
@@ -53,20 +53,6 @@ def as_signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def sketch(text: str | None, words: int = SKETCH_WORDS, bins: int = SKETCH_BINS) -> bytes:
-    """One-permutation min-hash over word shingles: per bin one byte of its least hash, 0 where no shingle fell into it."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    n = max(1, len(parts) - words + 1) if parts else 0
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, AT_ONCE):
-        few = parts[at:min(at + AT_ONCE, n) + words - 1]
-        joined = zip(*(few[i:] for i in range(words))) if len(parts) >= words else [parts]
-        hashes = np.array([digest(b" ".join(s), SEED + 1) for s in joined], np.uint64)
-        np.minimum.at(least, (hashes % np.uint64(bins)).astype(np.int64), hashes)
-    return np.where(least == np.iinfo(np.uint64).max, 0, (least >> np.uint64(32)) % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
-
-
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, key, fp) per row of docs(doc_id, text): key hashes id and text, fp holds the 64 bits as a signed long."""
     ship(docs.sparkSession)
@@ -333,7 +319,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, most_bits: int = 3, parts: i
 
 # ------------------------------------------------------------------ near copies by shingle similarity
 _DRAW = np.random.default_rng(SEED)
-_WORD = _DRAW.integers(0, 1 << 63, SKETCH_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_WORD = _DRAW.integers(0, 1 << 63, SHINGLE_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _TIMES = _DRAW.integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _DRAW.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
 _BAND = _DRAW.integers(0, 1 << 63, (BANDS, BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -353,8 +339,8 @@ def shingle_set(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     words = np.fromiter((digest(w, SEED) for w in parts), np.uint64, len(parts))
-    n = max(1, len(parts) - SKETCH_WORDS + 1)
-    return np.unique(mixed(sum(words[i:i + n] * _WORD[i] for i in range(min(SKETCH_WORDS, len(parts))))))
+    n = max(1, len(parts) - SHINGLE_WORDS + 1)
+    return np.unique(mixed(sum(words[i:i + n] * _WORD[i] for i in range(min(SHINGLE_WORDS, len(parts))))))
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -372,29 +358,38 @@ def copy_hash(text: str | None) -> int:
     return as_signed(xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED))
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(component, doc_id, key) per group of docs(doc_id, text): the first row of each group of texts that are linked by
-    equal words or a Jaccard similarity of at least `similarity` of their sets of five-word shingles.
+def similar_texts(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """All rows of docs(doc_id, text) as (doc_id, key, node), and (component, doc_id, key) per group: the first row of each
+    group of texts that are linked by equal words or a Jaccard similarity of at least `similarity` of their sets of
+    five-word shingles.
 
-    Candidates share one of BANDS keys over BAND_ROWS min-hashes each; a bucket leaves a star, so a group of any size
-    makes rows in proportion.  Every pair of a candidate component is then decided on the whole sets of shingles.
+    Candidates share one of BANDS keys over BAND_ROWS min-hashes each, made once per text that a task sees; a bucket leaves
+    a star, so a group of any size makes rows in proportion.  Every pair of a candidate component is then decided on
+    the whole sets of shingles; only texts of candidates move for that.
     """
     ship(docs.sparkSession)
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "node": np.array([copy_hash(t) for t in batch["text"]], np.int64),
-                                "n": np.array([len(s) for s in sets], np.int64), "bands": [band_keys(s) for s in sets]})
+            nodes = np.array([copy_hash(t) for t in batch["text"]], np.int64)
+            new = [not (n in seen or seen.add(n)) for n in nodes.tolist()]
+            if len(seen) > AT_ONCE:  # copies lie near each other or are few: enough to remember some
+                seen.clear()
+            sets = [shingle_set(t) if first else None for t, first in zip(batch["text"], new)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "node": nodes, "n": np.array([0 if s is None else len(s) for s in sets], np.int64),
+                                "bands": [None if s is None else band_keys(s) for s in sets]})
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     marked = materialize(keyed.mapInPandas(marks, "doc_id long, key long, node long, n long, bands array<long>"), "copies_marked")
     banded = marked.select("node", F.explode("bands").alias("band"))
     lows = materialize(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low"), "copies_buckets")
-    met = components(banded.join(lows, "band").select(F.col("node").alias("a"), F.col("low").alias("b")), "copies_met")
+    shared = met(banded, "band", lows.select("band")).filter("met").select("node", "band")
+    stars = components(shared.join(lows, "band").select(F.col("node").alias("a"), F.col("low").alias("b")), "copies_met")
     nodes = materialize(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first"), F.max("n").alias("n")), "copies_nodes")
-    members = materialize(met.withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", F.col("first.key").alias("key"), "n"), "copies_members")
-    groups = components(similar_links(members, keyed.select("key", "text"), similarity), "copies_similar")
-    return nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(
+    members = materialize(stars.withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", F.col("first.key").alias("key"), "n"), "copies_members")
+    texts = met(keyed.select("key", "text"), "key", members.select("key")).filter("met").select("key", "text")
+    groups = components(similar_links(members, texts, similarity), "copies_similar")
+    return marked.select("doc_id", "key", "node"), nodes.join(groups.withColumnRenamed("id", "node"), "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(
         F.min("first").alias("first")).select("component", "first.doc_id", "first.key")
 
 
@@ -471,11 +466,19 @@ def by_key(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.D
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group of `similar_texts` the row with the smallest doc_id stays (then the smallest
-    key), with all columns.  A row with a null doc_id stays only if its group has no other."""
-    first = similar_texts(docs, similarity).select(F.col("key").alias("d_key"))
-    kept = docs.withColumn("d_row", row_key()).join(first, F.col("d_row") == F.col("d_key"))
-    nth = F.row_number().over(Window.partitionBy("d_row").orderBy("d_row"))  # rows that repeat wholly: one
-    return kept.withColumn("d_nth", nth).filter("d_nth = 1").select(*[docs[c] for c in docs.columns])
+    key), with all columns, whatever their names.  A row with a null doc_id stays only if its group has no other; a null
+    text is a text without words, like an empty one; rows that repeat wholly are one.
+
+    Rows that stay do not move: those whose key is certainly not among the keys that go or repeat are taken as they are.
+    """
+    marked, firsts = similar_texts(docs, similarity)
+    stays = firsts.select("key", F.lit(True).alias("stays"))
+    judged = marked.groupBy("key").agg(F.count("*").alias("n")).join(stays, "key", "left")
+    odd = materialize(judged.filter((F.col("n") > 1) | F.col("stays").isNull()).select("key", F.coalesce("stays", F.lit(False)).alias("stays")), "copies_odd")
+    rows = met(packed(docs, key=row_key()), "key", odd.select("key"))
+    checked = rows.filter("met").join(odd, "key", "left").filter(F.coalesce("stays", F.lit(True)))
+    known = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # a key that is not odd comes once anyway
+    return rows.filter("not met").select("row.*").unionByName(checked.withColumn("nth", known).filter("nth = 1").select("row.*"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

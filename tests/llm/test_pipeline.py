@@ -2,14 +2,13 @@
 
 import re
 
-import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shelfspark.llm import simhash
+from shelfspark.llm import langid, mixing, secrets, simhash
 from test_mixing import plain_targets
 from test_secrets import base_spans, linked_spans
 
@@ -22,8 +21,8 @@ def shingles(text):
 
 
 def plain_dedup(rows):
-    """Smallest id of each group of links: word-pair fingerprints within 8 bits and shingle similarity of 0.8, or equal fingerprints."""
-    fps = np.array([simhash.fingerprint(r["text"], 2) for r in rows], np.uint64)
+    """Smallest id of each group of links over all pairs: equal words, or a similarity of 0.8 of the sets of five-word shingles."""
+    words = [(r["text"] or "").encode().lower().split() for r in rows]
     sets = [shingles(r["text"]) for r in rows]
     label = list(range(len(rows)))
 
@@ -31,9 +30,11 @@ def plain_dedup(rows):
         while label[i] != i:
             i = label[i]
         return i
-    for i, j in zip(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 8)):
-        if i < j and (fps[i] == fps[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
-            label[root(j)] = root(i)
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if words[i] == words[j] or small >= 0.8 * large and small and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label[root(j)] = root(i)
     groups = {}
     for i, r in enumerate(rows):
         groups.setdefault(root(i), []).append(r["doc_id"])
@@ -126,3 +127,46 @@ def test_packing_covers_all_tokens(stages):
 
 def test_run_equals_the_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).columns == stages[5].columns
+
+
+CLASHING = ["row", "key", "met", "nth", "share", "copy", "bucket", "hash", "id", "word", "mask", "spans", "of", "stays", "has_letter", "lang_pred", "score", "rejected", "source_",
+            "d_row", "s_doc", "m_key", "llm_lang", "copies", "rows", "least", "most"]
+
+
+def clashing(docs):
+    return docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+
+
+def test_input_columns_may_have_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
+    odd = clashing(docs)
+    model = langid.fit(docs.select("text", "lang"))
+    names = ("a1", "a2", "a3")
+    steps = {"dedup": simhash.deduplicated, "redact": secrets.redact, "mix": mixing.mixed_documents,
+             "language": lambda d: langid.predict(d, model, d.columns, names).filter("not a3").drop(*names)}
+    for name, step in steps.items():
+        plain, got = step(docs), step(odd)
+        assert got.columns == odd.columns, name
+        assert sorted(map(tuple, got.select(*docs.columns).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr), name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got.collect() for c in CLASHING), name
+
+
+@pytest.mark.parametrize("case", ["empty", "repeated"])
+def test_run_over_odd_tables(spark, tmp_path, case):
+    docs = clashing(spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40"))
+    odd = spark.createDataFrame([(None, "The thing and that other thing of the day. " * 9, None, None, None), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.filter("false") if case == "empty" else docs.unionByName(docs).unionByName(docs.limit(3)).unionByName(odd, allowMissingColumns=True)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    ids = [r["doc_id"] for r in got.select("doc_id").distinct().collect()]
+    assert (ids == []) if case == "empty" else len(ids) > 5
+
+
+def test_keys_that_are_met_are_never_missed(spark):
+    from shelfspark.llm.common import met
+    rows, keys = spark.range(5000).withColumn("k", F.col("id") * 7), spark.range(0, 5000, 3).select((F.col("id") * 7).alias("x"))
+    for bits in (64, 1 << 10, 1 << 24):
+        got = {r["id"]: r["met"] for r in met(rows, "k", keys, bits).collect()}
+        assert len(got) == 5000 and all(got[i] for i in range(0, 5000, 3))
+    assert sum(got.values()) < 1700
+    assert not any(r["met"] for r in met(rows, "k", keys.limit(0)).collect())

@@ -113,17 +113,3 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     want = [min(v) for v in groups.values()] + [5000, 5002, None]
     assert sorted(map(str, kept)) == sorted(map(str, want))
     assert simhash.deduplicated(docs.filter("false")).count() == 0
-
-
-def test_sketches_estimate_similarity():
-    rng = np.random.default_rng(4)
-    for n in (30, 200, 3000):
-        a = [str(x) for x in rng.integers(0, 1 << 40, n)]
-        b = list(a)
-        for at in range(0, n, max(10, n // 8)):
-            b[at] = "x"
-        shingles = [{" ".join(w[i:i + 5]) for i in range(n - 4)} for w in (a, b)]
-        true = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
-        x, y = (np.frombuffer(simhash.sketch(" ".join(w)), np.uint8) for w in (a, b))
-        assert abs(((x == y) & (x > 0)).sum() / ((x | y) > 0).sum() - true) < 0.06
-    assert simhash.sketch(None) == simhash.sketch(" ") == bytes(simhash.SKETCH_BINS)
