@@ -18,6 +18,7 @@ WIDTH_BITS = 13          # 8192 hashed features
 GRAMS = (1, 2, 3)        # bytes of lower-cased UTF-8, words padded with one space
 PER_LANGUAGE = 500       # distinct labelled texts of a language that its centroids are fitted on, at most
 CENTROIDS = 4
+SLICE = 512              # texts judged at once
 RANGE_BITS = 12          # hash ranges in which a language's distinct texts are counted before some are ranked
 MOST_LANGUAGES = 2000    # more labels than that are not languages: an error
 SLACK = 0.2              # a text is rejected below this share of the cosine that 99 of 100 sample texts reach
@@ -168,7 +169,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
     rows = docs.select(*keep, *[c for c in ["text"] if c not in keep], F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter_name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             found = [shared.value.judge(t) if letter else (UNKNOWN, 0.0, False) for t, letter in zip(batch.column("text").to_pylist(), batch.column(letter_name).to_pylist())]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([float(f[1]) for f in found], pa.float64()), pa.array([not f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + new, names=[*keep, *names])

@@ -23,6 +23,7 @@ LEAST_PARTS = 4     # so a part has at most 16 bits and the table of value count
 PROBE_COST = 500.0  # comparisons of two fingerprints that cost as much as one more row in a bucket
 SMALL = 256         # pairs of a bucket that are compared in one vector operation with other buckets
 AT_ONCE = 1 << 15   # shingles hashed at once
+SLICE = 512         # texts whose shingles a task holds at once
 SHINGLE_WORDS = 5   # of the similarity of texts
 BANDS, BAND_ROWS = 64, 7            # a pair of similarity s shares no band with probability (1 - s^7)^64: 3e-7 at 0.8
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 21  # most texts and shingles of a block, on average
@@ -372,13 +373,17 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame,
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            nodes = np.array([copy_hash(t) for t in batch["text"]], np.int64)
-            new = [not (n in seen or seen.add(n)) for n in nodes.tolist()]
-            if len(seen) > AT_ONCE:  # copies lie near each other or are few: enough to remember some
-                seen.clear()
-            sets = [shingle_set(t) if first else None for t, first in zip(batch["text"], new)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "node": nodes, "n": np.array([0 if s is None else len(s) for s in sets], np.int64),
-                                "bands": [None if s is None else band_keys(s) for s in sets]})
+            for at in range(0, len(batch), SLICE):  # few texts at a time: their sets of shingles are larger than they
+                part = batch.iloc[at:at + SLICE]
+                nodes, sizes, bands = np.array([copy_hash(t) for t in part["text"]], np.int64), np.zeros(len(part), np.int64), [None] * len(part)
+                for i, (node, text) in enumerate(zip(nodes.tolist(), part["text"])):
+                    if node not in seen:
+                        seen.add(node)
+                        shingles = shingle_set(text)
+                        sizes[i], bands[i] = len(shingles), band_keys(shingles)
+                if len(seen) > AT_ONCE:  # copies lie near each other or are few: enough to remember some
+                    seen.clear()
+                yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "node": nodes, "n": sizes, "bands": bands})
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     marked = materialize(keyed.mapInPandas(marks, "doc_id long, key long, node long, n long, bands array<long>"), "copies_marked")
     banded = marked.select("node", F.explode("bands").alias("band"))
@@ -401,9 +406,11 @@ def similar_links(members: DataFrame, texts: DataFrame, similarity: float, block
     """
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "component": batch["component"], "shingles": [shingle_set(t).tobytes() for t in batch["text"]]})
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at:at + SLICE]
+                yield pd.DataFrame({"node": part["node"], "component": part["component"], "shingles": [shingle_set(t).tobytes() for t in part["text"]]})
     sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    near = materialize(texts.join(members, "key").select("node", "component", "text").dropDuplicates(["node"]).mapInPandas(
+    near = materialize(texts.join(members, "key").dropDuplicates(["key"]).select("node", "component", "text").mapInPandas(
         hashed, "node long, component long, shingles binary"), "copies_near")
     paired = (near.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
