@@ -61,11 +61,11 @@ def topk_jaccard(pairs: DataFrame) -> DataFrame:
     return pairs.filter(union > 0).withColumn("jaccard", F.round(shared / union, 6))
 
 
-def ablation_diff(a: DataFrame, b: DataFrame, k: int = 5) -> DataFrame:
-    """Queries and whether their ordered top-k differs between two configurations."""
-    left = result_sets(a, k, ("query_id",)).withColumnRenamed("ids", "ids_a")
-    right = result_sets(b, k, ("query_id",)).withColumnRenamed("ids", "ids_b")
-    joined = left.join(right, "query_id", "full_outer")
+def ablation_diff(a: DataFrame, b: DataFrame, k: int = 5, keys: tuple[str, ...] = ("query_id", "level")) -> DataFrame:
+    """Queries and pool depths, and whether their ordered top-k differs between two configurations."""
+    left = result_sets(a, k, keys).withColumnRenamed("ids", "ids_a")
+    right = result_sets(b, k, keys).withColumnRenamed("ids", "ids_b")
+    joined = left.join(right, list(keys), "full_outer")
     return joined.withColumn("changed", ~F.col("ids_a").eqNullSafe(F.col("ids_b")))
 
 

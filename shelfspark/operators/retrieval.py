@@ -12,18 +12,23 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import tokenize
-from ..session import ship
+from ..session import materialize, ship
 
 TILE_QUERIES, TILE_ITEMS = 512, 4096  # most rows of a tile on average: its product is 16 MB whatever k and the tables are
+COMMON = 0.5      # a token in more than this part of the documents is common
+BLOCK_DOCS = 128  # documents of a block, on average
+SLACK = 1e-5      # more than rounding can move a score
 SCORE_DECIMALS = 6  # scores are rounded before ranking, so ranks never depend on summation order
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """What keyword search reads: (item, token, tf, doc_len), (item, doc_len) with empty documents, (token, df)."""
+    """What keyword search reads: (item, token, tf, doc_len), (item, doc_len) with empty documents, (token, df), and
+    (token, block, best): the largest gain before idf of each common token in each block of documents."""
     postings: DataFrame
     documents: DataFrame
     frequencies: DataFrame
+    blocks: DataFrame | None = None
 
     def stats(self) -> DataFrame:
         """One row: number of documents and their mean length (empty documents count)."""
@@ -51,7 +56,28 @@ def keyword_index(items: DataFrame, item: str = "item_id", text: str = "search_t
     postings = keep(build_postings(items, item, text), "postings")
     documents = keep(document_lengths(items, item, text), "doc_lengths")
     frequencies = keep(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token_df")
-    return KeywordIndex(postings, documents, frequencies)
+    index = KeywordIndex(postings, documents, frequencies)
+    return KeywordIndex(postings, documents, frequencies, keep(block_gains(index, item), "token_blocks"))
+
+
+def block_gains(index: KeywordIndex, item: str = "item_id", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(token, block, blocks, best) of the tokens found in more than COMMON of the documents: at most 1 / COMMON times as many
+    as a document has tokens on average, whatever the number of documents."""
+    n = index.stats().select("n_docs").scalar()
+    common = F.broadcast(index.frequencies.filter(F.col("df") > n * COMMON).select("token"))
+    placed = index.postings.join(common, "token").withColumn("blocks", F.ceil(n / block_docs).cast("long"))
+    return placed.withColumn("block", block_of(F.col(item), F.col("blocks"))).groupBy("token", "block", "blocks").agg(F.max(tf_gain(index)).alias("best"))
+
+
+def block_of(item: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(item), blocks)
+
+
+def tf_gain(index: KeywordIndex) -> Column:
+    """What a posting adds per unit of idf."""
+    avg_len = index.stats().select("avg_len").scalar()
+    length_norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("doc_len") / avg_len)
+    return F.col("tf") * (R.BM25_K1 + 1) / (F.col("tf") + length_norm)
 
 
 def token_stats(index: KeywordIndex) -> DataFrame:
@@ -93,19 +119,49 @@ def top_per_query(scored: DataFrame, k: int, query: str = "query_id", item: str
 
 def bm25_scores(tokens: DataFrame, index: KeywordIndex, idf: DataFrame,
                 query: str = "query_id", item: str = "item_id") -> DataFrame:
-    """(query, item, score) of every document that shares a token with the query.
+    """(query, item, score) of every document that shares a token with the query: one equi-join on the token."""
+    weighted = tokens.join(idf.select("token", "idf"), "token")
+    return summed(index.postings.join(weighted, "token").select(query, item, (F.col("qtf") * F.col("idf") * tf_gain(index)).alias("part")), query, item)
+
+
+def summed(parts: DataFrame, query: str, item: str) -> DataFrame:
+    return parts.groupBy(query, item).agg(F.round(F.sum("part"), SCORE_DECIMALS).alias("score")).filter(F.col("score") > 0)
+
+
+def pruned_scores(tokens: DataFrame, index: KeywordIndex, idf: DataFrame, k: int, query: str = "query_id", item: str = "item_id") -> DataFrame:
+    """(query, item, score) of all documents that can be among a query's k best, with their whole scores.
 
-    One equi-join on the token: adaptive execution looks few tokens up in place, and splits the postings of a
-    common token over tasks where both sides are shuffled.
+    The other tokens are joined in full.  Their k-th best sum is a floor of the k-th best score, and the stored largest
+    gains of the common tokens bound what these add in a block of documents.  Where that bound alone reaches the floor, the
+    block's common postings are joined; elsewhere only those of documents whose sum with the bound reaches it.
     """
-    weighted = tokens.join(idf.select("token", "idf"), "token")
-    hits = index.postings.join(weighted, "token")
-    avg_len = index.stats().select("avg_len").scalar()
-    length_norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("doc_len") / avg_len)
-    gain = F.col("idf") * F.col("tf") * (R.BM25_K1 + 1) / (F.col("tf") + length_norm)
-    summed = hits.groupBy(query, item).agg(
-        F.round(F.sum(F.col("qtf") * gain), SCORE_DECIMALS).alias("score"))
-    return summed.filter(F.col("score") > 0)
+    n = index.stats().select("n_docs").scalar()
+    weighted = materialize(tokens.join(idf.select("token", "df", "idf"), "token").withColumn("common", F.col("df") > n * COMMON).drop("df"), "bm25_tokens")
+    common = weighted.filter("common").select(query, "token", (F.col("qtf") * F.col("idf")).alias("w"))
+    part = (F.col("qtf") * F.col("idf") * tf_gain(index)).alias("part")
+    rare = index.postings.join(weighted.filter("not common"), "token").select(query, item, part)
+    if common.isEmpty():
+        return summed(rare, query, item)
+    found = materialize(rare.groupBy(query, item).agg(F.sum("part").alias("part")), "bm25_found")
+    floors = top_per_query(found, k, query, item, "part").filter(F.col("rank") == k).select(query, (F.col("part") - SLACK).alias("floor"))
+    bounds = common.join(index.blocks, "token").groupBy(query, "block", "blocks").agg(F.sum(F.greatest(F.col("w") * F.col("best"), F.lit(0.0))).alias("bound"))
+    bounds = bounds.join(floors, query, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    hits = common_hits(common, found, bounds, index, query, item)
+    return summed(found.select(query, item, "part").unionByName(hits), query, item)
+
+
+def common_hits(common: DataFrame, found: DataFrame, bounds: DataFrame, index: KeywordIndex, query: str, item: str) -> DataFrame:
+    """(query, item, part) of the common postings that can matter."""
+    tokens = index.blocks.select("token", "blocks").distinct()  # few, see block_gains
+    postings = index.postings.join(F.broadcast(tokens), "token").withColumn("block", block_of(F.col(item), F.col("blocks")))
+    gain = (F.col("w") * tf_gain(index)).alias("part")
+    opened = bounds.filter(F.col("bound") >= F.col("floor")).select(query, "block").join(common, query)
+    whole = postings.join(opened, ["token", "block"]).select(query, item, gain)
+    placed = found.withColumn("block", block_of(F.col(item), tokens.agg(F.max("blocks")).scalar()))
+    near = placed.join(bounds.filter(F.col("bound") < F.col("floor")).select(query, "block", "bound", "floor"), [query, "block"]).filter(
+        F.col("part") + F.col("bound") >= F.col("floor")).select(query, item)
+    single = postings.join(near.join(common, query), ["token", item]).select(query, item, gain)
+    return whole.unionByName(single)
 
 
 def bm25_topk(queries: DataFrame, index: KeywordIndex, k: int = 50, *, query: str = "query_id",
@@ -116,7 +172,8 @@ def bm25_topk(queries: DataFrame, index: KeywordIndex, k: int = 50, *, query: st
     if guard:
         skip = noise_guard(queries, tokens, index.frequencies, query).filter("skip_keyword")
         tokens = tokens.join(skip.select(query), query, "left_anti")
-    return top_per_query(bm25_scores(tokens, index, idf, query, item), k, query, item)
+    scores = bm25_scores(tokens, index, idf, query, item) if index.blocks is None else pruned_scores(tokens, index, idf, k, query, item)
+    return top_per_query(scores, k, query, item)
 
 
 # ----------------------------------------------------------------- vector side

@@ -137,13 +137,12 @@ def bundle_eval(queries: DataFrame, bundles: DataFrame, small_budget: float = 15
         F.coalesce(inner, F.lit(0)).cast("bigint").alias("innerwear_items"))
 
 
-def weight_ablation(scored: DataFrame, features: dict[str, Column], weights: list[float], base: float,
-                    top_k: int = 5) -> DataFrame:
+def weight_ablation(scored: DataFrame, features: dict[str, Column], weights: list[float], top_k: int = 5, keys: tuple[str, ...] = ("query_id", "level")) -> DataFrame:
     """Top-k under every quality weight in one job: each candidate row carries every variant."""
     variants = F.array(*[F.struct(F.lit(f"q{w:.2f}").alias("variant"), F.lit(float(w)).alias("w")) for w in weights])
     rows = scored.withColumn("_v", F.explode(variants)).withColumn("variant", F.col("_v.variant")).withColumn(
         "score", F.round(F.col("score_no_quality") + F.col("_v.w") * features["quality"], 6)).drop("_v")
-    return ranked(rows, ("query_id", "variant")).filter(F.col("rank") <= top_k)
+    return ranked(rows, (*keys, "variant")).filter(F.col("rank") <= top_k)
 
 
 def pool_sweep(scored: DataFrame, k: int = 10) -> DataFrame:
@@ -191,15 +190,18 @@ def self_retrieval(targets: DataFrame, results: DataFrame) -> DataFrame:
         .otherwise("uncommon_tokens_or_vocabulary_mismatch").alias("cause"))
 
 
-def gate_table(metrics: DataFrame, gates: list[tuple[str, str, float | None]]) -> DataFrame:
-    """(gate, measured, required, status) from a one-row metrics frame.
+def gate_table(metrics: list[DataFrame], gates: DataFrame) -> DataFrame:
+    """(gate, measured, required, status): one-row metric frames unpivoted and joined to a table of thresholds.
 
-    gates: (label, metric column, required value); no required value gives INFO.
+    gates(gate, metric, comparison, required): `=`, `<=` or `>=` against required gives PASS or FAIL, no comparison INFO.
+    A gate whose metric was not measured, or is null, fails.
     """
-    lines = []
-    for label, column, required in gates:
-        measured = F.col(column).cast("double")
-        status = F.lit("INFO") if required is None else F.when(measured == required, "PASS").otherwise("FAIL")
-        lines.append(F.struct(F.lit(label).alias("gate"), measured.alias("measured"),
-                              F.lit(required).cast("double").alias("required"), status.alias("status")))
-    return metrics.select(F.explode(F.array(*lines)).alias("g")).select("g.*")
+    lines = None
+    for row in metrics:
+        part = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("measured")) for c in row.columns])).alias("m")).select("m.*")
+        lines = part if lines is None else lines.unionByName(part)
+    asked = F.col("comparison")
+    met = (F.when(asked == "=", F.col("measured") == F.col("required")).when(asked == "<=", F.col("measured") <= F.col("required"))
+           .when(asked == ">=", F.col("measured") >= F.col("required")))
+    status = F.when(asked.isNull(), "INFO").when(F.coalesce(met, F.lit(False)), "PASS").otherwise("FAIL")
+    return gates.join(lines, "metric", "left").select("gate", "measured", "required", status.alias("status"))

@@ -209,11 +209,11 @@ def dup_id(spark, sf):
     return out.select("event_id", (~F.col("is_first")).alias("duplicate_id"))
 
 
-@query("dup_signature", """SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) > 1
+@query("dup_signature", """SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, lower(p_name), round(p_retailprice, -2) ORDER BY p_partkey) > 1
   AND p_size > 5 AS dropped FROM (SELECT * FROM part WHERE p_size > 5) UNION ALL SELECT p_partkey, false FROM part WHERE p_size <= 5""")
 def dup_signature(spark, sf):
     p = T.table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("store"), F.col("p_name").alias("clean_title"),
-                                          F.lit(1.0).alias("price"), F.when(F.col("p_size") > 5, "accepted").otherwise("rejected").alias("status"))
+                                          F.round("p_retailprice", -2).alias("price"), F.when(F.col("p_size") > 5, "accepted").otherwise("rejected").alias("status"))
     return dedup.dup_signature(p, seq="p_partkey").select("p_partkey", F.col("duplicate_product").alias("dropped"))
 
 

@@ -10,7 +10,7 @@ from ...operators import ranking as K
 from ...operators import retrieval as V
 from ...plans import evaluation as E
 from ...sources import tables as T
-from .base import cte, query, sql, sql_clean, sql_tokens
+from .base import cte, lit, query, sql, sql_clean, sql_tokens
 from .ranking import payload, scored, widened
 from .reports import pct
 from .retrieval import _stop, catalog_index, hash_ctes, sql_bm25, sql_top
@@ -91,37 +91,41 @@ def language_success(spark, sf):
     return E.language_success(T.queries(spark, sf), F.size("warnings") == 0)
 
 
-cte("bev", """SELECT p.query_id, p.max_price, b.ids IS NOT NULL AS made, coalesce(n_items, 0) AS n_items, total, ids FROM parsed p LEFT JOIN bchosen b USING (query_id)""", "parsed", "bchosen")
+cte("bev", """SELECT query_id, any_value(max_price) AS max_price, bool_or(ids IS NOT NULL) AS made, coalesce(any_value(n_items), 0) AS n_items, any_value(total) AS total,
+  count(DISTINCT i.age_group) AS ages, count(DISTINCT i.gender) FILTER (i.gender NOT IN ('unisex', 'unknown')) AS genders, count(*) FILTER (i.slot = 'innerwear') AS inner_items
+  FROM (SELECT p.query_id, p.max_price, b.ids, n_items, total, unnest(CASE WHEN b.ids IS NULL THEN [''] ELSE string_split(b.ids, '+') END) AS one FROM parsed p LEFT JOIN bchosen b USING (query_id)) c
+  LEFT JOIN items i ON i.item_id = c.one GROUP BY query_id""", "parsed", "bchosen", "items")
+_within = "(made AND (max_price IS NULL OR round(total, 2) <= max_price)) OR (NOT made AND max_price <= 15)"
 
 
 @query("bundle_eval", sql(f"""SELECT count(*) AS n_queries, count(*) FILTER (made) AS n_composed, {pct('count(*) FILTER (made AND n_items >= 3)', 'count(*)')} AS completeness_pct,
-  {pct('count(*) FILTER ((made AND (max_price IS NULL OR round(total, 2) <= max_price)) OR (NOT made AND max_price <= 15))', 'count(*)')} AS budget_pct,
-  {pct('count(*) FILTER (made)', 'count(*) FILTER (made)')} AS age_pct, {pct('count(*) FILTER (made)', 'count(*) FILTER (made)')} AS gender_pct, 0::BIGINT AS innerwear_items FROM bev""", "bev"))
+  {pct(f'count(*) FILTER ({_within})', 'count(*)')} AS budget_pct, {pct('count(*) FILTER (made AND ages <= 1)', 'count(*) FILTER (made)')} AS age_pct,
+  {pct('count(*) FILTER (made AND genders <= 1)', 'count(*) FILTER (made)')} AS gender_pct, sum(inner_items)::BIGINT AS innerwear_items FROM bev""", "bev"))
 def bundle_eval(spark, sf):
     return E.bundle_eval(T.queries(spark, sf), payload(spark, sf))
 
 
-cte("abl", """SELECT * FROM (SELECT query_id, variant, item_id, score, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, fused DESC, item_id) AS rank FROM (
-  SELECT query_id, item_id, fused, variant, CAST(round(CAST(score + w * f_quality AS DECIMAL(18, 10)), 6) AS DOUBLE) AS score FROM kept1,
-    (SELECT unnest(['q0.05', 'q0.00']) AS variant, unnest([0.05, 0.0])::DOUBLE AS w) WHERE level = 50)) WHERE rank <= 5""", "kept1")
+cte("abl", """SELECT * FROM (SELECT query_id, level, variant, item_id, score, row_number() OVER (PARTITION BY query_id, level, variant ORDER BY score DESC, fused DESC, item_id) AS rank FROM (
+  SELECT query_id, level, item_id, fused, variant, CAST(round(CAST(score + w * f_quality AS DECIMAL(18, 10)), 6) AS DOUBLE) AS score FROM kept1,
+    (SELECT unnest(['q0.05', 'q0.00']) AS variant, unnest([0.05, 0.0])::DOUBLE AS w))) WHERE rank <= 5""", "kept1")
 
 
 def ablation(spark, sf):
-    kept = K.collapse_duplicates(scored(spark, sf).filter("passes")).filter("level = 50")
+    kept = K.collapse_duplicates(scored(spark, sf).filter("passes"))
     base = kept.withColumn("score_no_quality", F.col("score"))
-    return E.weight_ablation(base, {"quality": F.col("f_quality")}, [0.05, 0.0], 0.0)
+    return E.weight_ablation(base, {"quality": F.col("f_quality")}, [0.05, 0.0])
 
 
-@query("weight_ablation", sql("SELECT query_id, variant, item_id, score, rank FROM abl", "abl"))
+@query("weight_ablation", sql("SELECT query_id, level, variant, item_id, score, rank FROM abl", "abl"))
 def weight_ablation(spark, sf):
-    return ablation(spark, sf).select("query_id", "variant", "item_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return ablation(spark, sf).select("query_id", "level", "variant", "item_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("ablation_diff", sql("""SELECT query_id, a.l <> b.l AS changed FROM (SELECT query_id, array_to_string(list(item_id ORDER BY rank), ',') AS l FROM abl WHERE variant = 'q0.05' GROUP BY 1) a
-  JOIN (SELECT query_id, array_to_string(list(item_id ORDER BY rank), ',') AS l FROM abl WHERE variant = 'q0.00' GROUP BY 1) b USING (query_id)""", "abl"))
+@query("ablation_diff", sql("""SELECT query_id, level, a.l <> b.l AS changed FROM (SELECT query_id, level, array_to_string(list(item_id ORDER BY rank), ',') AS l FROM abl WHERE variant = 'q0.05' GROUP BY ALL) a
+  JOIN (SELECT query_id, level, array_to_string(list(item_id ORDER BY rank), ',') AS l FROM abl WHERE variant = 'q0.00' GROUP BY ALL) b USING (query_id, level)""", "abl"))
 def ablation_diff(spark, sf):
     a = ablation(spark, sf)
-    return J.ablation_diff(a.filter("variant = 'q0.05'"), a.filter("variant = 'q0.00'")).select("query_id", "changed")
+    return J.ablation_diff(a.filter("variant = 'q0.05'"), a.filter("variant = 'q0.00'")).select("query_id", "level", "changed")
 
 
 @query("pool_sweep", sql("""SELECT query_id, level, count(*) AS retrieved, count(*) FILTER (passes) AS survivors,
@@ -132,15 +136,14 @@ def pool_sweep(spark, sf):
 
 
 # calibration: best similarity per query; a query counts as irrelevant when nothing it names was found
-cte("calib", """SELECT query_id, CASE WHEN bool_or(rel) THEN 'relevant' ELSE 'irrelevant' END AS grp, round(max(sim) - 0.2 * avg(sim) + (ascii(right(query_id, 1)) % 10) * 0.01, 6) AS best_sim FROM evalr GROUP BY query_id""", "evalr")
+cte("calib", """SELECT query_id, CASE WHEN bool_or(rel) THEN 'relevant' ELSE 'irrelevant' END AS grp, round(max(sim), 6) AS best_sim FROM evalr GROUP BY query_id""", "evalr")
 
 
 def calibration(spark, sf):
     r = results(spark, sf).withColumn("_rel", E.is_relevant())
-    tail = (F.ascii(F.right("query_id", F.lit(1))) % 10) * 0.01
     return r.groupBy("query_id").agg(
         F.when(F.bool_or("_rel"), "relevant").otherwise("irrelevant").alias("grp"),
-        F.round(F.max("sim") - 0.2 * F.avg("sim") + F.first(tail), 6).alias("best_sim"))
+        F.round(F.max("sim"), 6).alias("best_sim"))
 
 
 @query("similarity_calibration", sql("""SELECT grp, count(*) AS n, round(min(best_sim), 6) AS min_sim, CAST(round(CAST(quantile_cont(best_sim, 0.05) AS DECIMAL(18, 10)), 6) AS DOUBLE) AS p5, CAST(round(CAST(quantile_cont(best_sim, 0.5) AS DECIMAL(18, 10)), 6) AS DOUBLE) AS median, round(max(best_sim), 6) AS max_sim,
@@ -196,8 +199,8 @@ def topk_jaccard(spark, sf):
 
 cte("spec", "SELECT query_id, CASE WHEN len(slots) > 0 THEN slots[1] END AS want_slot, gender AS want_gender, max_price AS budget FROM parsed", "parsed")
 cte("specr", """SELECT query_id, 'after' AS variant, rank, title, slot, gender, price FROM wide WHERE rank <= 10 UNION ALL
-  SELECT query_id, 'before', rank, title, slot, gender, price FROM (SELECT query_id, title, slot, gender, price, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, item_id) AS rank
-  FROM cj WHERE level = 50) WHERE rank <= 10""", "wide", "cj")
+  SELECT query_id, 'before_' || level, rank, title, slot, gender, price FROM (SELECT query_id, level, title, slot, gender, price, row_number() OVER (PARTITION BY query_id, level ORDER BY fused DESC, item_id) AS rank
+  FROM cj) WHERE rank <= 10""", "wide", "cj")
 _ok = "((want_slot IS NULL OR slot = want_slot) AND (want_gender IS NULL OR gender IN (want_gender, 'unisex')) AND (budget IS NULL OR coalesce(price, 0) <= budget) AND NOT regexp_matches(lower(title), 'costume|halloween|cosplay'))::INT"
 
 
@@ -206,8 +209,8 @@ def spec_relevance(spark, sf):
     from .ranking import cands_frame
 
     cols = ["query_id", "rank", "title", "slot", "gender", "price"]
-    before = cands_frame(spark, sf).filter("level = 50").withColumn("score", F.col("fused"))
-    before = K.ranked(before, ("query_id",)).filter("rank <= 10").select(*cols, F.lit("before").alias("variant"))
+    before = cands_frame(spark, sf).withColumn("score", F.col("fused"))
+    before = K.ranked(before, ("query_id", "level")).filter("rank <= 10").select(*cols, F.concat(F.lit("before_"), F.col("level").cast("string")).alias("variant"))
     after = results(spark, sf).select(*cols, F.lit("after").alias("variant"))
     specs = T.queries(spark, sf).select("query_id", F.get("slots", F.lit(0)).alias("want_slot"), F.col("gender").alias("want_gender"), F.col("max_price").alias("budget"))
     return J.spec_relevance(after.unionByName(before), specs)
@@ -244,12 +247,26 @@ def own_text_search(spark, sf, depth=10):
     return own.select("query_id", "item_id"), V.top_per_query(found, depth, score="fused")
 
 
-@query("gate_table", sql("""SELECT unnest(['Kids leakage', 'Innerwear leakage', 'Rows checked']) AS gate, unnest([k, i, n])::DOUBLE AS measured, unnest([0.0, 0.0, NULL])::DOUBLE AS required,
-  unnest([CASE WHEN k = 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN i = 0 THEN 'PASS' ELSE 'FAIL' END, 'INFO']) AS status FROM (
-  SELECT count(*) FILTER (q_age_group <> 'kids' AND age_group = 'kids') AS k, count(*) FILTER (coalesce(q_slot, '') <> 'innerwear' AND slot = 'innerwear') AS i, count(*) AS n FROM evalr WHERE rank <= 5)""", "evalr"))
+# gate, metric, comparison, required
+GATES = [("Zero Constraint Violations", "total_violations", "=", 0.0), ("Zero Kids Leakage", "kids_leakage", "=", 0.0), ("Zero Innerwear Leakage", "innerwear_leakage", "=", 0.0),
+         ("Outfit Age Coherence", "age_pct", "=", 100.0), ("Outfit Gender Coherence", "gender_pct", "=", 100.0), ("Outfit Budget Compliance", "budget_pct", "=", 100.0),
+         ("Zero English Violations", "english_violations", "=", 0.0), ("Degraded-Mode Violations (Non-Eng)", "degraded_violations", None, None),
+         ("Outfits Composed", "n_composed", ">=", 1.0), ("Duplicate Rate", "dup_pct", "<=", 5.0), ("Query Coverage", "n_queries", None, None)]
+_own = """SELECT *, coalesce(price > max_price, false)::INT + coalesce(price < min_price, false)::INT AS vp, coalesce(q_gender IN ('men', 'women') AND gender NOT IN (q_gender, 'unisex'), false)::INT AS vg,
+  (coalesce(q_age_group = 'kids', false) AND age_group <> 'kids')::INT AS va, coalesce(q_slot <> slot, false)::INT AS vs FROM evalr WHERE rank <= 5"""
+_values = ", ".join("(" + ", ".join("NULL" if v is None else lit(v) if isinstance(v, str) else str(v) for v in g) + ")" for g in GATES)
+
+
+@query("gate_table", sql(f"""WITH v AS ({_own}), m AS (
+  SELECT 'total_violations' AS metric, coalesce(sum(vp + vg + va + vs), 0)::DOUBLE AS measured FROM v
+  UNION ALL SELECT 'english_violations', count(*) FILTER (vp + vg + va + vs > 0 AND language = 'en') FROM v UNION ALL SELECT 'degraded_violations', count(*) FILTER (vp + vg + va + vs > 0 AND language <> 'en') FROM v
+  UNION ALL SELECT 'kids_leakage', count(*) FILTER (q_age_group IS DISTINCT FROM 'kids' AND age_group = 'kids') FROM v UNION ALL SELECT 'innerwear_leakage', count(*) FILTER (q_slot IS DISTINCT FROM 'innerwear' AND slot = 'innerwear') FROM v
+  UNION ALL SELECT 'age_pct', {pct('count(*) FILTER (made AND ages <= 1)', 'count(*) FILTER (made)')} FROM bev UNION ALL SELECT 'gender_pct', {pct('count(*) FILTER (made AND genders <= 1)', 'count(*) FILTER (made)')} FROM bev
+  UNION ALL SELECT 'budget_pct', {pct(f'count(*) FILTER ({_within})', 'count(*)')} FROM bev UNION ALL SELECT 'n_composed', count(*) FILTER (made) FROM bev UNION ALL SELECT 'n_queries', count(*) FROM bev
+  UNION ALL SELECT 'dup_pct', {pct('sum(n - d)', 'sum(n)')} FROM (SELECT query_id, count(*) AS n, count(DISTINCT coalesce(store, 'None') || '::' || lower(title)) AS d FROM v GROUP BY query_id))
+  SELECT gate, measured, required::DOUBLE AS required, CASE WHEN comparison IS NULL THEN 'INFO' WHEN (comparison = '=' AND measured = required) OR (comparison = '<=' AND measured <= required)
+    OR (comparison = '>=' AND measured >= required) THEN 'PASS' ELSE 'FAIL' END AS status FROM (VALUES {_values}) g(gate, metric, comparison, required) LEFT JOIN m USING (metric)""", "evalr", "bev"))
 def gate_table(spark, sf):
     r = results(spark, sf)
-    row = E.leakage(r).withColumn("n_rows", r.filter("rank <= 5").agg(F.count(F.lit(1))).scalar())
-    return E.gate_table(row, [("Kids leakage", "kids_leakage", 0.0), ("Innerwear leakage", "innerwear_leakage", 0.0), ("Rows checked", "n_rows", None)])
-
-
+    gates = spark.createDataFrame(GATES, "gate string, metric string, comparison string, required double")
+    return E.gate_table([E.constraint_violations(r), E.leakage(r), E.dup_rate(r).select("dup_pct"), E.bundle_eval(T.queries(spark, sf), payload(spark, sf))], gates)

@@ -147,10 +147,12 @@ def normalize_multilingual(spark, sf):
 @query("query_confidence", sql("""SELECT query_id, xslot AS explicit_slot, xgender AS explicit_gender,
   CASE WHEN language = 'en' THEN CASE WHEN len(slots) > 0 THEN 1.0 ELSE 0.0 END END::DOUBLE AS c_slot,
   CASE WHEN language = 'en' THEN CASE WHEN occasion IS NOT NULL THEN 0.9 ELSE 0.0 END END::DOUBLE AS c_occasion,
+  CASE WHEN language = 'en' THEN CASE WHEN gender IS NOT NULL THEN 1.0 ELSE 0.0 END END::DOUBLE AS c_gender,
+  CASE WHEN language = 'en' THEN CASE WHEN season IS NOT NULL THEN 0.9 ELSE 0.0 END END::DOUBLE AS c_season,
   CASE WHEN language = 'en' THEN CASE WHEN min_price IS NOT NULL OR max_price IS NOT NULL THEN 1.0 ELSE 0.0 END END::DOUBLE AS c_price FROM parsed""", "parsed"))
 def query_confidence(spark, sf):
     q = T.queries(spark, sf)
-    level = {k: F.try_element_at("confidence", F.lit(k)).alias(f"c_{k}") for k in ("slot", "occasion", "price")}
+    level = {k: F.try_element_at("confidence", F.lit(k)).alias(f"c_{k}") for k in ("slot", "gender", "occasion", "season", "price")}
     return q.select("query_id", F.col("is_explicit_slot").alias("explicit_slot"), F.col("is_explicit_gender").alias("explicit_gender"), *level.values())
 
 
@@ -223,12 +225,13 @@ def validate_parse_json(spark, sf):
     return s.select("s_suppkey", F.coalesce(I.validate_parse_json(F.col("raw"))["error"], F.lit("ok")).alias("state"))
 
 
-@query("latest_parse_per_query", """SELECT query, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ts DESC, event_id DESC) AS r
-  FROM (SELECT event_type || ' ' || (user_id % 10)::VARCHAR AS query, ts, event_id FROM events WHERE user_id % 2 = 0)) WHERE r = 1""")
+@query("latest_parse_per_query", """SELECT model, query, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY model, query ORDER BY ts DESC, event_id DESC) AS r
+  FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'rules-a' ELSE 'rules-b' END AS model, event_type || ' ' || (user_id % 10)::VARCHAR AS query, ts, event_id FROM events)) WHERE r = 1""")
 def latest_parse_per_query(spark, sf):
     from ...sources.catalog import latest_parse_per_query as latest
 
     e = T.table(spark, sf, "events").select(
         F.concat_ws(" ", "event_type", (F.col("user_id") % 10).cast("string")).alias("query"), "ts", "event_id",
         F.when(F.col("user_id") % 2 == 0, "rules-a").otherwise("rules-b").alias("model"))
-    return latest(e, model="rules-a", tie="event_id").select("query", "ts", "event_id")
+    per = [latest(e, model=m, tie="event_id").select(F.lit(m).alias("model"), "query", "ts", "event_id") for m in ("rules-a", "rules-b")]
+    return per[0].unionByName(per[1])

@@ -202,15 +202,16 @@ def collapse_duplicates(spark, sf):
     return K.collapse_duplicates(scored(spark, sf).filter("passes")).select("query_id", "level", "item_id")
 
 
-cte("external", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORD}) AS rank, (length(title) % 7 + 0.5 * price)::DOUBLE AS ext FROM kept1 WHERE level = 200 AND price IS NOT NULL", "kept1")
+cte("external", f"SELECT *, row_number() OVER (PARTITION BY query_id, level ORDER BY {_ORD}) AS rank, (length(title) % 7 + 0.5 * coalesce(price, 0))::DOUBLE AS ext FROM kept1", "kept1")
 
 
-@query("blend_scores", sql("""SELECT query_id, item_id, CAST(round(CAST(CASE WHEN rank <= 20 THEN 0.65 * score + 0.35 * (ext - xlo) / greatest(xhi - xlo, 1e-6) ELSE score END AS DECIMAL(18, 10)), 6) AS DOUBLE) AS blended
-  FROM (SELECT *, min(CASE WHEN rank <= 20 THEN ext END) OVER (PARTITION BY query_id) AS xlo, max(CASE WHEN rank <= 20 THEN ext END) OVER (PARTITION BY query_id) AS xhi FROM external)""", "external"))
+@query("blend_scores", sql("""SELECT query_id, level, item_id, CAST(round(CAST(CASE WHEN rank <= 20 THEN 0.65 * score + 0.35 * (ext - xlo) / greatest(xhi - xlo, 1e-6) ELSE score END AS DECIMAL(18, 10)), 6) AS DOUBLE) AS blended
+  FROM (SELECT *, min(CASE WHEN rank <= 20 THEN ext END) OVER (PARTITION BY query_id, level) AS xlo, max(CASE WHEN rank <= 20 THEN ext END) OVER (PARTITION BY query_id, level) AS xhi FROM external)""", "external"))
 def blend_scores(spark, sf):
-    rows = K.collapse_duplicates(scored(spark, sf).filter("passes")).filter("level = 200 and price is not null")
-    ext = rows.withColumn("external", F.length("title") % 7 + 0.5 * F.col("price"))
-    return K.blend_scores(K.ranked(ext, ("query_id",))).select("query_id", "item_id", "blended")
+    rows = K.collapse_duplicates(scored(spark, sf).filter("passes"))
+    ext = rows.withColumn("external", F.length("title") % 7 + 0.5 * F.coalesce("price", F.lit(0.0)))
+    keys = ("query_id", "level")
+    return K.blend_scores(K.ranked(ext, keys), keys=keys).select("query_id", "level", "item_id", "blended")
 
 
 cte("pools", "SELECT query_id, level, count(*) AS pool_size, count_if(NOT passes)::BIGINT AS excluded FROM scored GROUP BY ALL", "scored")
@@ -355,15 +356,15 @@ def pools(spark, sf) -> DataFrame:
     return T.kept(spark, sf, "pools", build)
 
 
-@query("accessory_allowed", sql(f"SELECT query_id, item_id, {_restrict} AS allowed FROM cj WHERE level = 50", "cj"))
+@query("accessory_allowed", sql(f"SELECT query_id, level, item_id, {_restrict} AS allowed FROM cj", "cj"))
 def accessory_allowed(spark, sf):
     asked = F.concat_ws(" ", "q_query", "q_normalized_query_en")
-    return cands_frame(spark, sf).filter("level = 50").select("query_id", "item_id", B.accessory_allowed(F.col("accessory_type"), asked).alias("allowed"))
+    return cands_frame(spark, sf).select("query_id", "level", "item_id", B.accessory_allowed(F.col("accessory_type"), asked).alias("allowed"))
 
 
-@query("bundle_floors", sql("SELECT query_id, item_id, (price IS NULL OR price >= 2) AND sim >= 0.35 AS ok FROM cj WHERE level = 50", "cj"))
+@query("bundle_floors", sql("SELECT query_id, level, item_id, (price IS NULL OR price >= 2) AND sim >= 0.35 AS ok FROM cj", "cj"))
 def bundle_floors(spark, sf):
-    return cands_frame(spark, sf).filter("level = 50").select("query_id", "item_id", B.bundle_floors().alias("ok"))
+    return cands_frame(spark, sf).select("query_id", "level", "item_id", B.bundle_floors().alias("ok"))
 
 
 @query("slot_pools", sql("SELECT query_id, level, pool_slot, item_id, score, pool_rank FROM bpool", "bpool"))

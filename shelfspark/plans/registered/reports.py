@@ -99,19 +99,23 @@ def audit(spark, sf):
         F.when(n % 12 == 0, "kids").otherwise(F.col("age_group")).alias("true_age_group"))
 
 
-@query("confusion_matrix", sql("SELECT derived_gender AS derived, " + ", ".join(f"count(*) FILTER (true_gender = '{v}') AS {v}" for v in R.GENDERS) + " FROM audit GROUP BY ALL", "audit"))
+cte("apairs", " UNION ALL ".join(f"SELECT item_id, '{a}' AS attribute, derived_{a} AS derived, true_{a} AS true_value FROM audit" for a in P.ATTRIBUTES), "audit")
+
+
+@query("confusion_matrix", sql("SELECT attribute, derived, true_value, count(*) AS n FROM apairs GROUP BY ALL", "apairs"))
 def confusion_matrix(spark, sf):
-    return P.confusion_matrix(audit(spark, sf), "derived_gender", "true_gender", R.GENDERS)
+    return P.confusion_matrix(audit(spark, sf))
 
 
-@query("class_precision", sql(f"SELECT derived_slot AS derived, count(*) AS n, count(*) FILTER (derived_slot = true_slot) AS correct, {pct('count(*) FILTER (derived_slot = true_slot)', 'count(*)', 1)} AS precision_pct FROM audit GROUP BY ALL", "audit"))
+@query("class_precision", sql(f"""SELECT CASE WHEN grouping(attribute) = 1 THEN 'all' ELSE attribute END AS attribute, CASE WHEN grouping(derived) = 1 THEN 'all' ELSE derived END AS derived, count(*) AS n,
+  count(*) FILTER (derived = true_value) AS correct, {pct('count(*) FILTER (derived = true_value)', 'count(*)', 1)} AS precision_pct FROM apairs GROUP BY GROUPING SETS ((attribute, derived), (attribute), ())""", "apairs"))
 def class_precision(spark, sf):
-    return P.class_precision(audit(spark, sf), "derived_slot", "true_slot")
+    return P.class_precision(audit(spark, sf))
 
 
-@query("misclassified", sql("SELECT item_id, derived_age_group, true_age_group FROM audit WHERE derived_age_group <> true_age_group", "audit"))
+@query("misclassified", sql("SELECT item_id, attribute, derived, true_value FROM apairs WHERE derived <> true_value", "apairs"))
 def misclassified(spark, sf):
-    return P.misclassified(audit(spark, sf), "derived_age_group", "true_age_group").select("item_id", "derived_age_group", "true_age_group")
+    return P.misclassified(audit(spark, sf)).select("item_id", "attribute", "derived", "true_value")
 
 
 def _ann(field: str, ok: list[str]) -> str:

@@ -109,20 +109,33 @@ def confidence_distribution(triaged: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ audits
-def confusion_matrix(audit: DataFrame, derived: str, true: str, values: list[str]) -> DataFrame:
-    """derived x true counts; the value list is closed, so no extra pass looks for columns."""
-    return audit.groupBy(F.trim(F.col(derived)).alias("derived")).pivot(true, values).agg(
-        F.count(F.lit(1))).na.fill(0)
+ATTRIBUTES = ("slot", "gender", "age_group")
 
 
-def class_precision(audit: DataFrame, derived: str, true: str) -> DataFrame:
-    right = F.count_if(F.trim(F.col(derived)) == F.trim(F.col(true)))
-    return audit.groupBy(F.trim(F.col(derived)).alias("derived")).agg(
-        F.count(F.lit(1)).alias("n"), right.alias("correct"), pct(right, F.count(F.lit(1)), 1).alias("precision_pct"))
+def audit_pairs(audit: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
+    """(all other columns, attribute, derived, true_value): one row per record and audited attribute."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.trim(f"derived_{a}").alias("derived"), F.trim(f"true_{a}").alias("true_value")) for a in attributes])
+    rest = [c for c in audit.columns if c not in {f"{side}_{a}" for a in attributes for side in ("derived", "true")}]
+    return audit.select(*rest, F.explode(pairs).alias("_p")).select(*rest, "_p.*")
 
 
-def misclassified(audit: DataFrame, derived: str, true: str) -> DataFrame:
-    return audit.filter(F.trim(F.col(derived)) != F.trim(F.col(true)))
+def confusion_matrix(audit: DataFrame) -> DataFrame:
+    """Counts per (attribute, derived, true value); pairs that do not occur have no row."""
+    return audit_pairs(audit).groupBy("attribute", "derived", "true_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_precision(audit: DataFrame) -> DataFrame:
+    """Rows, correct rows and precision per derived class, per attribute (derived `all`) and overall (both `all`), in one pass."""
+    pairs = audit_pairs(audit)
+    right = F.count_if(F.col("derived") == F.col("true_value"))
+    sets = pairs.groupingSets([["attribute", "derived"], ["attribute"], []], "attribute", "derived").agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), right.alias("correct"), pct(right, F.count(F.lit(1)), 1).alias("precision_pct"))
+    return sets.select(F.when(F.col("_g") == 3, "all").otherwise(F.col("attribute")).alias("attribute"),
+                       F.when(F.col("_g") > 0, "all").otherwise(F.col("derived")).alias("derived"), "n", "correct", "precision_pct")
+
+
+def misclassified(audit: DataFrame) -> DataFrame:
+    return audit_pairs(audit).filter(F.col("derived") != F.col("true_value"))
 
 
 def annotation_status(audit: DataFrame, allowed: dict[str, list[str]] | None = None) -> DataFrame:

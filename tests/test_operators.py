@@ -247,6 +247,29 @@ def test_upsert_restores_deleted(spark):
     assert (out.version, out.is_deleted, out.title) == (4, False, "n") and out.created_at.year == 2024
 
 
+def test_common_tokens_are_not_joined_in_full(spark):
+    rng = random.Random(9)
+    texts = [(i, " ".join(["shared"] * rng.randint(1, 3) * (i % 9 > 0) + ["thing"] * (i % 5 > 0) + [f"word{rng.randrange(60)}" for _ in range(rng.randint(0, 12))])) for i in range(3000)]
+    docs = spark.createDataFrame(texts, "item_id int, search_text string")
+    queries = spark.createDataFrame([(1, "shared word7"), (2, "shared thing word8 word9"), (3, "thing word11 shared"), (4, "word3"), (5, "shared thing")], "query_id int, query string")
+    kept = {}
+    index = V.keyword_index(docs, keep=lambda df, name: kept.setdefault(name, df.cache()))
+    assert {r.token for r in index.blocks.select("token").distinct().collect()} == {"shared", "thing"}
+    plain = V.KeywordIndex(index.postings, index.documents, index.frequencies)
+    for k in (5, 40, 5000):
+        a, b = (sorted(map(tuple, V.bm25_topk(queries, i, k).collect())) for i in (index, plain))
+        assert a == b and len(a) > 4 * min(k, 100)
+    seen = []
+    hits = V.common_hits
+    V.common_hits = lambda *a: seen.append(hits(*a)) or seen[-1]
+    try:
+        V.pruned_scores(V.query_tokens(queries.filter("query_id < 4")), index, V.token_stats(index), 5).count()
+    finally:
+        V.common_hits = hits
+    full = index.postings.join(V.query_tokens(queries.filter("query_id < 4")), "token").filter("token in ('shared', 'thing')").count()
+    assert seen[0].count() < full / 5
+
+
 def ttl_by_hand(rows, ttl):
     stored, out = {}, {}
     for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
