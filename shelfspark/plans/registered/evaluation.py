@@ -247,7 +247,7 @@ def own_text_search(spark, sf, depth=10):
     return own.select("query_id", "item_id"), V.top_per_query(found, depth, score="fused")
 
 
-# gate, metric, comparison, required
+# fixed values: gate names and what they require (gate, metric, comparison, required)
 GATES = [("Zero Constraint Violations", "total_violations", "=", 0.0), ("Zero Kids Leakage", "kids_leakage", "=", 0.0), ("Zero Innerwear Leakage", "innerwear_leakage", "=", 0.0),
          ("Outfit Age Coherence", "age_pct", "=", 100.0), ("Outfit Gender Coherence", "gender_pct", "=", 100.0), ("Outfit Budget Compliance", "budget_pct", "=", 100.0),
          ("Zero English Violations", "english_violations", "=", 0.0), ("Degraded-Mode Violations (Non-Eng)", "degraded_violations", None, None),
