@@ -154,7 +154,7 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("m"), source.cast("string")))
 
 
-def mix(docs: DataFrame, targets: DataFrame, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, most: int = MOST_COPIES, seed: int = SEED, most_sent: int = MOST_SENT) -> DataFrame:
     """How often each document is taken, and for which source: rows of docs with copies and taken (words, repeats counted).
 
     docs(doc_id, members array of source keys, size, hash): hash is a seeded hash of the row's content; targets(key, target).
@@ -194,11 +194,14 @@ def mix(docs: DataFrame, targets: DataFrame, most: int = MOST_COPIES, seed: int
     extra = None
     while True:
         now = given if extra is None else given.unionByName(extra.groupBy("key").agg(F.sum("size").alias("words")))
-        gaps = targets.join(now.groupBy("key").agg(F.sum("words").alias("words")), "key", "left").select(
-            "key", "target", (F.floor("target") - F.coalesce("words", F.lit(0))).alias("gap")).filter(F.col("gap") > NEAR * F.col("target"))
+        gaps = materialize(targets.join(now.groupBy("key").agg(F.sum("words").alias("words")), "key", "left").select(
+            "key", "target", (F.floor("target") - F.coalesce("words", F.lit(0))).alias("gap")).filter(F.col("gap") > NEAR * F.col("target")), "mix_gaps")
+        open_gaps = gaps.count()
+        if not open_gaps:
+            break
         free = taken if extra is None else taken.join(extra.groupBy(*place).agg(F.count("*").alias("more")), place, "left").withColumn(
             "copies", F.col("copies") + F.coalesce("more", F.lit(0)))
-        new = materialize(fillers(free.filter((F.col("copies") < most) & (F.col("size") > 0) & (F.size("members") > 0)), gaps), "mix_extra")
+        new = materialize(fillers(free.filter((F.col("copies") < most) & (F.col("size") > 0) & (F.size("members") > 0)), gaps, open_gaps <= most_sent // SLICES), "mix_extra")
         if new.isEmpty():
             break
         extra = new if extra is None else extra.unionByName(new)
@@ -207,13 +210,19 @@ def mix(docs: DataFrame, targets: DataFrame, most: int = MOST_COPIES, seed: int
     return taken.select("doc_id", "members", "hash", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def fillers(free: DataFrame, gaps: DataFrame) -> DataFrame:
+def fillers(free: DataFrame, gaps: DataFrame, send: bool) -> DataFrame:
     """Documents for what is left of each target, (members, bucket, pos, key, size): of PER_CLASS candidates per size class,
-    largest first, each that still fits.  A document of several sources fills the one that its hash picks."""
+    largest first, each that still fits.  A document of several sources fills the one that its hash picks.
+
+    Candidates are ranked in slices of a source first, and every slice meets its own row of the gap: a join on the source
+    alone would deal a hot source to one task and leave its slices there.  `send` broadcasts the gaps.
+    """
     per_class = Window.partitionBy("key", "class").orderBy("copies", "hash", "pos")
-    in_slice = Window.partitionBy("key", "class", F.col("bucket") % SLICES).orderBy("copies", "hash", "pos")  # a hot source is first ranked in slices
+    in_slice = Window.partitionBy("key", "class", "slice").orderBy("copies", "hash", "pos")
+    sliced = gaps.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     owner = F.element_at("members", (F.pmod(F.shiftright("hash", 16), F.size("members")) + 1).cast("int"))
-    few = free.select("members", "bucket", "pos", "hash", "size", "copies", owner.alias("key")).join(gaps, "key").filter("size <= gap").withColumn(
+    few = free.select("members", "bucket", "pos", "hash", "size", "copies", owner.alias("key"), (F.col("bucket") % SLICES).alias("slice")).join(
+        F.broadcast(sliced) if send else sliced, ["key", "slice"]).filter("size <= gap").withColumn(
         "class", F.floor(F.log2("size"))).withColumn("n", F.row_number().over(in_slice)).filter(F.col("n") <= PER_CLASS).withColumn(
         "n", F.row_number().over(per_class)).filter(F.col("n") <= PER_CLASS)
     item = F.struct((-F.col("size")).alias("minus"), "copies", "hash", "pos", "bucket", "members")

@@ -73,6 +73,27 @@ def test_overlapping_sources(spark):
     assert abs(sum(r["taken"] for r in got if set(r["members"]) & {"c", "d"}) - 3050) <= 60
 
 
+def test_hot_source_is_dealt_by_slices(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, ["hot"] if i % 10 else ["b"], int(rng.integers(1, 40)), int(rng.integers(-2**62, 2**62))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, members array<string>, size long, hash long")
+    targets = spark.createDataFrame([("hot", 20_000.0), ("b", 5000.0)], "key string, target double")
+    sent, joined = mixing.mix(docs, targets).collect(), mixing.mix(docs, targets, most_sent=0).collect()
+    assert sorted(map(str, sent)) == sorted(map(str, joined))
+    taken = {k: sum(r["taken"] for r in sent if r["members"] == [k]) for k in ("hot", "b")}
+    assert 0.998 * 20_000 - 2 <= taken["hot"] <= 20_000 and 0.998 * 5000 - 2 <= taken["b"] <= 5000
+    free = docs.selectExpr("members", "cast(pmod(hash, 4096) as int) as bucket", "1 as pos", "hash", "size", "0 as copies")
+    gaps = targets.withColumn("gap", F.floor("target"))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.fillers(free, gaps, False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    windows = plan.rindex("Window [row_number()")  # the first of the two, nearest to the scan
+    assert re.search(r"hashpartitioning\(key#\d+, slice#\d+", plan[windows:]) and not re.search(r"hashpartitioning\(key#\d+, \d+\)", plan[windows:])
+
+
 def sizes_of(rows):
     return {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
 
