@@ -2,55 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 256  # histogram cells per group
+from ..session import materialize
+
+CELLS = 256  # ranges of the pool
 
 
 def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per group with linearly interpolated percentiles named by `probs`, and `n`.
+    """One row per group with linearly interpolated percentiles named by `probs`, and `n`; null values do not count.
 
-    Equal values are counted before anything moves.  Approximate quantiles cut each group into
-    about CELLS ranges; exact counts per range locate the two ranks every percentile needs, and
-    only the ranges that hold those ranks are sorted.  The largest sort is a small share of the
-    largest group, while the result equals the textbook definition.
+    Equal values are counted before anything moves.  The counted values are dealt into ranges of (group, value) and written
+    once; sums per group and range tell which ranges hold the two ranks that each percentile needs, and only those are
+    read again and sorted.  A group of any size spreads over the ranges, and the result equals the textbook definition.
     """
-    keys = list(groups) or ["_all"]
-    base = df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
-    if not groups:
-        base = base.withColumn("_all", F.lit(1))
-    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    marks = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
-    edges = counted.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", marks, 4 * CELLS)).alias("_e"))
-    cell = F.size(F.filter("_e", lambda e: e < F.col("_v")))
-    placed = counted.join(edges, keys).withColumn("_cell", cell).drop("_e")
+    spark = df.sparkSession
+    group = F.struct(*groups) if groups else F.struct(F.lit(True).alias("all"))  # a struct, so null groups join and no name clashes
+    counted = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(counted.repartitionByRange(ranges, "g", "v").withColumn("part", F.spark_partition_id()), "percentile_ranges")
+
+    def ends(p: float) -> tuple[Column, Column, Column]:
+        at = (F.col("n") - 1) * F.lit(float(p))
+        return at, F.floor(at).cast("long"), F.ceil(at).cast("long")
+
+    def held(ranks: Column, start: Column, end: Column) -> Column:
+        return F.filter(ranks, lambda i: (i >= start) & (i < end))
+    per_group = Window.partitionBy("g")
+    before = F.coalesce(F.sum("m").over(per_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spread = dealt.groupBy("part", "g").agg(F.sum("c").alias("m")).withColumn("before", before).withColumn("n", F.sum("m").over(per_group))
+    wanted = F.array_distinct(F.array(*[end for p in probs.values() for end in ends(p)[1:]]))
+    located = spread.withColumn("ranks", held(wanted, F.col("before"), F.col("before") + F.col("m"))).filter(F.size("ranks") > 0).drop("m")
+    upto = Window.partitionBy("part", "g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.join(located, ["part", "g"]).withColumn("end", F.col("before") + F.sum("c").over(upto))
+    picked = inside.select("g", "n", "v", F.explode(held(F.col("ranks"), F.col("end") - F.col("c"), F.col("end"))).alias("rank"))
+    found = picked.groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))  # two entries per percentile
 
-    totals = placed.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_m"))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    spread = totals.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).withColumn(
-        "n", F.sum("_m").over(Window.partitionBy(*keys)))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
-                                 for name, p in probs.items()]))
-    ranks = spread.select(*keys, "n").distinct().withColumn("_w", wanted).select(
-        *keys, "n", F.col("_w.name").alias("_name"), ((F.col("n") - 1) * F.col("_w.p")).alias("_h"))
-    low = F.floor("_h").cast("bigint")
-    ends = ranks.select(*keys, "n", "_name", "_h", F.explode(F.array(low, F.ceil("_h").cast("bigint"))).alias("_i")).distinct()
-    located = ends.join(spread.select(*keys, "_cell", "_before", "_m"), keys).filter(
-        (F.col("_i") >= F.col("_before")) & (F.col("_i") < F.col("_before") + F.col("_m")))
-    cells = located.select(*keys, "_cell", "_before").distinct()
-    inside = placed.join(cells, [*keys, "_cell"])
-    order = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(order)).select(
-        *keys, "_cell", "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end")
-    picked = located.select(*keys, "n", "_name", "_h", "_i", "_cell").join(values, [*keys, "_cell"]).filter(
-        (F.col("_i") >= F.col("_start")) & (F.col("_i") < F.col("_end")))
-    per = picked.groupBy(*keys, "n", "_name", "_h").agg(
-        F.min_by("_v", "_i").alias("_lo"), F.max_by("_v", "_i").alias("_hi")).withColumn(
-        "_r", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h")))
-    out = per.groupBy(*keys, "n").agg(*[
-        F.max(F.when(F.col("_name") == name, F.col("_r"))).alias(name) for name in probs])
-    return out if groups else out.drop("_all")
+    def percentile(p: float) -> Column:
+        at, low, high = ends(p)
+        below = F.element_at("at", low)
+        return below + (F.element_at("at", high) - below) * (at - low)
+    return found.select(*([F.col("g")[c].alias(c) for c in groups]), "n", *[percentile(p).alias(name) for name, p in probs.items()])
 
 
 def count_at_least(probes: DataFrame, pool: DataFrame, score: str, out: str = "n_at_least") -> DataFrame:

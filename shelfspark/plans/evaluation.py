@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import strings, tidy, unicode_regex
 from ..operators.quantiles import exact_percentiles
 from ..operators.ranking import low_confidence, ranked
+from ..session import materialize
 from .reports import pct
 
 
@@ -161,16 +162,13 @@ def pool_sweep(scored: DataFrame, k: int = 10) -> DataFrame:
 
 def similarity_calibration(scores: DataFrame, group: str = "grp", score: str = "best_sim") -> DataFrame:
     """min / p5 / median / max per group, threshold = p5 of the relevant group, separable flag."""
-    mid = exact_percentiles(scores, [group], score, {"p5": 0.05, "median": 0.50})
-    ends = scores.groupBy(group).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    rows = mid.join(ends, group)
+    rows = materialize(exact_percentiles(scores, [group], score, {"lo": 0.0, "p5": 0.05, "median": 0.50, "hi": 1.0}), "calibration")
     rel = F.col(group) == "relevant"
-    flat = rows.agg(F.max(F.when(rel, F.col("p5"))).alias("t"), F.max(F.when(rel, F.col("lo"))).alias("rl"),
-                    F.max(F.when(~rel, F.col("hi"))).alias("ih"))
-    return rows.select(
+    ends = rows.agg(F.struct(F.max(F.when(rel, F.col("p5"))).alias("p5"), F.max(F.when(rel, F.col("lo"))).alias("lo"),
+                             F.max(F.when(~rel, F.col("hi"))).alias("hi")).alias("ends")).scalar()
+    return rows.withColumn("_ends", ends).select(
         group, "n", *[tidy(F.col(c), 6).alias(a) for c, a in (("lo", "min_sim"), ("p5", "p5"), ("median", "median"), ("hi", "max_sim"))],
-        tidy(flat.select("t").scalar(), 4).alias("threshold"),
-        F.coalesce(flat.select(F.col("rl") > F.col("ih")).scalar(), F.lit(False)).alias("separable"))
+        tidy(F.col("_ends.p5"), 4).alias("threshold"), F.coalesce(F.col("_ends.lo") > F.col("_ends.hi"), F.lit(False)).alias("separable"))
 
 
 def unflagged_share(scores: DataFrame, threshold: Column, group: str = "grp", score: str = "best_sim") -> DataFrame:

@@ -102,6 +102,13 @@ def test_percentiles_with_a_hot_group(spark):
         for name, p in (("p5", 5), ("p50", 50), ("p99", 99)):
             assert abs(got[g][name] - np.percentile(vals, p)) < 1e-9
     assert quantiles.exact_percentiles(df.limit(0), ["g"], "v", {"p50": 0.5}).collect() == []
+    odd = spark.createDataFrame([(None, 1.0), (None, 4.0), (None, None), ("x", None), ("y", 7.0), ("y", 7.0)], "part string, n double")
+    assert {(r.part, r["count"], r.lo, r.mid, r.hi) for r in quantiles.exact_percentiles(odd, ["part"], "n", {"lo": 0.0, "mid": 0.5, "hi": 1.0}).withColumnRenamed("n", "count").collect()} \
+        == {(None, 2, 1.0, 2.5, 4.0), ("y", 2, 7.0, 7.0, 7.0)}
+    whole = quantiles.exact_percentiles(odd, [], "n", {"mid": 0.5}).first()
+    assert (whole.n, whole.mid) == (4, 5.5)
+    plan = quantiles.exact_percentiles(df, ["g"], "v", {"p50": 0.5, "p99": 0.99})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 5 and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_overlap_counts(spark):
