@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import rules as R
 from ...plans import evaluation as E
 from ...plans import reports as P
+from ...session import scratch_path
 from ...sources import tables as T
 from ...streaming import metrics as M
 from ...streaming import repeats
@@ -172,13 +173,27 @@ def latency_percentiles(spark, sf):
     return E.latency_percentiles(T.request_log(spark, sf))
 
 
-@query("rolling_metrics", sql("""SELECT endpoint, count(*) AS n, CAST(round(CAST(quantile_cont(latency_ms, 0.5) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p50, CAST(round(CAST(quantile_cont(latency_ms, 0.95) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p95,
+ROLLING = sql("""SELECT endpoint, count(*) AS n, CAST(round(CAST(quantile_cont(latency_ms, 0.5) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p50, CAST(round(CAST(quantile_cont(latency_ms, 0.95) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p95,
   CAST(round(CAST(quantile_cont(latency_ms, 0.99) AS DECIMAL(18, 10)), 2) AS DOUBLE) AS p99, round(avg(latency_ms), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY ts DESC, request_id DESC) AS r FROM log)
-  WHERE r <= 1000 GROUP BY endpoint""", "log"))
+  WHERE r <= 1000 GROUP BY endpoint""", "log")
+
+
+@query("rolling_metrics", ROLLING)
 def rolling_metrics(spark, sf):
     return M.rolling_metrics(T.request_log(spark, sf))
 
 
+@query("rolling_metrics_stream", ROLLING)
+def rolling_metrics_stream(spark, sf):
+    """The log arrives in three parts, each with rows of all times."""
+    log = T.request_log(spark, sf).select("endpoint", "ts", "request_id", "latency_ms")
+    root = scratch_path(spark, "rolling")
+    for part in range(3):
+        log.filter(F.pmod(F.xxhash64("request_id"), F.lit(3)) == part).write.mode("append").parquet(f"{root}/log")
+        M.last_requests_stream(spark.readStream.schema(log.schema).parquet(f"{root}/log"), f"{root}/state").awaitTermination()
+    return M.current_metrics(spark, f"{root}/state")
+
+
 @query("ops_counters", sql("SELECT endpoint, status, count(*) AS n FROM log GROUP BY ALL", "log"))
 def ops_counters(spark, sf):
     return M.ops_counters(T.request_log(spark, sf))

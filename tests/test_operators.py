@@ -331,6 +331,27 @@ def test_metric_streams(spark, tmp_path):
     assert first.p50 == np.percentile(np.arange(first.p50 - 29.5, first.p50 + 30.5), 50)
 
 
+def test_last_requests_of_a_stream(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"r{i:05d}", "hot" if i % 10 else rng.choice(["rare", None]), 1_700_000_000 + rng.randrange(900), round(rng.uniform(1, 500), 2)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id string, route string, at long, ms double").withColumn("at", F.timestamp_seconds("at")).withColumn("_other", F.lit(1))
+    names = {"endpoint": "route", "at": "at", "latency": "ms", "tie": "id", "window": 100}
+    folder, parts = str(tmp_path / "state"), df.randomSplit([1.0] * 4, 7)
+    for part in parts:  # a hot endpoint, ties in time, and late rows in every file
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        metrics.last_requests_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "log")), folder, **names).awaitTermination(120)
+    want = sorted(map(str, metrics.rolling_metrics(df, **names).collect()))
+    assert sorted(map(str, metrics.current_metrics(spark, folder).collect())) == want and len(want) == 3
+    for slot in (0, 1):
+        assert spark.read.parquet(f"{folder}/slot-{slot}").groupBy("route").count().filter("count > 100").isEmpty()
+    metrics.advance_metrics(parts[3], 3, folder, **names)  # the last batch once more, as after a failure
+    assert sorted(map(str, metrics.current_metrics(spark, folder).collect())) == want
+    plan = metrics.latest_requests(df, endpoint="route", at="at", tie="id", window=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.rindex("Exchange")  # cut before the shuffle too
+    metrics.last_requests_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "log")), folder, **names).awaitTermination(120)
+    assert sorted(map(str, metrics.current_metrics(spark, folder).collect())) == want
+
+
 def test_reports_on_empty_input(spark):
     empty = spark.createDataFrame([], "item_id string, title string, slot string, gender string, age_group string, drop_reason string")
     assert reports.coverage_report(empty).collect() == [] and reports.drop_report(empty).collect() == [] and reports.top_words(empty).collect() == []
