@@ -101,6 +101,27 @@ def test_relevance_and_triage(spark):
     assert bad == []
 
 
+def test_triage_of_a_catalog_finds_repeats(spark):
+    jeans, charm = "Northgate Men's Straight Fit Jeans (Dark Rinse)", "Oak Leaf Charm - Sterling Silver"
+    rows = [
+        (1, "a", jeans, "39.5", "Northgate", "accepted", ""),
+        (2, "a", charm, "14.75", "Northgate", "rejected", "duplicate_id"),           # its signature is free for others
+        (3, "b", charm, "14.75", "Northgate", "accepted", ""),
+        (4, "c", jeans, "39.5", "Northgate", "rejected", "duplicate_product"),
+        (5, "d", jeans, "39.5", None, "accepted", ""),                               # another store
+        (6, "e", "*** ... ---", "39.5", "Northgate", "rejected", "meaningless_title"),
+        (7, "e", charm, "14.75", "Northgate", "rejected", "duplicate_id"),
+    ]
+    df = spark.createDataFrame([(*r, "text", ["Pure cotton"], 4.5) for r in rows], "seq long, item_id string, title string, price string, store string, want string, why string, "
+                               "description string, features array<string>, average_rating double")
+    out = TR.triage_catalog(df)
+    assert out.filter("status <> want or array_join(reasons, ';') <> why").select("seq", "status", "reasons").collect() == [] and out.count() == len(rows)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()  # the rules ran once, before the flags
+    assert set(out.columns) == set(TR.triage(df).columns)
+    assert TR.triage_catalog(df.limit(0)).count() == 0
+    assert TR.spread(df.coalesce(1)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_query_constraints(spark):
     rows = [("linen shorts under $30", None, 30.0), ("rain jacket below 75 dollars", None, 75.0), ("mirrored sunglasses less than 20 USD", None, 20.0),
             ("quartz watch over $60", 60.0, None), ("polo shirt under 900 rupees", None, None)]
