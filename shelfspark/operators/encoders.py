@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..session import materialize
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -52,14 +53,33 @@ def hash_encoder(items: DataFrame, dim: int = 64, item: str | list[str] = "item_
         F.try_element_at("_m", i) / F.nullif(F.col("_n"), F.lit(0.0)), F.lit(0.0)).cast("float")).alias("vec"))
 
 
-def tfidf_vectors(items: DataFrame, dim: int = 4096, item: str = "item_id", text: str = "search_text") -> DataFrame:
-    """Default text vectors: hashed term counts, idf, unit length (distributed feature stages)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+def sparse_tfidf(items: DataFrame, dim: int = 4096, item: str = "item_id", text: str = "search_text") -> DataFrame:
+    """(item, vec): the default text encoder, unit tf-idf vectors as arrays of (pos, weight) by position, without zeros.
 
-    words = items.select(item, tokenize(F.col(text)).alias("_w"))
-    stages = Pipeline(stages=[HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim),
-                              IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_n")])
-    done = stages.fit(words).transform(words)
-    return done.select(item, vector_to_array("_n", "float32").alias("vec"))
+    A token's position is that of `hash_encoder`; idf is ln((n + 1) / (df + 1)) over all n items.  Document frequencies have
+    at most `dim` rows and go out as a broadcast, so the terms meet nothing but their own item.  A text without
+    tokens, or with only tokens that every item has, gets the empty vector.
+    """
+    terms = items.select(item, F.explode_outer(tokenize(F.col(text))).alias("_t")).select(
+        item, F.pmod(F.conv(F.substring(F.md5(F.col("_t").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int").alias("_pos"))
+    counts = materialize(terms.groupBy(item, "_pos").agg(F.count(F.lit(1)).alias("_tf")), "term_counts")
+    n = counts.select(item).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    seen = counts.filter("_pos IS NOT NULL").groupBy("_pos").agg(F.count(F.lit(1)).alias("_df")).withColumn("_idf", F.log((n + 1) / (F.col("_df") + 1)))
+    weighed = counts.join(F.broadcast(seen), "_pos", "left").withColumn("_w", F.col("_tf") * F.col("_idf")).groupBy(item).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_w") > 0, F.struct(F.col("_pos").alias("pos"), F.col("_w").alias("weight"))))).alias("_v"),  # at most dim entries
+        F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return weighed.select(item, F.transform("_v", lambda e: F.struct(e["pos"].alias("pos"), (e["weight"] / F.col("_norm")).alias("weight"))).alias("vec"))
+
+
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays of (pos, weight) that are sorted by position: one merge over both, without dense arrays."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("dot"))
+
+    def step(s: Column, _: Column) -> Column:
+        left, right = F.get(a, s["i"]), F.get(b, s["j"])
+        move = left["pos"].isNotNull() & right["pos"].isNotNull()
+        same = move & (left["pos"] == right["pos"])
+        return F.struct((s["i"] + F.when(move & (left["pos"] <= right["pos"]), 1).otherwise(0)).alias("i"),
+                        (s["j"] + F.when(move & (left["pos"] >= right["pos"]), 1).otherwise(0)).alias("j"),
+                        (s["dot"] + F.when(same, left["weight"] * right["weight"]).otherwise(0.0)).alias("dot"))
+    return F.aggregate(F.array_repeat(F.lit(0), F.size(a) + F.size(b)), start, step)["dot"]

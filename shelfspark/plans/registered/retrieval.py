@@ -246,11 +246,13 @@ def hash_encoder(spark, sf):
     return v.select("item_id", F.posexplode("vec").alias("pos", "value")).select("item_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-@query("encoder_plugin")
+@query("encoder_plugin", sql("""SELECT item_id, pos, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM (
+  SELECT item_id, pos, tf * ln(((SELECT count(DISTINCT item_id) FROM items) + 1)::DOUBLE / (count(*) OVER (PARTITION BY pos) + 1)) AS w FROM (
+    SELECT item_id, (('0x' || substr(md5(token), 1, 8))::BIGINT % 1024)::INTEGER AS pos, count(*) AS tf FROM (SELECT item_id, unnest(tk) AS token FROM htok) GROUP BY ALL)) WHERE w > 0""", "items", "htok"))
 def encoder_plugin(spark, sf):
-    """Distributed tf-idf vectors as the default text encoder."""
-    v = encoders.tfidf_vectors(T.items(spark, sf).select("item_id", "search_text"), 1024)
-    return v.select("item_id", F.size("vec").alias("dim"))
+    """All weights of the default text encoder."""
+    v = encoders.sparse_tfidf(T.items(spark, sf), 1024)
+    return v.select("item_id", F.explode("vec").alias("e")).select("item_id", "e.pos", F.round("e.weight", 6).alias("weight"))
 
 
 @query("stale_embeddings", """SELECT doc_id AS item_id, NOT (doc_id % 3 <> 0 AND doc_id % 4 <> 1 AND doc_id % 5 <> 2) AS stale FROM documents""")

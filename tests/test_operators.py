@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
-from shelfspark.operators import dedup, joins, quantiles, sampling
+from shelfspark.operators import dedup, encoders, joins, quantiles, sampling
 from shelfspark.operators import retrieval as V
 from shelfspark.operators.evolution import upsert_catalog
 from shelfspark.plans import reports
@@ -352,6 +352,26 @@ def test_last_requests_of_a_stream(spark, tmp_path):
     assert sorted(map(str, metrics.current_metrics(spark, folder).collect())) == want
 
 
+def test_sparse_tfidf_and_merge_dot(spark):
+    texts = {1: "red wool scarf red", 2: "blue wool hat", 3: "", 4: None, 5: "wool wool", 6: "red hat of wool"}
+    v = encoders.sparse_tfidf(spark.createDataFrame(list(texts.items()), "id long, body string"), 4096, "id", "body")
+    got = {r.id: [(e.pos, e.weight) for e in r.vec] for r in v.collect()}
+    assert set(got) == set(texts) and got[3] == got[4] == []
+    words = {i: (t or "").split() for i, t in texts.items()}
+    vocab = sorted({w for ws in words.values() for w in ws})
+    df = np.array([sum(w in ws for ws in words.values()) for w in vocab])
+    dense = np.array([[ws.count(w) for w in vocab] for _, ws in sorted(words.items())]) * np.log((len(texts) + 1) / (df + 1))
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    for i, row in zip(sorted(texts), dense):
+        assert [p for p, _ in got[i]] == sorted(p for p, _ in got[i])
+        assert np.allclose(sorted(w for _, w in got[i]), sorted(row[row > 0]))
+    a, b = v.selectExpr("id AS a", "vec AS va"), v.selectExpr("id AS b", "vec AS vb")
+    pairs = a.join(b, F.col("a") <= F.col("b")).select("a", "b", encoders.sparse_dot(F.col("va"), F.col("vb")).alias("dot"))
+    for r in pairs.collect():
+        assert abs(r.dot - dense[r.a - 1] @ dense[r.b - 1]) < 1e-12
+    assert encoders.sparse_tfidf(spark.createDataFrame([], "id long, body string"), 64, "id", "body").collect() == []
+
+
 def test_reports_on_empty_input(spark):
     empty = spark.createDataFrame([], "item_id string, title string, slot string, gender string, age_group string, drop_reason string")
     assert reports.coverage_report(empty).collect() == [] and reports.drop_report(empty).collect() == [] and reports.top_words(empty).collect() == []
