@@ -38,21 +38,15 @@ def spherical_kmeans(rows: np.ndarray, cells: int, rounds: int = 10, seed: int =
     return centers
 
 
-def fitted_cells(rows: np.ndarray, most: int, reach: float) -> np.ndarray:
-    """Centroids for the number of cells (1, 2, 4, ... up to `most`) with the least work on the sample: the sum of the squared
-    loads, visitors included.  Where the data has no clusters that the reach respects, one cell in blocks is best."""
-    best, least = rows[:1], np.inf
-    k = 1
-    while k <= most:
-        centers = spherical_kmeans(rows, k)
-        near = rows @ centers.T
-        home = near.argmax(axis=1)
-        gaps = np.sqrt(np.maximum(2 - 2 * centers @ centers.T, 0))
-        load = (near[np.arange(len(rows)), home][:, None] - near <= reach * gaps[home] + 1e-9).sum(axis=0) / len(rows)
-        if (load ** 2).sum() < least:
-            best, least = centers, (load ** 2).sum()
-        k *= 2
-    return best
+def fitted_cells(rows: np.ndarray, cells: int, reach: float) -> np.ndarray:
+    """Centroids of `cells` cells.  Of centroids nearer to each other than two linked vectors may be, twice the reach, the first
+    stays: between the others nearly every vector would be in both cells, so a clump of near copies is not cut."""
+    centers = spherical_kmeans(rows, cells)
+    kept: list[int] = []
+    for i, c in enumerate(centers):
+        if not kept or (2 - 2 * centers[kept] @ c).min() > (2 * reach) ** 2:
+            kept.append(i)
+    return centers[kept]
 
 
 def cells_of(centers: np.ndarray, reach: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -73,12 +67,13 @@ def cells_of(centers: np.ndarray, reach: float) -> Callable[[Iterator[pd.DataFra
 
 
 def block_links(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Links of one pair of blocks of a cell: per vector the weight of its partners, and a spanning star of the links.
+    """Links of a block of vectors at home in a cell with another such block, itself or a block of visitors: per vector the
+    weight of its partners, and a spanning star of the links.
 
-    A pair with different homes can meet in both home cells; it counts in the smaller of those where it meets.
+    Two vectors that visit each other meet in both home cells; they count in the smaller.
     """
     def sides(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        return (rows["rep"].to_numpy(), rows["copies"].to_numpy(), rows["home"].to_numpy(), unit(np.stack(rows["embedding"].to_numpy())), rows["others"].to_numpy())
+        return (rows["rep"].to_numpy(), rows["copies"].to_numpy(), unit(np.stack(rows["embedding"].to_numpy())))
 
     def visits(others: np.ndarray, homes: np.ndarray) -> np.ndarray:
         """Whether each row is also sent to each of the given cells."""
@@ -94,25 +89,22 @@ def block_links(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFram
         out = pd.DataFrame({"rep": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
         if not len(a) or not len(b):
             return out
-        ra, na, ha, xa, oa = sides(a)
-        rb, nb, hb, xb, ob = (ra, na, ha, xa, oa) if one == two else sides(b)
+        ra, na, xa = sides(a)
+        rb, nb, xb = (ra, na, xa) if one == two else sides(b)
         slack = 1e-5 + 2e-7 * xa.shape[1]  # single precision finds the rows to compare, double precision decides
         fa, fb = xa.astype(np.float32), xb.astype(np.float32).T
         close = np.concatenate([fa[i:i + 512] @ fb >= threshold - slack for i in range(0, len(fa), 512)])
         if one == two:
             np.fill_diagonal(close, False)
         i, j = close.any(axis=1), close.any(axis=0)
-        ra, na, ha, xa, oa, rb, nb, hb, xb, ob = ra[i], na[i], ha[i], xa[i], oa[i], rb[j], nb[j], hb[j], xb[j], ob[j]
+        ra, na, xa, rb, nb, xb = ra[i], na[i], xa[i], rb[j], nb[j], xb[j]
         linked = (xa @ xb.T >= threshold) & (ra[:, None] != rb[None, :])
-        linked &= (ha == cell)[:, None] | (hb == cell)[None, :]  # two visitors meet in a home of theirs
+        homes = b["home"].to_numpy()[j]
+        if len(ra) and (homes != cell).any():
+            linked &= ~((homes[None, :] < cell) & visits(a["others"].to_numpy()[i], homes))
         ids, roots = forest(linked, ra, rb)
         if not len(ids):
             return out
-        elsewhere = np.zeros_like(linked)
-        a_home, b_home = (ha == cell)[:, None], (hb == cell)[None, :]
-        elsewhere |= a_home & ~b_home & (hb[None, :] < cell) & visits(oa, hb)
-        elsewhere |= b_home & ~a_home & (ha[:, None] < cell) & visits(ob, ha).T
-        linked &= ~elsewhere
         weight = pd.Series(linked @ nb, index=ra)
         if one != two:
             weight = pd.concat([weight, pd.Series(linked.T @ na, index=rb)])
@@ -121,6 +113,21 @@ def block_links(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFram
     return links
 
 
+def in_cells(reps: DataFrame, threshold: float, sample: int = SAMPLE, cells: int | None = None) -> DataFrame | None:
+    """reps(embedding, rep, copies, dim) with `home`, the cell of the nearest centroid, and `others`, the cells that a vector
+    visits; None without rows.  Centroids are fitted per vector length, for as many cells as the root of the number of vectors, unless `cells` is given."""
+    found = None
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
+    for dim, count in [(r[0], r[1]) for r in reps.groupBy("dim").count().collect()]:
+        own = reps.filter(F.col("dim") == dim)
+        drawn = own.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()
+        rows = unit(np.stack(drawn["embedding"].to_numpy()))
+        centers = fitted_cells(rows, cells or min(MOST_CELLS, max(2, round(math.sqrt(count)))), reach)
+        homes = own.mapInPandas(cells_of(centers, reach), "embedding array<float>, rep long, copies long, dim int, home int, others array<int>")
+        found = homes if found is None else found.unionByName(homes)
+    return found
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = SAMPLE, block: int = BLOCK,
                     cells: int | None = None) -> DataFrame:
     """Per vec_id: n_links (other vectors with cosine >= threshold), component_id (smallest vec_id reachable), kept.
@@ -132,9 +139,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
     The centroids are fitted on at most `sample` distinct vectors (those with the smallest hashes); every vector is
     assigned.  Two unit vectors with cosine c lie sqrt(2 - 2c) apart, so of two linked vectors with different homes at
     least one lies within half of that of the plane between the two centroids: sending each vector also to the cells
-    whose border is that near finds every link (recall 1; tests compare with brute force).  Exact copies are one weighted
-    vector.  Cells are cut into blocks of bounded size and every pair of blocks is one group, which emits at most one
-    row per vector.
+    whose border is that near finds every link (recall 1; tests compare with brute force).  In a cell the vectors at home
+    meet each other and the visitors; visitors do not meet.  Exact copies are one weighted vector.  Both sorts are cut into
+    blocks of bounded size and every pair of blocks is one group, which emits at most one row per vector.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -143,23 +150,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample: int = S
     every = materialize(vectors.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding")), "near_rows")
     fit = every.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad & some)
     reps = materialize(fit.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "near_reps")
-    found = None
-    for dim, count in [(r[0], r[1]) for r in reps.groupBy("dim").count().collect()]:
-        own = reps.filter(F.col("dim") == dim)
-        drawn = own.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()
-        reach = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
-        rows = unit(np.stack(drawn["embedding"].to_numpy()))
-        centers = spherical_kmeans(rows, cells) if cells else fitted_cells(rows, min(MOST_CELLS, round(math.sqrt(count))), reach)
-        homes = own.mapInPandas(cells_of(centers, reach), "embedding array<float>, rep long, copies long, dim int, home int, others array<int>")
-        found = homes if found is None else found.unionByName(homes)
+    found = in_cells(reps, threshold, sample, cells)
     if found is None:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    placed = materialize(found, "near_cells").withColumn("cell", F.explode(F.concat(F.array("home"), "others")))
-    sizes = placed.groupBy("dim", "cell").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    dealt = placed.join(F.broadcast(sizes.select("dim", "cell", "blocks")), ["dim", "cell"]).withColumn(  # one row per cell: MOST_CELLS per length
-        "block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "dim", "cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "copies", "home", "others", "embedding")
+    placed = materialize(found, "near_cells")
+    sent = placed.select("*", F.posexplode(F.concat(F.array("home"), "others")).alias("nth", "cell")).withColumn("visitor", F.col("nth") > 0)
+    blocks = lambda rows: F.ceil(F.count_if(rows) / block).cast("int")
+    sizes = sent.groupBy("dim", "cell").agg(blocks(~F.col("visitor")).alias("own"), blocks(F.col("visitor")).alias("guests")).filter("own > 0")
+    # blocks 0 to own - 1 are at home, those from own on visit; a visitor meets the blocks at home, these meet all
+    dealt = sent.join(F.broadcast(sizes), ["dim", "cell"]).withColumn(  # one row per cell: MOST_CELLS per length
+        "block", F.when(F.col("visitor"), F.col("own") + F.pmod(F.xxhash64("rep"), F.greatest("guests", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep"), "own")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("visitor"), F.col("own")).otherwise(F.col("own") + F.col("guests")) - 1))).select(
+        "dim", "cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "copies", "home",
+        F.when(~F.col("visitor"), F.col("others")).alias("others"), "embedding")
     links = materialize(paired.groupBy("dim", "cell", "one", "two").applyInPandas(block_links(threshold), "rep long, links long, root long"), "near_links")
     groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), "near_components")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -48,3 +48,25 @@ def test_query_equals_sql(spark):
     from shelfspark.llm.registered import ORACLES, QUERIES
     sf = "/root/testdata/sf0.01"
     assert compare(QUERIES["op1_embedding_neardup"](spark, sf), connect(sf), ORACLES["op1_embedding_neardup"]) == ""
+
+
+def compared(reps, threshold=0.95):
+    """Cells, and pairs that meet as a share of all pairs."""
+    rows = neardup.in_cells(reps, threshold).select("home", "others").collect()
+    at_home, visitors = np.bincount([r["home"] for r in rows]), np.bincount([c for r in rows for c in r["others"]] or [0])
+    visitors = np.pad(visitors, (0, max(0, len(at_home) - len(visitors))))[:len(at_home)]
+    return int((at_home > 0).sum()), float((at_home * (at_home / 2 + visitors)).sum() / (len(rows) ** 2 / 2))
+
+
+def test_thousands_of_vectors_use_cells(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(40, 32))
+    clustered = (middles[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 32)) * 0.25).astype(np.float32)
+    even = rng.normal(size=(3000, 32)).astype(np.float32)
+    copies = np.concatenate([even[:2000], even[:1] + rng.normal(size=(1000, 32)) * 0.1]).astype(np.float32)  # a third is one clump
+    for rows, most in ((clustered, 0.15), (even, 0.6), (copies, 0.8)):
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+        cells, share = compared(df.selectExpr("embedding", "vec_id as rep", "1L as copies", "size(embedding) as dim"))
+        assert cells > 10 and share < most, (cells, share)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df, block=256).collect()}
+        assert got == brute(range(len(rows)), rows)
