@@ -25,6 +25,7 @@ MOST_OPEN = 4096       # partly filled windows that a task holds before it close
 CACHED = 300_000       # distinct units whose ids a worker keeps
 PIECE_CHARS = 1 << 20  # of texts that are tokenised together
 SEQUENCES = 1 << 40    # sequence ids of one task
+NO_ROOM = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -102,15 +103,16 @@ class Packer:
 
     levels[h] is the number of windows filled to h (0 < h < window).  Moving one from h to h + s changes the sum of squares
     by 2 (levels[h + s] - levels[h]) + 2, opening one at s by 2 levels[s] + 1, closing one by 1 - 2 levels[h]; ties go
-    to the fullest level.  Longer documents are cut into whole windows and a rest.  `close` ends the run: it cuts pieces of
-    the emptiest windows to fill the fullest, so at most one window stays partly filled.
+    to the fullest level.  Longer documents are cut into whole windows and a rest.  `close` ends the run: it puts open windows on
+    others by the same rule as long as two fit, and cuts pieces of the emptiest left to fill the fullest, so at most one window
+    stays partly filled; `cut` counts the windows that this takes part in.
     """
 
     def __init__(self, window: int, first: int, most_open: int):
         self.window, self.next, self.most_open = window, first, most_open
         self.levels = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list[tuple]]] = defaultdict(list)
-        self.count = 0
+        self.count = self.cut = 0
         self.rows: list[tuple] = []
 
     def add(self, doc: object, ids: np.ndarray) -> None:
@@ -122,12 +124,18 @@ class Packer:
             self.place((doc, at, total, ids[at:].copy()))
 
     def place(self, piece: tuple) -> None:
-        size, n = len(piece[3]), self.window
+        self.put([piece], len(piece[3]), True)
+        if self.count > self.most_open:
+            self.close()
+
+    def put(self, pieces: list[tuple], size: int, may_open: bool) -> None:
+        """Pieces of `size` ids on top of the best level; unless `may_open`, a new window is opened only where no level has room."""
+        n = self.window
         below = self.levels[1:n - size + 1]
         cost = 2 * (self.levels[size + 1:n + 1] - below) + 2
         cost[-1:] -= 1  # a full window is no level: its count stays zero
-        cost = np.where(below > 0, cost, np.iinfo(np.int64).max)
-        fresh = 2 * self.levels[size] + 1
+        cost = np.where(below > 0, cost, NO_ROOM)
+        fresh = 2 * self.levels[size] + 1 if may_open else NO_ROOM - 1
         level = 0
         if len(cost):
             best = len(cost) - 1 - int(cost[::-1].argmin())
@@ -139,21 +147,27 @@ class Packer:
             self.count -= 1
         else:
             held = []
-        held.append(piece)
+        held.extend(pieces)
         if level + size == n:
             self.emit(held)
             return
         self.open[level + size].append(held)
         self.levels[level + size] += 1
         self.count += 1
-        if self.count > self.most_open:
-            self.close()
 
-    def close(self) -> None:
+    def drain(self) -> list[tuple[int, list[tuple]]]:
+        """All open windows, fullest first; none is open after."""
         windows = [(level, held) for level in sorted(self.open, reverse=True) for held in self.open[level]]
         self.open.clear()
         self.levels[:] = 0
         self.count = 0
+        return windows
+
+    def close(self) -> None:
+        for level, held in self.drain():
+            self.put(held, level, False)
+        windows = self.drain()
+        self.cut += len(windows)
         low = len(windows) - 1
         for i in range(len(windows)):
             if i > low:

@@ -90,3 +90,14 @@ def test_query(spark, plain):
     sf = "/root/testdata/sf0.01"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert check(QUERIES["op7_packing"](spark, sf).collect(), docs, plain) < 8 * 1024
+
+
+def test_the_end_cuts_only_windows_that_do_not_fit_together():
+    rng = np.random.default_rng(2)
+    p = packing.Packer(256, 0, 10_000)
+    for i in range(400):
+        p.place((i, 0, 1, np.zeros(int(rng.integers(1, 256)), np.uint32)))
+    for level, held in p.drain():
+        p.put(held, level, False)
+    left = sorted(level for level, _ in p.drain())
+    assert len(left) < 2 or left[0] + left[1] > 256
