@@ -21,7 +21,11 @@ CENTROIDS = 4
 SLICE = 512              # texts judged at once
 RANGE_BITS = 12          # hash ranges in which a language's distinct texts are counted before some are ranked
 MOST_LANGUAGES = 2000    # more labels than that are not languages: an error
-SLACK = 0.2              # a text is rejected below this share of the cosine that 99 of 100 sample texts reach
+SLACK = 0.2              # a text is rejected below this share of the cosine that 99 of 100 sample texts reach ...
+BAND_SLACK = 0.8         # ... or, in bands of length with BAND_TEXTS sample texts, below this share of theirs, but not above
+FOREIGN_MARGIN = 1.1     # this much of the cosine that 95 of 100 texts of a language have without their own language
+BAND_TEXTS = 20
+BANDS = 40               # a band of length holds texts with 2^band to 2^(band + 1) - 1 bytes
 UNKNOWN = "und"
 PIECE = 1 << 20          # bytes of a text that are counted at once
 
@@ -61,9 +65,13 @@ def unit(weights: np.ndarray) -> np.ndarray:
     return weights / np.maximum(size, 1e-12)
 
 
+def band_of(grams: int) -> int:
+    return min(BANDS - 1, max(1, grams // len(GRAMS)).bit_length() - 1)
+
+
 @dataclass
 class Model:
-    """idf per feature; unit centroids with their languages and the least cosines that they accept."""
+    """idf per feature; unit centroids with their languages and the least cosines that they accept, by band of length."""
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
@@ -76,10 +84,11 @@ class Model:
         """(language, cosine, accepted); ties go to the language that sorts first."""
         if not self.languages:
             return UNKNOWN, 0.0, False
-        cosines = self.centroids @ self.vector(gram_counts(text))
+        counts = gram_counts(text)
+        cosines = self.centroids @ self.vector(counts)
         best = int(cosines.argmax())
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.languages[best], score, score >= self.floors[best]
+        return self.languages[best], score, bool(score >= self.floors[best, band_of(int(counts.sum()))])
 
 
 def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -100,7 +109,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
     """Learns from labelled(text, lang); rows with a null are left out.
 
     Document frequencies come from all rows.  The centroids of a language are fitted on its `per_language` distinct texts
-    with the smallest hashes, a bound that keeps the model small; its share of outlying texts sets the floors.
+    with the smallest hashes, a bound that keeps the model small.  The same texts set the floors: a band of length is judged by
+    the low cosines of its own texts and by the high ones of texts whose own language is left out; a band with few
+    texts takes the floor of the next shorter one that has enough, and below all these a share of the language's low cosines.
     """
     spark = labelled.sparkSession
     ship(spark)
@@ -135,7 +146,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
     df = np.zeros((1 << WIDTH_BITS) + 1)
     df[found["feature"]] = found["n"]  # -1, the last, is the number of texts
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
-    model = Model(idf, np.zeros((0, 1 << WIDTH_BITS), np.float32), [], np.zeros(0))
+    model = Model(idf, np.zeros((0, 1 << WIDTH_BITS), np.float32), [], np.zeros((0, BANDS)))
 
     def group(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
         some = some.drop_duplicates("h").sort_values("h")
@@ -148,11 +159,44 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
         home = cosines.argmax(axis=1)
         floors = [slack * float(np.quantile(cosines[home == i, i], 0.01)) if (home == i).any() else 0.0 for i in range(len(centers))]
         return pd.DataFrame({"lang": key[0], "center": list(centers), "floor": min(floors)})
-    fitted = counted.filter("feature = -2").groupBy("lang").applyInPandas(group, "lang string, center array<float>, floor double").toPandas()
+    drawn_texts = counted.filter("feature = -2")
+    fitted = drawn_texts.groupBy("lang").applyInPandas(group, "lang string, center array<float>, floor double").toPandas()
     if not len(fitted):
         return model
     fitted = fitted.sort_values("lang", kind="stable")
-    return Model(idf, np.stack(fitted["center"].to_numpy()).astype(np.float32), fitted["lang"].tolist(), fitted["floor"].to_numpy())
+    model = Model(idf, np.stack(fitted["center"].to_numpy()).astype(np.float32), fitted["lang"].tolist(), np.repeat(fitted["floor"].to_numpy()[:, None], BANDS, axis=1))
+    set_band_floors(model, drawn_texts.dropDuplicates(["lang", "h"]))
+    return model
+
+
+def set_band_floors(model: Model, texts: DataFrame) -> None:
+    """Floors by band of length from texts(lang, at, counts), the sample of the fit."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array(shared.value.languages, dtype=object)
+        for batch in batches:
+            out = []
+            for lang, at, counts in zip(batch["lang"], batch["at"], batch["counts"]):
+                dense = np.zeros(1 << WIDTH_BITS, np.float32)
+                dense[at] = counts
+                near = shared.value.centroids @ shared.value.vector(dense)
+                other = near[names != lang]
+                out.append((lang, band_of(int(np.sum(counts))), float(near[names == lang].max()), float(other.max()) if len(other) else None))
+            yield pd.DataFrame(out, columns=["lang", "band", "own", "other"])
+    found = texts.select("lang", "at", "counts").mapInPandas(cosines, "lang string, band int, own double, other double")
+    # one row per language and band, and one per band
+    rows = found.groupingSets([["lang", "band"], ["band"]], "lang", "band").agg(
+        F.count("*").alias("n"), F.percentile("own", 0.01).alias("own"), F.percentile("other", 0.95).alias("other")).collect()
+    foreign = {r["band"]: r["other"] for r in rows if r["lang"] is None and r["n"] >= BAND_TEXTS and r["other"] is not None}
+    own = {(r["lang"], r["band"]): r["own"] for r in rows if r["lang"] is not None and r["n"] >= BAND_TEXTS}
+    for i, lang in enumerate(model.languages):
+        floor = None
+        for band in range(BANDS):
+            if (lang, band) in own and band in foreign:
+                floor = min(FOREIGN_MARGIN * foreign[band], BAND_SLACK * own[lang, band])
+            if floor is not None:
+                model.floors[i, band] = floor
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

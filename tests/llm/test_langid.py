@@ -61,3 +61,44 @@ def test_odd_rows(spark):
     assert langid.predict(asked.filter("false"), model, ["doc_id"]).count() == 0
     many = train.withColumn("lang", F.col("doc_id").cast("string"))
     assert len(set(langid.fit(many).languages)) == 60
+
+
+def test_a_language_left_out_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null and text is not null")
+    for left in ("es", "de"):
+        model = langid.fit(docs.filter(F.col("lang") != left).select("text", "lang"))
+        judged = langid.predict(docs.select("doc_id", "text", "lang"), model, ["doc_id", "text", "lang"]).collect()
+        foreign = [r["rejected"] for r in judged if r["lang"] == left and len(r["text"]) >= 600]
+        own = [r["rejected"] for r in judged if r["lang"] != left]
+        assert len(foreign) > 30 and sum(foreign) / len(foreign) > 0.85, (left, sum(foreign), len(foreign))
+        assert sum(own) <= 0.003 * len(own), (left, sum(own), len(own))
+
+
+def plain_model(rows, per_language, centroids):
+    """The fit in plain loops over rows(text, lang), without floors."""
+    counts = [(plain_counts(t), lang) for t, lang in rows]
+    df = sum((c > 0).astype(int) for c, _ in counts)
+    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
+    out = {}
+    for lang in {lang for _, lang in rows}:
+        x = np.log1p(np.unique([c for c, own in counts if own == lang], axis=0)).astype(np.float32) * idf
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert len(x) <= per_language and centroids == 1
+        mean = x.sum(axis=0)
+        out[lang] = mean / np.linalg.norm(mean)
+    return idf, out
+
+
+def test_predictions_equal_plain_loops(spark):
+    words = {"en": "the quick brown fox and lazy dog with that house", "de": "der schnelle braune fuchs und faule hund mit haus", "fr": "le renard brun et le chien avec la maison"}
+    rng = np.random.default_rng(4)
+    rows = [(" ".join(rng.choice(words[lang].split(), int(rng.integers(3, 20)))), lang) for lang in words for _ in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), centroids=1)
+    idf, centers = plain_model(rows, langid.PER_LANGUAGE, 1)
+    asked = [(i, t) for i, (t, _) in enumerate(rows)] + [(1000, "the hund avec haus"), (1001, "und le dog")]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), model, ["doc_id"]).collect()}
+    for i, text in asked:
+        x = np.log1p(plain_counts(text)).astype(np.float32) * idf
+        near = {lang: float(c @ x / np.linalg.norm(x)) for lang, c in centers.items()}
+        best = max(sorted(near), key=near.get)
+        assert abs(got[i]["score"] - near[best]) < 1e-4 and (got[i]["lang_pred"] == best or abs(near[got[i]["lang_pred"]] - near[best]) < 1e-5)
