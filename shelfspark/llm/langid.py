@@ -23,7 +23,7 @@ RANGE_BITS = 12          # hash ranges in which a language's distinct texts are
 MOST_LANGUAGES = 2000    # more labels than that are not languages: an error
 SLACK = 0.2              # a text is rejected below this share of the cosine that 99 of 100 sample texts reach ...
 BAND_SLACK = 0.8         # ... or, in bands of length with BAND_TEXTS sample texts, below this share of theirs, but not above
-FOREIGN_MARGIN = 1.1     # this much of the cosine that 95 of 100 texts of a language have without their own language
+FOREIGN_MARGIN = 1.15    # this much of the median cosine of texts whose own language is left out
 BAND_TEXTS = 20
 BANDS = 40               # a band of length holds texts with 2^band to 2^(band + 1) - 1 bytes
 UNKNOWN = "und"
@@ -110,7 +110,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
 
     Document frequencies come from all rows.  The centroids of a language are fitted on its `per_language` distinct texts
     with the smallest hashes, a bound that keeps the model small.  The same texts set the floors: a band of length is judged by
-    the low cosines of its own texts and by the high ones of texts whose own language is left out; a band with few
+    the low cosines of its own texts and by those of texts whose own language is left out; a band with few
     texts takes the floor of the next shorter one that has enough, and below all these a share of the language's low cosines.
     """
     spark = labelled.sparkSession
@@ -187,7 +187,7 @@ def set_band_floors(model: Model, texts: DataFrame) -> None:
     found = texts.select("lang", "at", "counts").mapInPandas(cosines, "lang string, band int, own double, other double")
     # one row per language and band, and one per band
     rows = found.groupingSets([["lang", "band"], ["band"]], "lang", "band").agg(
-        F.count("*").alias("n"), F.percentile("own", 0.01).alias("own"), F.percentile("other", 0.95).alias("other")).collect()
+        F.count("*").alias("n"), F.percentile("own", 0.01).alias("own"), F.percentile("other", 0.5).alias("other")).collect()
     foreign = {r["band"]: r["other"] for r in rows if r["lang"] is None and r["n"] >= BAND_TEXTS and r["other"] is not None}
     own = {(r["lang"], r["band"]): r["own"] for r in rows if r["lang"] is not None and r["n"] >= BAND_TEXTS}
     for i, lang in enumerate(model.languages):
