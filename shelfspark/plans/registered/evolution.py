@@ -95,7 +95,7 @@ cte("stok", f"SELECT item_id, {sql_tokens('search_text')} AS tk FROM sitems WHER
 def streamed(spark, sf):
     """The catalog after the update feed came in as three files, each drained by the stream."""
     root = scratch_path(spark, "live")
-    store = I.LiveCatalog(spark, f"{root}/catalog", 8, lambda rows: encoders.hash_encoder(rows.select("item_id", "search_text")))
+    store = I.LiveCatalog(spark, f"{root}/catalog", I.bucket_count(T.items(spark, sf).count()), lambda rows: encoders.hash_encoder(rows.select("item_id", "search_text")))
     stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
     start = T.items(spark, sf).withColumn("image_url", F.lit(None).cast("string"))
     store.create(start.select(*I.CATALOG_COLUMNS, F.col("version").cast("long").alias("version"), stamp.alias("created_at"), stamp.alias("updated_at"), "is_deleted"))

@@ -22,10 +22,16 @@ CATALOG_COLUMNS = ["item_id", "title", "store", "price", "average_rating", "rati
                    "features", "description", "review_snippets", "search_text"]
 KEYS = {"catalog": "item_id", "postings": "item_id", "lengths": "item_id", "vectors": "item_id", "frequencies": "token"}
 BUCKETS = 64
+BUCKET_ROWS = 20_000  # products of a bucket, which one task writes
 
 Encode = Callable[[DataFrame], DataFrame]
 
 
+def bucket_count(products: int, least: int = 8) -> int:
+    """Buckets for so many products: with a fixed number a task's share grows with the catalog, whatever the machines."""
+    return max(least, -(-products // BUCKET_ROWS))
+
+
 class LiveCatalog:
     """Folders <root>/<table>/bucket=<n>: plain Parquet, dealt by the hash of the table's key.
 
@@ -60,9 +66,12 @@ class LiveCatalog:
     def index(self) -> KeywordIndex:
         return KeywordIndex(self.read("postings"), self.read("lengths"), self.read("frequencies").filter("df > 0"))
 
+    def bucketed(self, rows: DataFrame, table: str) -> DataFrame:
+        return rows.withColumn("bucket", self.bucket(KEYS[table]))
+
     def dealt(self, rows: DataFrame, table: str) -> DataFrame:
         """Rows with their bucket, a file per bucket."""
-        return rows.withColumn("bucket", self.bucket(KEYS[table])).repartition("bucket")
+        return self.bucketed(rows, table).repartition("bucket")
 
     def create(self, products: DataFrame) -> None:
         """The first state, from products with merge columns."""
@@ -109,8 +118,9 @@ class LiveCatalog:
         self.note(batch_id, "staged")
 
     def publish(self, batch_id: int) -> None:
+        """Staged files hold a bucket each, so they are copied as they lie."""
         for table in self.tables:
-            self.spark.read.schema(self.read(table).schema.add("bucket", IntegerType())).parquet(self.path(table, batch_id)).repartition("bucket").write.mode("overwrite").option(
+            self.spark.read.schema(self.read(table).schema.add("bucket", IntegerType())).parquet(self.path(table, batch_id)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path(table))
         self.note(batch_id, "published")
 
@@ -124,7 +134,7 @@ class LiveCatalog:
 
     def keep(self, table: str, rows: DataFrame, touched: list[int], batch_id: int) -> None:
         marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
-        self.dealt(rows, table).unionByName(marks, allowMissingColumns=True).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path(table, batch_id))
+        self.bucketed(rows, table).unionByName(marks, allowMissingColumns=True).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path(table, batch_id))
 
 
 def products_of(batch: DataFrame, results: DataFrame, global_mean) -> DataFrame:
