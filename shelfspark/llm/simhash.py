@@ -26,6 +26,7 @@ AT_ONCE = 1 << 15   # shingles hashed at once
 SLICE = 512         # texts whose shingles a task holds at once
 SHINGLE_WORDS = 5   # of the similarity of texts
 BANDS, BAND_ROWS = 64, 7            # a pair of similarity s shares no band with probability (1 - s^7)^64: 3e-7 at 0.8
+NEAR_BITS = 3       # at most so many bits apart are the SimHash candidates among texts
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 21  # most texts and shingles of a block, on average
 
 
@@ -44,9 +45,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     for at in range(0, n, AT_ONCE):
         few = parts[at:min(at + AT_ONCE, n) + words - 1]
         joined = zip(*(few[i:] for i in range(words))) if len(parts) >= words else [parts]
-        hashes = np.array([digest(b" ".join(s), SEED) for s in joined], np.uint64)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += set_bits(np.array([digest(b" ".join(s), SEED) for s in joined], np.uint64))
+    return majority(ones, n)
+
+
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
     return sum(1 << i for i in range(BITS) if 2 * int(ones[i]) > n)
 
 
@@ -354,6 +363,22 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mixed((least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def set_fingerprint(shingles: np.ndarray) -> int | None:
+    """The SimHash of a set of shingle hashes, as a signed long; texts without shingles have none."""
+    if not len(shingles):
+        return None
+    return as_signed(majority(sum(set_bits(shingles[at:at + AT_ONCE]) for at in range(0, len(shingles), AT_ONCE)), len(shingles)))
+
+
+def fingerprint_stars(marked: DataFrame) -> DataFrame:
+    """Candidate links (a, b) between nodes of marked(node, fp) whose fingerprints differ in at most NEAR_BITS bits: texts of one
+    fingerprint are linked to its smallest node, and those nodes by `fingerprint_links`."""
+    own = marked.filter("fp is not null").select("node", "fp")
+    reps = materialize(own.groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("last")), "copies_fingerprints")
+    same = own.join(reps.filter("rep < last"), "fp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return same.unionByName(fingerprint_links(reps.select("fp", "rep"), NEAR_BITS))
+
+
 def copy_hash(text: str | None) -> int:
     """Equal for texts of the same words; as everywhere 64 bits."""
     return as_signed(xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), SEED))
@@ -364,8 +389,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame,
     group of texts that are linked by equal words or a Jaccard similarity of at least `similarity` of their sets of
     five-word shingles.
 
-    Candidates share one of BANDS keys over BAND_ROWS min-hashes each, made once per text that a task sees; a bucket leaves
-    a star, so a group of any size makes rows in proportion.  Every pair of a candidate component is then decided on
+    Candidates have SimHash fingerprints of their sets of shingles at most NEAR_BITS bits apart, found by `fingerprint_links`, or,
+    as 64 bits miss many pairs near that similarity, share one of BANDS keys over BAND_ROWS min-hashes each.  Both are
+    made once per text that a task sees; a bucket leaves a star, so a group of any size makes rows in proportion.  Every pair of a candidate component is then decided on
     the whole sets of shingles; only texts of candidates move for that.
     """
     ship(docs.sparkSession)
@@ -376,20 +402,22 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame,
             for at in range(0, len(batch), SLICE):  # few texts at a time: their sets of shingles are larger than they
                 part = batch.iloc[at:at + SLICE]
                 nodes, sizes, bands = np.array([copy_hash(t) for t in part["text"]], np.int64), np.zeros(len(part), np.int64), [None] * len(part)
+                fps = [None] * len(part)
                 for i, (node, text) in enumerate(zip(nodes.tolist(), part["text"])):
                     if node not in seen:
                         seen.add(node)
                         shingles = shingle_set(text)
-                        sizes[i], bands[i] = len(shingles), band_keys(shingles)
+                        sizes[i], bands[i], fps[i] = len(shingles), band_keys(shingles), set_fingerprint(shingles)
                 if len(seen) > AT_ONCE:  # copies lie near each other or are few: enough to remember some
                     seen.clear()
-                yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "node": nodes, "n": sizes, "bands": bands})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "node": nodes, "n": sizes, "bands": bands, "fp": pd.array(fps, "Int64")})
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    marked = materialize(keyed.mapInPandas(marks, "doc_id long, key long, node long, n long, bands array<long>"), "copies_marked")
+    marked = materialize(keyed.mapInPandas(marks, "doc_id long, key long, node long, n long, bands array<long>, fp long"), "copies_marked")
     banded = marked.select("node", F.explode("bands").alias("band"))
     lows = materialize(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low"), "copies_buckets")
     shared = met(banded, "band", lows.select("band")).filter("met").select("node", "band")
-    stars = components(shared.join(lows, "band").select(F.col("node").alias("a"), F.col("low").alias("b")), "copies_met")
+    banded_stars = shared.join(lows, "band").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    stars = components(fingerprint_stars(marked).unionByName(banded_stars), "copies_met")
     nodes = materialize(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("first"), F.max("n").alias("n")), "copies_nodes")
     members = materialize(stars.withColumnRenamed("id", "node").join(nodes, "node").select("node", "component", F.col("first.key").alias("key"), "n"), "copies_members")
     texts = met(keyed.select("key", "text"), "key", members.select("key")).filter("met").select("key", "text")

@@ -80,3 +80,16 @@ def test_blocks_and_rows_without_id(spark):
     links = simhash.similar_links(members, docs.filter("doc_id < 30").selectExpr("doc_id as key", "text"), 0.8, block=4)
     from shelfspark.llm.common import components
     assert {r["component"] for r in components(links, "t").collect()} == {0} and links.count() < 30 * 9
+
+
+def test_simhash_finds_candidates(spark, monkeypatch):
+    """Candidates came from min-hash bands alone: without these nothing was found."""
+    import numpy as np
+
+    from shelfspark.llm import simhash as S
+
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(f"x{i}" for i in range(600)), "short", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(S, "band_keys", lambda shingles: np.empty(0, np.int64))
+    assert sorted(r["doc_id"] for r in S.deduplicated(docs).collect()) == [0, 2, 3, 4]
