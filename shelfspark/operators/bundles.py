@@ -13,6 +13,7 @@ from ..functions import rules as R
 from ..functions.exprs import contains_any, matches, strings, tidy
 from ..functions.text import explain_item
 from . import ranking as K
+from .dedup import spread
 from .retrieval import dot
 
 POOL_KEYS = ("query_id", "level", "pool_slot")
@@ -101,9 +102,10 @@ def bundle_combos(coherent: DataFrame, vectors: DataFrame) -> DataFrame:
     entry = F.struct(
         F.struct(*[F.col(c) for c in CARRIED]).alias("it"), F.coalesce("price", F.lit(0.0)).alias("p"),
         F.when(~neutral, F.col("gender")).alias("g"), F.col("age_group").alias("ag"), F.col("sims").alias("sims"))
-    grouped = _attach_pairs(coherent, vectors).groupBy("query_id", "level").agg(
+    # few rows unfold into many, so they are dealt to all tasks whatever their size
+    grouped = spread(_attach_pairs(coherent, vectors).groupBy("query_id", "level").agg(
         F.max("q_max_price").alias("budget"),
-        *[F.collect_list(F.when(F.col("pool_slot") == s, entry)).alias(s) for s in R.BUNDLE_SLOTS])
+        *[F.collect_list(F.when(F.col("pool_slot") == s, entry)).alias(s) for s in R.BUNDLE_SLOTS]))
 
     def within(df: DataFrame) -> DataFrame:
         return df.filter(F.col("budget").isNull() | (F.col("total_price") <= F.col("budget")))

@@ -1,5 +1,8 @@
 """What moves, and in how many tasks, in the steps that searches and bundles share."""
 
+from pyspark.sql import functions as F
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -37,3 +40,20 @@ def test_an_index_with_repeated_ids(spark):
     index = keyword_index(texts)
     assert sorted((r["item_id"], r["token"], r["tf"], r["doc_len"]) for r in index.postings.collect()) == [(1, "a", 1, 2), (1, "b", 3, 2), (2, "a", 1, 1)]
     assert sorted(map(tuple, index.documents.collect())) == [(1, 2), (1, 2), (2, 1), (3, 0)]
+
+
+def test_combinations_unfold_in_more_than_one_task(spark):
+    """A few pools were grouped in one task, which then made all combinations."""
+    from shelfspark.operators.bundles import bundle_combos
+
+    none = F.array().cast("array<string>")
+    slots = F.explode(F.array(F.lit("top"), F.lit("bottom"), F.lit("footwear"))).alias("pool_slot")
+    pools = spark.range(12).select(F.concat(F.lit("Q"), "id").alias("query_id"), F.lit(50).alias("level"), slots).select(
+        "*", F.concat("query_id", "pool_slot").alias("item_id"), F.col("pool_slot").alias("title"), F.lit("s").alias("store"), F.lit(3.0).alias("price"),
+        F.col("pool_slot").alias("slot"), F.lit("women").alias("gender"), F.lit("adult").alias("age_group"), F.lit(0.5).alias("score"), F.lit(0.5).alias("sim"),
+        none.alias("colors"), none.alias("seasons"), none.alias("occasions"), F.lit(1).alias("pool_rank"), F.lit(None).cast("double").alias("q_max_price"))
+    vectors = pools.select("item_id", F.array(F.lit(1.0)).alias("vec"))
+    combos = bundle_combos(pools, vectors).filter("template_rank = 1").withColumn("task", F.spark_partition_id())
+    rows = combos.select("query_id", "n_items", "task").collect()
+    assert sorted((r["query_id"], r["n_items"]) for r in rows) == sorted((f"Q{i}", n) for i in range(12) for n in (2, 3))
+    assert len({r["task"] for r in rows}) > 1
