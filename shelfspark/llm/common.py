@@ -13,9 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-FILTER_BITS = 1 << 24  # of the table of key slots that is broadcast: at most FILTER_BITS / 64 rows, about 4 MB of values
-
-
 def packed(docs: DataFrame, **own: Column) -> DataFrame:
     """Each row of docs as one struct `row`, beside own columns, which so cannot clash with the input's names."""
     return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in own.items()])
@@ -28,19 +25,6 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
-def met(rows: DataFrame, key: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """rows with `met`: false only where `key` is not among the one column of `keys`, so most others need not move for a join.
-
-    Keys are hashed to `bits` slots; the slots in use go out as 64-bit masks, a table of bounded size whatever the number
-    of keys.  With more keys than slots nearly every row is met and the join does the work, with the same result.
-    """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    slots = keys.select(at(keys.columns[0]).alias("slot"))
-    masks = slots.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("mask"))
-    held = rows.withColumn("word", F.floor(at(key) / 64)).join(F.broadcast(masks), "word", "left")
-    return held.withColumn("met", F.coalesce(F.getbit("mask", (at(key) % 64).cast("int")) == 1, F.lit(False))).drop("word", "mask")
-
-
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, component), component the smallest id reachable.
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import met
 from ..session import materialize
-from .common import met, packed, table
+from .common import packed, table
 
 # Fixed patterns of the base kinds (kind, pattern, group whose length counts, least length), in the order of ties.
 # Runs of one class match the same with the least length inside the pattern; `assign` does not, so it is filtered.

@@ -13,8 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import met
 from ..session import materialize, ship
-from .common import components, forest, met, packed, table
+from .common import components, forest, packed, table
 
 BITS = 64
 SEED = 42

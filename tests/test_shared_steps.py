@@ -57,3 +57,41 @@ def test_combinations_unfold_in_more_than_one_task(spark):
     rows = combos.select("query_id", "n_items", "task").collect()
     assert sorted((r["query_id"], r["n_items"]) for r in rows) == sorted((f"Q{i}", n) for i in range(12) for n in (2, 3))
     assert len({r["task"] for r in rows}) > 1
+
+
+def test_only_found_items_move_to_their_candidates(spark):
+    """Every item of the catalog was shuffled with its texts to the few that the lists name."""
+    from shelfspark.operators.dedup import dealt
+    from shelfspark.plans.registered.ranking import found_items
+
+    items = spark.range(3000).select(F.concat(F.lit("P"), "id").alias("item_id"), F.concat(F.lit("text "), "id").alias("search_text"))
+    found = spark.createDataFrame([("Q1", "P7"), ("Q2", "P7"), ("Q2", "P2999"), ("Q2", "gone")], "query_id string, item_id string")
+    near = found_items(items, found)
+    assert near.columns == items.columns
+    assert {r["item_id"] for r in near.collect()} >= {"P7", "P2999"} and near.count() < 10
+    assert "Exchange hashpartitioning(item_id" not in plan(near)
+    joined = dealt(found, "item_id").join(near, "item_id")
+    assert sorted((r["query_id"], r["item_id"], r["search_text"]) for r in joined.collect()) == [("Q1", "P7", "text 7"), ("Q2", "P2999", "text 2999"), ("Q2", "P7", "text 7")]
+
+
+def test_intermediate_tables_are_packed(spark):
+    import glob
+
+    from shelfspark.session import materialize, scratch_path
+
+    rows = materialize(spark.range(10), "packed_rows")
+    assert rows.count() == 10
+    names = glob.glob(scratch_path(spark, "packed_rows").removeprefix("file:").rsplit("/", 1)[0] + "/packed_rows-*/part-*")
+    assert names and all(n.endswith(".zstd.parquet") for n in names)
+
+
+def test_a_rows_askers_lie_side_by_side(spark):
+    """Where the askers were streamed, every written row had other values than the one before it."""
+    from shelfspark.operators.dedup import for_all_askers
+
+    rows = spark.range(40).select(F.lit("Q1").alias("query_id"), F.concat(F.lit("P"), "id").alias("item_id")).union(spark.createDataFrame([("Q2", "P1")]))
+    askers = spark.range(1000).select(F.lit("Q1").alias("asker"), F.concat(F.lit("Q"), "id").alias("query_id")).union(spark.createDataFrame([("Q2", "Q2"), ("Q2", None)], "asker string, query_id string"))
+    for small in (F.broadcast(rows), rows):
+        got = [tuple(r) for r in for_all_askers(small, askers).collect()]
+        assert sorted(got, key=str) == sorted([(f"Q{i}", f"P{j}") for i in range(1000) for j in range(40)] + [("Q2", "P1"), (None, "P1")], key=str)
+        assert sum(a[1] != b[1] for a, b in zip(got, got[1:])) < 1000
