@@ -170,3 +170,18 @@ def test_keys_that_are_met_are_never_missed(spark):
         assert len(got) == 5000 and all(got[i] for i in range(0, 5000, 3))
     assert sum(got.values()) < 1700
     assert not any(r["met"] for r in met(rows, "k", keys.limit(0)).collect())
+
+
+def test_few_texts_reach_a_worker_at_once(spark):
+    """A worker was handed 10,000 whole texts, of which it and the executor held copies."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    sizes = lambda: spark.range(0, 4000, 1, 1).mapInPandas(lambda batches: (b.assign(id=len(b))[:1] for b in batches), "id long").agg({"id": "max"}).first()[0]
+    try:
+        for set_to, most in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("200", 200)):
+            spark.conf.set(name, set_to)
+            assert corpus_pipeline.pack(spark, docs, "").count() == 1
+            assert sizes() == most
+    finally:
+        spark.conf.set(name, before)
